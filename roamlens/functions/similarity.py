@@ -66,6 +66,11 @@ def two_sided_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or v != v else erfc(abs(v) / sqrt(2.0))).astype("float64")
 
 
+def half_even(x: Column, digits: int) -> Column:
+    """Half-even rounding after the noise of binary arithmetic is removed."""
+    return F.bround(F.round(x, 9), digits)
+
+
 def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     p1, p2 = F.radians(lat1), F.radians(lat2)
     half = lambda d: F.pow(F.sin(d / 2), 2)

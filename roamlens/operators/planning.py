@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roamlens.functions import vocab
+from roamlens.functions.similarity import half_even
 from roamlens.operators import retrieval
 from roamlens.session import broadcast_if_small, top_per_key
 
@@ -141,7 +142,7 @@ def day_moves(stops: DataFrame) -> DataFrame:
 def stays(moves: DataFrame, stats: DataFrame) -> DataFrame:
     """Best rated lodging of each day's city, else of its division."""
     h = stats.filter("place_kind = 'accommodation' AND review_count >= 1").withColumn(
-        "s", F.bround(0.75 * F.coalesce("avg_review_rating", F.lit(0.0)) / 5 + 0.25 * F.least(F.col("review_count") / 50.0, F.lit(1.0)), 4))
+        "s", half_even(0.75 * F.coalesce("avg_review_rating", F.lit(0.0)) / 5 + 0.25 * F.least(F.col("review_count") / 50.0, F.lit(1.0)), 4))
     best = F.struct((-F.col("s")).alias("s"), (-F.col("review_count")).alias("n"), F.col("place_id"))
     pick = lambda c: h.filter(F.col(c).isNotNull()).groupBy(F.lower(c).alias(f"k_{c}")).agg(
         F.min_by("place_id", best).alias(f"{c}_stay"))

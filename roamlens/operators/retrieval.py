@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from roamlens.functions import text as T
 from roamlens.functions import vocab
+from roamlens.functions.similarity import half_even
 from roamlens.session import broadcast_if_small, top_per_key
 
 ONE = F.lit(1)
@@ -95,8 +96,8 @@ def recommend(requests: DataFrame, stats: DataFrame, venue: DataFrame, max_limit
         F.sum("n").alias("matched_review_count"), F.first(F.size("wanted")).alias("asked"))
     by_wish = by_wish.select(
         "sig", "place_id", *keep, "matched_preferences", "matched_review_count",
-        F.bround(share, 4).alias("evidence_share"),
-        F.bround(vocab.W_EVIDENCE * share + vocab.W_PREF_COVERAGE * F.size("matched_preferences") / F.col("asked")
+        half_even(share, 4).alias("evidence_share"),
+        half_even(vocab.W_EVIDENCE * share + vocab.W_PREF_COVERAGE * F.size("matched_preferences") / F.col("asked")
                  + vocab.W_RATING * rating, 4).alias("match_score"))
 
     plain = ask.filter(F.size("wanted") == 0).select("*", *[
@@ -109,7 +110,7 @@ def recommend(requests: DataFrame, stats: DataFrame, venue: DataFrame, max_limit
     by_rating = spread.join(broadcast_if_small(plain), ["k_city", "k_division", "k_place_kind"]).filter(fits).select(
         "sig", "place_id", *keep, F.array().cast("array<string>").alias("matched_preferences"),
         F.lit(0).cast("long").alias("matched_review_count"), F.lit(None).cast("double").alias("evidence_share"),
-        F.bround(0.75 * rating + 0.25 * volume, 4).alias("match_score"))
+        half_even(0.75 * rating + 0.25 * volume, 4).alias("match_score"))
 
     top = top_per_key(by_wish.unionByName(by_rating), ["sig"],
                       [F.desc("match_score"), F.desc("review_count"), F.asc("place_id")], max_limit)

@@ -164,7 +164,7 @@ def fill_keywords(summary: DataFrame) -> DataFrame:
 
 def topic_summary(topics: DataFrame, mapping: DataFrame, long_tail: DataFrame, preferences: DataFrame) -> DataFrame:
     """Interpretation, mapping, flags and the three leading keywords in one row per topic."""
-    words = F.filter(F.transform(F.split("top_keywords", ","), F.trim), lambda w: w != "")
+    words = F.filter(F.transform(F.split("top_keywords", ","), lambda w: F.trim(w)), lambda w: w != "")
     t = topics.select("topic_id", "topic_name", "top_keywords", "review_count", "interpretation",
                       "dimension_hint")
     m = mapping.select("topic_id", "interpreted_label", "preference_id", "category", "subcategory",

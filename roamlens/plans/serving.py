@@ -251,6 +251,15 @@ REQUESTS_SQL = """requests AS MATERIALIZED (SELECT c_custkey AS request_id,
   CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING') THEN division END AS q_division,
   CASE WHEN c_mktsegment = 'FURNITURE' THEN 'attraction' END AS q_kind, concat(district, '/2') AS skip
   FROM customer JOIN geo ON c_nationkey = n_nationkey, (SELECT ['SMALL', 'MEDIUM', 'LARGE', 'STANDARD', 'PROMO', 'ECONOMY'] AS p))"""
+
+
+def even(x: str, digits: int) -> str:
+    """Half-even rounding of ``x`` in exact decimals."""
+    q = f"CAST({x} AS DECIMAL(18, 9)) * 1{'0' * digits}"
+    up = f"({q}) - floor({q}) > 0.5 OR (({q}) - floor({q}) = 0.5 AND floor({q}) % 2 = 1)"
+    return f"(CAST(floor({q}) + CASE WHEN {up} THEN 1 ELSE 0 END AS DOUBLE) / 1{'0' * digits})"
+
+
 RECOMMEND_SQL = f"""WITH {REQUESTS_SQL},
 cand AS (SELECT r.request_id, r.wanted, s.place_id, s.place_name, s.city, s.district, s.division, s.category, s.place_kind, s.review_count,
     s.avg_review_rating AS avg_rating, coalesce(s.avg_review_rating, 0) / 5 AS rn
@@ -258,10 +267,10 @@ cand AS (SELECT r.request_id, r.wanted, s.place_id, s.place_name, s.city, s.dist
     AND (q_kind IS NULL OR q_kind = s.place_kind) AND (s.city IS NULL OR lower(s.city) <> lower(skip)) AND s.review_count >= 1),
 ev AS (SELECT c.request_id, c.place_id, list_sort(list(v.preference_id)) AS matched_preferences, CAST(sum(v.review_count) AS BIGINT) AS m
   FROM cand c JOIN venue v ON v.place_id = c.place_id AND list_contains(c.wanted, upper(v.preference_id)) GROUP BY 1, 2),
-scored_places AS (SELECT c.*, matched_preferences, m AS matched_review_count, round_even(m::DOUBLE / review_count, 4) AS evidence_share,
-    round_even(0.45::DOUBLE * (m::DOUBLE / review_count) + 0.30::DOUBLE * len(matched_preferences) / len(wanted) + 0.25::DOUBLE * rn, 4) AS match_score
+scored_places AS (SELECT c.*, matched_preferences, m AS matched_review_count, {even('(m::DOUBLE / review_count)', 4)} AS evidence_share,
+    {even('(0.45::DOUBLE * (m::DOUBLE / review_count) + 0.30::DOUBLE * len(matched_preferences) / len(wanted) + 0.25::DOUBLE * rn)', 4)} AS match_score
   FROM cand c JOIN ev USING (request_id, place_id) WHERE len(wanted) > 0
-  UNION ALL SELECT c.*, []::VARCHAR[], 0, NULL, round_even(0.75::DOUBLE * rn + 0.25::DOUBLE * least(review_count / 50.0::DOUBLE, 1.0::DOUBLE), 4) FROM cand c WHERE len(wanted) = 0)
+  UNION ALL SELECT c.*, []::VARCHAR[], 0, NULL, {even('(0.75::DOUBLE * rn + 0.25::DOUBLE * least(review_count / 50.0::DOUBLE, 1.0::DOUBLE))', 4)} FROM cand c WHERE len(wanted) = 0)
 SELECT request_id, place_id, place_name, city, district, division, category, place_kind, review_count, avg_rating, matched_preferences,
   matched_review_count, evidence_share, match_score, rank
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY match_score DESC, review_count DESC, place_id) AS INTEGER) AS rank FROM scored_places)
@@ -284,8 +293,8 @@ wide AS (SELECT compare_id, s.place_id, avg_review_rating AS avg_rating, review_
   round_even(positive_reviews::DOUBLE / nullif(review_count, 0), 4) AS positive_share, round_even(negative_reviews::DOUBLE / nullif(review_count, 0), 4) AS negative_share,
   coalesce(breadth, 0)::DOUBLE AS preference_breadth, round_even(coalesce(mapped, 0)::DOUBLE / nullif(review_count, 0), 4) AS evidence_share
   FROM comparisons c JOIN place_stats s ON s.place_id = c.place_id LEFT JOIN (SELECT place_id, count(*) AS breadth, sum(review_count) AS mapped FROM venue GROUP BY 1) v ON v.place_id = c.place_id),
-long AS (UNPIVOT INCLUDE NULLS wide ON avg_rating, review_count, positive_share, negative_share, preference_breadth, evidence_share INTO NAME metric VALUE value),
-best AS (SELECT *, value = CASE WHEN metric = 'negative_share' THEN min(value) OVER w ELSE max(value) OVER w END AS b FROM long WINDOW w AS (PARTITION BY compare_id, metric))
+metric_rows AS (SELECT * FROM wide UNPIVOT INCLUDE NULLS (value FOR metric IN (avg_rating, review_count, positive_share, negative_share, preference_breadth, evidence_share))),
+best AS (SELECT *, value = CASE WHEN metric = 'negative_share' THEN min(value) OVER w ELSE max(value) OVER w END AS b FROM metric_rows WINDOW w AS (PARTITION BY compare_id, metric))
 SELECT compare_id, metric, place_id, value, coalesce(b, false) AND sum(coalesce(b, false)::INT) OVER (PARTITION BY compare_id, metric) = 1 AS is_leader FROM best
 """)(lambda t: retrieval.compare_metrics(comparisons(t), stats(t), venue(t)))
 query("ret_6_compare_preferences", COMPARE_SQL + """
