@@ -29,28 +29,24 @@ def drop_generic(mentions: DataFrame) -> DataFrame:
 
 
 # ---- dictionary match ---------------------------------------------------------------------------
-def tokens(texts: DataFrame) -> DataFrame:
-    """(review_id, pos, start, end, token) with 0-based character offsets.
+def match_positions(texts: DataFrame, pattern: str) -> DataFrame:
+    """(review_id, pos, token, start, end) of every match, with 0-based character offsets.
 
-    Each gap is found from the text that follows the previous token, so offsets are counted
-    in characters, and one text stays inside its row until it is exploded.
+    Matches and the gaps between them are taken in one pass; offsets are a running sum over
+    one text, counted in characters.
     """
-    words = F.regexp_extract_all("review_text", F.lit(TOKEN), F.lit(0))
-    gaps = F.split("review_text", TOKEN)
-    lens = F.transform(F.arrays_zip(words.alias("w"), gaps.alias("g")),
-                       lambda z: F.struct(z["w"].alias("w"), F.length(z["g"]).alias("g"), F.length(z["w"]).alias("n")))
-    return texts.select("review_id", F.posexplode(lens).alias("pos", "t")).filter("t.w IS NOT NULL").select(
-        "review_id", "pos", F.col("t.w").alias("token"), F.col("t.g").alias("gap"), F.col("t.n").alias("n"))
-
-
-def _positions(texts: DataFrame) -> DataFrame:
-    tok = tokens(texts)
+    words = F.regexp_extract_all("review_text", F.lit(pattern), F.lit(0))
+    gaps = F.split("review_text", pattern)
+    cut = texts.select("review_id", words.alias("words"), gaps.alias("gaps")).select(
+        "review_id", F.posexplode(F.transform("words", lambda w, i: F.struct(
+            w.alias("w"), F.length(F.get("gaps", i)).alias("g"), F.length(w).alias("n")))).alias("pos", "t"))
     w = Window.partitionBy("review_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)  # one text
-    end = F.sum(F.col("gap") + F.col("n")).over(w)
-    return tok.withColumn("end", end.cast("int")).withColumn("start", (F.col("end") - F.col("n")).cast("int"))
+    end = F.sum(F.col("t.g") + F.col("t.n")).over(w).cast("int")
+    return cut.withColumn("end", end).select(
+        "review_id", "pos", F.col("t.w").alias("token"), (F.col("end") - F.col("t.n")).cast("int").alias("start"), "end")
 
 
-def _endings(token: Column, last: bool) -> Column:
+def _endings(token: Column) -> Column:
     """Forms a closing word may stand for: itself, without plural, without a Bangla ending."""
     plural = F.array(token, F.regexp_replace(token, "s$", ""), F.regexp_replace(token, "es$", ""))
     suffixes = F.array(*[F.lit(s) for s in vocab.BANGLA_SUFFIXES])
@@ -71,35 +67,29 @@ def term_spans(texts: DataFrame, terms: DataFrame, plurals: bool) -> DataFrame:
     t = t.filter(F.size("words") > 0).select(
         "term_id", "term", F.size("words").alias("size"), F.array_join("words", " ").alias("key"),
         F.length(F.regexp_extract("term", f"^[^{T.WORD_CHARS}]*", 0)).alias("lead"), F.length("term").alias("len"))
-    longest = t.agg(F.max("size")).scalar()
-    sizes = t.select("size").distinct()
-    pos = _positions(texts)
+    longest = t.agg(F.max("size")).first()[0] or 1  # one number
     w = Window.partitionBy("review_id").orderBy("pos")  # one text
-    # The run of words starting here, as far as any term reaches.
-    ahead = F.collect_list("token").over(w.rowsBetween(0, Window.currentRow + 15))
-    if isinstance(longest, Column):
-        runs = pos.withColumn("ahead", F.transform(ahead, lambda x: F.lower(x))).withColumn("longest", longest)
-    body = texts.select("review_id", F.col("review_text").alias("body"))
-    grams = runs.filter("longest <= 16").withColumn(
-        "size", F.explode(F.sequence(F.lit(1), F.least(F.col("longest"), F.size("ahead")))))
-    grams = grams.join(F.broadcast(sizes), "size", "left_semi")
-    head = F.slice("ahead", F.lit(1), F.col("size") - 1)
+    ahead = F.array_compact(F.array(*[F.lead(F.lower("token"), j).over(w) for j in range(longest)]))
+    runs = match_positions(texts, TOKEN).select("review_id", "start", ahead.alias("ahead"))
+    grams = runs.withColumn("size", F.explode(F.sequence(F.lit(1), F.size("ahead"))))
+    grams = grams.join(F.broadcast(t.select("size").distinct()), "size", "left_semi")
     last = F.element_at("ahead", F.col("size"))
-    forms = _endings(last, True) if plurals else F.when(last.rlike(BENGALI), _endings(last, True)).otherwise(F.array(last))
-    grams = grams.withColumn("form", F.explode(forms)).withColumn("key", F.concat_ws(" ", F.array_join(head, " "), F.col("form")))
-    grams = grams.withColumn("key", F.when(F.col("size") == 1, F.col("form")).otherwise(F.col("key"))).select(
-        "review_id", "start", "size", "key")
+    forms = _endings(last) if plurals else F.when(last.rlike(BENGALI), _endings(last)).otherwise(F.array(last))
+    head = F.slice("ahead", F.lit(1), F.col("size") - 1)
+    key = F.array_join(F.concat(head, F.array("form")), " ")
+    grams = grams.withColumn("form", F.explode(forms)).select("review_id", "start", "size", key.alias("key"))
     hits = grams.join(broadcast_if_small(t), ["size", "key"])
+    body = texts.select("review_id", F.col("review_text").alias("body"))
     at = hits.withColumn("s", F.col("start") - F.col("lead")).withColumn("e", F.col("s") + F.col("len"))
     checked = at.join(body, "review_id").filter(
         (F.col("s") >= 0) & (F.lower(F.substring("body", F.col("s") + 1, F.col("len"))) == F.lower("term")))
-    before = F.substring("body", F.col("s"), F.when(F.col("s") > 0, 1).otherwise(0))
-    after = F.substring("body", F.col("e") + 1, F.lit(1))
+    # Word runs already end at word boundaries; only terms with punctuation at an end need a look.
     edge = f"[{T.WORD_CHARS}]"
-    free_start = ~before.rlike(edge)
-    # A following word character is allowed only where an ending was accepted for the last word.
-    closed = ~after.rlike(edge) | F.lit(plurals) | F.col("term").rlike(BENGALI)
-    return checked.filter(free_start & closed).select(
+    before = F.when(F.col("s") > 0, F.substring("body", F.col("s"), F.lit(1))).otherwise("")
+    after = F.substring("body", F.col("e") + 1, F.lit(1))
+    free = F.col("term").rlike("^" + edge) | ~before.rlike(edge)
+    closed = F.col("term").rlike(edge + "$") | ~after.rlike(edge)
+    return checked.filter(free & closed).select(
         "review_id", "term_id", "term", F.col("s").cast("int").alias("start"), F.col("e").cast("int").alias("end"),
         F.substring("body", F.col("s") + 1, F.col("len")).alias("surface")).distinct()
 
@@ -141,13 +131,11 @@ def lexicon_mentions(texts: DataFrame, lexicon: DataFrame, places: DataFrame) ->
     keyed = terms.select(F.concat_ws("\u0001", "entity_type", "surface").alias("term_id"), F.col("surface").alias("term"), "entity_type", "concept")
     spans = term_spans(texts, keyed.select("term_id", "term"), plurals=True).join(
         broadcast_if_small(keyed.select("term_id", "entity_type", "concept")), "term_id")
-    w = Window.partitionBy("review_id").orderBy("start", F.desc("end"))  # one text
+    w = Window.partitionBy("review_id").orderBy("start", F.desc("end"), F.desc("p"))  # one text
     both = spans.select("review_id", "start", "end", "surface", "entity_type", F.col("concept").alias("name"), F.lit(0).alias("p")).unionByName(
         places.select("review_id", "start", "end", "surface", "entity_type", "name", F.lit(1).alias("p")))
-    reach = F.max(F.when(F.col("p") == 1, F.col("end"))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    del reach
     prior = F.max(F.when(F.col("p") == 1, F.col("end"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    back = Window.partitionBy("review_id").orderBy(F.desc("start"), F.asc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("review_id").orderBy(F.desc("start"), F.asc("end"), F.asc("p")).rowsBetween(Window.unboundedPreceding, -1)
     later = F.min(F.when(F.col("p") == 1, F.col("start"))).over(back)
     free = both.withColumn("prior", prior).withColumn("later", later).filter(
         "p = 0 AND (prior IS NULL OR prior <= start) AND (later IS NULL OR later >= end)")
@@ -173,39 +161,29 @@ def cue_mentions(texts: DataFrame) -> DataFrame:
     for kind, patterns in (("ACCESS", vocab.ACCESS_CUES), ("TIP", vocab.TIP_CUES)):
         for pattern in patterns:
             java = "(?iU)" + pattern
-            found = texts.filter(F.col("review_text").rlike(java)).select(
-                "review_id", "review_text", F.lit(kind).alias("entity_type"),
-                F.explode(F.regexp_extract_all("review_text", F.lit(java), F.lit(0))).alias("raw"))
+            found = match_positions(texts.filter(F.col("review_text").rlike(java)), java).withColumn("entity_type", F.lit(kind))
             out = found if out is None else out.unionByName(found)
-    # Occurrence k of a phrase is located after the k - 1 before it.
-    w = Window.partitionBy("review_id", "entity_type", "raw").orderBy("raw")  # one phrase of one text
-    n = out.withColumn("k", F.row_number().over(w))
-    before = F.slice(F.split("review_text", F.concat(F.lit(r"\Q"), F.col("raw"), F.lit(r"\E")), -1), F.lit(1), F.col("k"))
-    start = F.aggregate(before, F.lit(0), lambda s, p: s + F.length(p)) + (F.col("k") - 1) * F.length("raw")
-    located = n.withColumn("start", start.cast("int")).withColumn("stop", F.col("start") + F.length("raw"))
-    after = F.substring("review_text", F.col("stop") + 1, F.lit(1))
+    body = texts.select("review_id", "review_text")
     letter = r"[\p{L}\p{N}]"
-    mid_word = after.rlike(letter) & F.col("raw").rlike(letter + "$")
-    # The reference drops letters of a cut-off word one by one, keeping its first.
-    cut = F.when(mid_word, F.regexp_replace("raw", rf"(?<={letter}){letter}+$", "")).otherwise(F.col("raw"))
-    cut = F.when(mid_word & F.col("raw").rlike(rf"(?:^|[^\p{{L}}\p{{N}}]){letter}$"), F.regexp_replace("raw", letter + "$", "")).otherwise(cut)
-    surface = F.regexp_replace(cut, "^[ .,;:!?-]+|[ .,;:!?-]+$", "")
-    lead = F.length(F.regexp_extract("raw", "^[ .,;:!?-]*", 0))
-    return located.select(
+    after = F.substring("review_text", F.col("end") + 1, F.lit(1))
+    whole = F.when(after.rlike(letter), F.regexp_replace("token", letter + "+$", "")).otherwise(F.col("token"))
+    surface = F.regexp_replace(whole, "^[ .,;:!?-]+|[ .,;:!?-]+$", "")
+    lead = F.length(F.regexp_extract("token", "^[ .,;:!?-]*", 0))
+    return out.join(body, "review_id").select(
         "review_id", "entity_type", surface.alias("surface"), (F.col("start") + lead).alias("start")).filter("surface <> ''").withColumn(
         "end", F.col("start") + F.length("surface")).withColumn("name", F.col("surface"))
 
 
 # ---- grounding ---------------------------------------------------------------------------------
 @F.pandas_udf("struct<at:int,len:int>")
-def _normalized_find(text: pd.Series, surface: pd.Series, resume: pd.Series) -> pd.DataFrame:
-    """First span whose composed, squeezed form equals the surface's.
+def _normalized_find(text: pd.Series, surface: pd.Series, resume: pd.Series, nth: pd.Series) -> pd.DataFrame:
+    """The nth span from ``resume`` on whose composed, squeezed form equals the surface's.
 
     The text is normalised once with a map back to its own offsets, then searched.
     """
     pairs = {a: b for a, b in vocab.BENGALI_COMPOSE}
 
-    def one(t, s, r):
+    def one(t, s, r, nth):
         if t is None or s is None:
             return (None, None)
         form, where, i = [], [], int(r)
@@ -229,13 +207,15 @@ def _normalized_find(text: pd.Series, surface: pd.Series, resume: pd.Series) ->
         want = s
         for a, b in vocab.BENGALI_COMPOSE:
             want = want.replace(a, b)
-        at = target.find(want)
-        if at < 0:
-            return (None, None)
+        at = -len(want)
+        for _ in range(int(nth)):
+            at = target.find(want, at + len(want))
+            if at < 0:
+                return (None, None)
         start, end = where[at][0], where[at + len(want) - 1][1]
         return (start, end - start)
 
-    rows = [one(t, s, r) for t, s, r in zip(text, surface, resume)]
+    rows = [one(*row) for row in zip(text, surface, resume, nth)]
     return pd.DataFrame(rows, columns=["at", "len"]).astype("Int32")
 
 
@@ -263,7 +243,7 @@ def ground(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     search = c.filter("early IS NULL AND NOT offered").withColumn("low", F.lower("s"))
     packed = search.groupBy("review_id", "low").agg(
         F.array_sort(F.collect_list(F.struct("cand_no", "s"))).alias("list"), F.first("review_text").alias("body"))
-    step = "struct<resume:int,out:array<struct<cand_no:bigint,at:int,len:int,kind:string>>>"
+    step = "struct<resume:int,out:array<struct<cand_no:bigint,at:int,len:int,kind:string,resume:int,nth:int>>>"
     body, low_body = F.col("body"), F.col("low_body")
 
     def walk(acc, x):
@@ -277,14 +257,15 @@ def ground(candidates: DataFrame, texts: DataFrame) -> DataFrame:
         at = F.when(exact > 0, exact - 1).when(case > 0, case - 1).when(loose.isNotNull(), r + F.position(loose, rest) - 1)
         n = F.when((exact > 0) | (case > 0), F.length(x["s"])).otherwise(F.length(loose))
         kind = F.when(exact > 0, "exact").when(case > 0, "case").when(loose.isNotNull(), "whitespace")
-        hit = F.struct(x["cand_no"].cast("bigint").alias("cand_no"), at.cast("int").alias("at"), n.cast("int").alias("len"), kind.alias("kind"))
+        hit = F.struct(x["cand_no"].cast("bigint").alias("cand_no"), at.cast("int").alias("at"), n.cast("int").alias("len"), kind.alias("kind"),
+                       r.alias("resume"), (1 + F.size(F.filter(acc["out"], lambda h: h["at"].isNull()))).alias("nth"))
         return F.struct(F.coalesce(at + n, r).cast("int").alias("resume"), F.concat(acc["out"], F.array(hit)).alias("out")).cast(step)
 
-    start = F.struct(F.lit(0).alias("resume"), F.array().cast("array<struct<cand_no:bigint,at:int,len:int,kind:string>>").alias("out")).cast(step)
+    start = F.struct(F.lit(0).alias("resume"), F.array().cast("array<struct<cand_no:bigint,at:int,len:int,kind:string,resume:int,nth:int>>").alias("out")).cast(step)
     walked = packed.withColumn("low_body", F.lower("body")).select("review_id", F.explode(F.aggregate("list", start, walk)["out"]).alias("h"))
     found = search.join(walked.select("review_id", "h.*").withColumnRenamed("kind", "found_kind"), ["review_id", "cand_no"])
     respell = F.col("at").isNull() & F.col("s").rlike(BENGALI) & (normalize_bangla(F.col("s")) != F.col("s"))
-    found = found.withColumn("n", _normalized_find(F.when(respell, F.col("review_text")), F.when(respell, normalize_bangla(F.col("s"))), F.lit(0)))
+    found = found.withColumn("n", _normalized_find(F.when(respell, F.col("review_text")), F.when(respell, normalize_bangla(F.col("s"))), F.coalesce("resume", F.lit(0)), F.coalesce("nth", F.lit(1))))
     found = found.withColumn("found_kind", F.coalesce("found_kind", F.when(F.col("n.at").isNotNull(), "normalized"))).withColumn(
         "len", F.coalesce("len", "n.len")).withColumn("at", F.coalesce("at", "n.at"))
     searched = found.select(*cols, F.when(F.col("at").isNull(), "not-in-source").alias("reason"), "at",
