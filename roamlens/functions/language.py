@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from roamlens.functions import vocab
 from roamlens.functions.text import WS, squeeze
@@ -16,7 +17,7 @@ LATIN = "[A-Za-z]"
 _FOREIGN_MARK = r"[\p{M}&&[^\x{0980}-\x{09ff}]]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 

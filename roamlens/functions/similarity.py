@@ -5,60 +5,32 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from roamlens.functions import vocab
+from roamlens.functions.tasks import best_two, indel, token_set
 
 
-def _lcs(a: str, b: str) -> int:
-    """Longest common subsequence length, one bit row per character of ``a``."""
-    if not a or not b:
-        return 0
-    where: dict[str, int] = {}
-    for i, ch in enumerate(b):
-        where[ch] = where.get(ch, 0) | (1 << i)
-    row, full = (1 << len(b)) - 1, (1 << len(b)) - 1
-    for ch in a:
-        hit = row & where.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return bin(~row & full).count("1")
-
-
-def indel(a: str, b: str) -> float:
-    """0-100: share of characters kept when only inserts and deletes are allowed."""
-    total = len(a) + len(b)
-    return 100.0 if total == 0 else 200.0 * _lcs(a, b) / total
-
-
-def token_set(a: str, b: str) -> float:
-    """Best indel ratio among the shared words and the shared words plus each rest."""
-    left, right = set(a.split()), set(b.split())
-    if not left or not right:
-        return 0.0
-    shared = " ".join(sorted(left & right))
-    only_a, only_b = " ".join(sorted(left - right)), " ".join(sorted(right - left))
-    if shared and (not only_a or not only_b):
-        return 100.0
-    with_a, with_b = f"{shared} {only_a}".strip(), f"{shared} {only_b}".strip()
-    best = indel(with_a, with_b)
-    if shared:
-        best = max(best, indel(shared, with_a), indel(shared, with_b))
-    return best
-
-
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Indel ratio 0-100 of already paired names."""
     return pd.Series([None if x is None or y is None else indel(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The larger of the token-set ratio and the indel ratio, 0-100."""
     return pd.Series([None if x is None or y is None else max(token_set(x, y), indel(x, y))
                       for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(ArrayType(StructType([StructField("similarity", DoubleType()), StructField("name", StringType())])))
+def best_in_block(name: pd.Series, block: pd.Series) -> pd.Series:
+    """The two names of each block most like a name, at 0.6 or more."""
+    return pd.Series([best_two(n, b, vocab.NAME_SUGGEST) for n, b in zip(name, block)])
+
+
+@F.pandas_udf(DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """Two-sided normal tail probability; one value per finished test."""
     from math import erfc, sqrt

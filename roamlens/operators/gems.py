@@ -105,7 +105,7 @@ def term_weights(docs: DataFrame, stop_words: list[str]) -> DataFrame:
     Equal texts are weighed once by giving each distinct text one id.
     """
     stop = F.array(*[F.lit(s) for s in stop_words])
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(rf"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~F.array_contains(stop, w))
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(f"[{T.WORD_CHARS}]{{2,}}"), F.lit(0)), lambda w: ~F.array_contains(stop, w))
     tf = docs.select("doc", F.explode(words).alias("term")).groupBy("doc", "term").agg(F.count(ONE).alias("c"))
     n = docs.agg(F.count(ONE)).scalar()
     df = tf.groupBy("term").agg(F.count(ONE).alias("df"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roamlens.functions import similarity as S
 from roamlens.functions import text as T
 from roamlens.functions import vocab
+from roamlens.functions.similarity import best_in_block
 from roamlens.functions.language import script_shares
 from roamlens.session import broadcast_if_small, first_per_key, global_row_number, top_per_key
 
@@ -336,28 +336,6 @@ def spelling_proposals(names: DataFrame, listed: DataFrame, decided: DataFrame)
     )
 
 
-_TOP = "array<struct<similarity:double,name:string>>"
-
-
-@F.pandas_udf(_TOP)
-def _best_in_block(name: pd.Series, block: pd.Series) -> pd.Series:
-    """The two most alike names of a block, contained names counting as 0.85."""
-    def two(n, names):
-        best: list[tuple[float, str]] = []
-        for other in names:
-            inside = n in other or other in n
-            # An upper bound from the lengths alone spares most comparisons.
-            bound = 2.0 * min(len(n), len(other)) / (len(n) + len(other))
-            floor = best[-1][0] if len(best) == 2 else vocab.NAME_SUGGEST
-            if not inside and bound < floor:
-                continue
-            score = S.indel(n, other) / 100
-            best = sorted(best + [(max(score, 0.85) if inside else score, other)], key=lambda t: (-t[0], t[1]))[:2]
-        return [{"similarity": s, "name": o} for s, o in best if s >= vocab.NAME_SUGGEST]
-
-    return pd.Series([two(n, b) for n, b in zip(name, block)])
-
-
 def name_suggestions(unmatched: DataFrame, listed: DataFrame, block: int = 500) -> DataFrame:
     """Up to two listed names alike an unmatched name (similarity 0.6 or more).
 
@@ -370,7 +348,7 @@ def name_suggestions(unmatched: DataFrame, listed: DataFrame, block: int = 500)
         F.sort_array(F.collect_list("n")).alias("names"))
     base = unmatched.select("place_name", T.norm_name(F.col("place_name")).alias("key")).filter("key <> ''")
     asked = base.select("key").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), count - 1)))
-    found = asked.join(filed, "b").select("key", F.explode(_best_in_block("key", "names")).alias("c"))
+    found = asked.join(filed, "b").select("key", F.explode(best_in_block("key", "names")).alias("c"))
     top = top_per_key(found.select("key", "c.similarity", "c.name"), ["key"], [F.desc("similarity"), F.asc("name")], 2)
     return base.join(top, "key").select("place_name", "rank", F.bround("similarity", 2).alias("similarity"),
                                         F.col("name").alias("suggestion"))

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from roamlens.functions import text as T
 from roamlens.functions import vocab
@@ -175,7 +176,7 @@ def cue_mentions(texts: DataFrame) -> DataFrame:
 
 
 # ---- grounding ---------------------------------------------------------------------------------
-@F.pandas_udf("struct<at:int,len:int>")
+@F.pandas_udf(StructType([StructField("at", IntegerType()), StructField("len", IntegerType())]))
 def _normalized_find(text: pd.Series, surface: pd.Series, resume: pd.Series, nth: pd.Series) -> pd.DataFrame:
     """The nth span from ``resume`` on whose composed, squeezed form equals the surface's.
 

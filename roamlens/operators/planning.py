@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roamlens.functions import vocab
 from roamlens.functions.similarity import half_even
+from roamlens.functions.tasks import fill_days
 from roamlens.operators import retrieval
 from roamlens.session import broadcast_if_small, top_per_key
 
@@ -88,35 +88,11 @@ def allocate_days(ranked: DataFrame) -> DataFrame:
 _DAY = "request_id string, region string, region_rank int, region_day int, stop int, place_id long"
 
 
-def _fill_days(group: pd.DataFrame) -> pd.DataFrame:
-    """Greedy fill of one region of one trip: a seed per day, then its district, city, next best."""
-    group = group.sort_values("pos")
-    left = list(group[["place_id", "district", "city"]].itertuples(index=False, name=None))
-    head = group.iloc[0]
-    rows = []
-    for day in range(1, int(head.region_days) + 1):
-        if not left:
-            break
-        seed = left.pop(0)
-        rows.append((day, 1, seed[0]))
-        for stop in range(2, int(head.per_day) + 1):
-            if not left:
-                break
-            near = [i for i, p in enumerate(left) if p[1] and p[1] == seed[1]]
-            near = near or [i for i, p in enumerate(left) if p[2] and p[2] == seed[2]] or [0]
-            rows.append((day, stop, left.pop(near[0])[0]))
-    out = pd.DataFrame(rows, columns=["region_day", "stop", "place_id"])
-    out.insert(0, "request_id", head.request_id)
-    out.insert(1, "region", head.region)
-    out.insert(2, "region_rank", head.region_rank)
-    return out
-
-
 def day_stops(ranked: DataFrame, allocation: DataFrame) -> DataFrame:
     """Stops per day. A group is one region of one trip, at most 200 candidates."""
     a = allocation.filter("region_days > 0").select("request_id", "region", "region_rank", "per_day", "region_days")
     base = ranked.select("request_id", "region", "pos", "place_id", "district", "city").join(a, ["request_id", "region"])
-    filled = base.groupBy("request_id", "region").applyInPandas(_fill_days, _DAY)
+    filled = base.groupBy("request_id", "region").applyInPandas(fill_days, _DAY)
     days = filled.select("request_id", "region", "region_rank", "region_day").distinct().withColumn(
         "day", F.row_number().over(Window.partitionBy("request_id").orderBy("region_rank", "region_day")))
     return filled.join(days, ["request_id", "region", "region_rank", "region_day"]).join(

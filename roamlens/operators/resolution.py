@@ -218,7 +218,8 @@ def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> Data
 
 
 def resolve(groups: DataFrame) -> DataFrame:
-    """Cluster of every surface."""
+    """Cluster of every surface. The groups feed many rules, so they are written once."""
+    groups = cut_lineage(groups)
     return components(groups, merge_links(groups))
 
 

@@ -212,6 +212,140 @@ FRAMES["texts"] = """
 SELECT doc_id AS review_id, source, source AS place_name, text AS review_text, lang AS review_language FROM documents"""
 
 
+FRAMES["entity_reviews"] = "SELECT entity_id, review_id, count(*) AS m FROM mentions GROUP BY 1, 2"
+
+FRAMES["visible_lookup"] = """
+SELECT *, CASE WHEN visibility = 'V3' THEN concat('well documented: ', links, ' sitelink(s)') WHEN visibility = 'V2' THEN concat('moderately documented: ', links, ' sitelink(s)')
+  WHEN visibility = 'V1' THEN CASE WHEN osm_found THEN 'on the map but barely documented' ELSE 'in the knowledge base but barely documented' END
+  WHEN visibility = 'V0' THEN 'absent from both sources' WHEN osm_status <> 'ok' AND wikidata_status <> 'ok' THEN 'neither source could be reached'
+  ELSE 'absent from one source, the other was unreachable' END AS visibility_reason
+FROM (SELECT *, coalesce(wikidata_sitelinks, -1) AS links,
+  CASE WHEN osm_status <> 'ok' AND wikidata_status <> 'ok' THEN 'unknown' WHEN coalesce(wikidata_sitelinks, -1) >= 20 OR coalesce(osm_importance, 0) >= 0.35 THEN 'V3'
+  WHEN coalesce(wikidata_sitelinks, -1) >= 5 OR coalesce(osm_importance, 0) >= 0.10 THEN 'V2' WHEN osm_found OR wikidata_found THEN 'V1'
+  WHEN osm_status = 'ok' AND wikidata_status = 'ok' THEN 'V0' ELSE 'unknown' END AS visibility FROM lookups)"""
+
+FRAMES["visible"] = """
+SELECT entity_id, name, maps_place, maps_review_count, lat, lng,
+  CASE WHEN maps > visibility OR (visibility = 'unknown' AND maps IS NOT NULL) THEN maps ELSE visibility END AS visibility,
+  CASE WHEN maps > visibility OR (visibility = 'unknown' AND maps IS NOT NULL) THEN concat('on the place list as ', maps_place, CASE WHEN maps_review_count IS NULL
+    THEN ' (review count not recorded)' ELSE concat(' with ', maps_review_count, ' review(s)') END) ELSE visibility_reason END AS visibility_reason
+FROM (SELECT *, CASE WHEN maps_place IS NOT NULL THEN CASE WHEN maps_review_count >= 1000 THEN 'V3' WHEN maps_review_count >= 100 THEN 'V2' ELSE 'V1' END END AS maps FROM visible_lookup)"""
+
+FRAMES["gem_candidates"] = """
+SELECT e.entity_id, e.canonical_name, e.entity_type, n_mentions, n_reviews FROM (SELECT entity_id, canonical_name, entity_type FROM entities WHERE entity_type = 'PLACE') e
+JOIN (SELECT entity_id, CAST(sum(m) AS BIGINT) AS n_mentions, count(*) AS n_reviews FROM entity_reviews GROUP BY 1 HAVING count(*) >= 2) USING (entity_id)"""
+
+FRAMES["recency"] = """
+SELECT entity_id, avg((review_date >= (SELECT max(review_date) - INTERVAL 36 MONTH FROM host_reviews))::INT::DOUBLE) AS term_recency,
+  count(DISTINCT source) AS n_sources, count(DISTINCT year(review_date)) AS n_years FROM entity_reviews JOIN host_reviews USING (review_id) GROUP BY 1"""
+
+FRAMES["word_weights"] = """
+SELECT DISTINCT w AS word, (length(w) % 5 - 2)::DOUBLE AS weight FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part)"""
+
+FRAMES["sentence_uses"] = "SELECT entity_id, sentence AS s, count(*) AS times FROM mentions WHERE trim(sentence) <> '' GROUP BY 1, 2"
+
+FRAMES["sentiment"] = """
+SELECT entity_id, (sum(c * times) / sum(times) + 1) / 2 AS term_sentiment, CAST(sum(times) AS BIGINT) AS n_sentiment_sentences
+FROM (SELECT entity_id, times, coalesce(x, 0) / sqrt(coalesce(x, 0) * coalesce(x, 0) + 15) AS c FROM sentence_uses LEFT JOIN (
+  SELECT s, sum(weight) AS x FROM (SELECT s, unnest(regexp_extract_all(lower(s), '[\\p{L}'']+')) AS w FROM (SELECT DISTINCT s FROM sentence_uses)) JOIN word_weights ON w = word GROUP BY 1) USING (s)) GROUP BY 1"""
+
+FRAMES["tf_docs"] = """
+SELECT concat('r', review_id) AS doc, concat_ws(' ', source, place_name, detected_language) AS text FROM host_reviews
+UNION ALL SELECT concat('m', mention_id), sentence FROM mentions"""
+
+FRAMES["tf_counts"] = """
+SELECT doc, term, count(*) AS c FROM (SELECT doc, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM tf_docs) WHERE term NOT IN ('the', 'and', 'of') GROUP BY 1, 2"""
+
+FRAMES["tf_raw"] = """
+SELECT doc, term, (1 + ln(c)) * (ln((1 + (SELECT count(*) FROM tf_docs))::DOUBLE / (1 + df)) + 1) AS w FROM tf_counts JOIN (SELECT term, count(*) AS df FROM tf_counts GROUP BY 1) USING (term)"""
+
+FRAMES["tf_rows"] = "SELECT doc, term, w / norm AS w FROM tf_raw JOIN (SELECT doc, sqrt(sum(w * w)) AS norm FROM tf_raw GROUP BY 1) USING (doc)"
+
+FRAMES["tf_centres"] = """
+SELECT place_name, term, sum(w) AS cw FROM tf_rows JOIN (SELECT concat('r', review_id) AS doc, place_name FROM host_reviews) USING (doc) GROUP BY 1, 2"""
+
+FRAMES["distinct_terms"] = """
+SELECT entity_id, avg(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - coalesce(d / n_rows / clen, 0)))) AS term_distinct FROM
+ (SELECT concat('m', mention_id) AS doc, entity_id, h.place_name FROM mentions m JOIN host_reviews h ON h.review_id = m.review_id) x
+ JOIN (SELECT place_name, n_rows, sqrt(sum((cw / n_rows) * (cw / n_rows))) AS clen FROM tf_centres JOIN (SELECT place_name, count(*) AS n_rows FROM host_reviews GROUP BY 1) USING (place_name) GROUP BY 1, 2) USING (place_name)
+ LEFT JOIN (SELECT r.doc, sum(r.w * c.cw) AS d FROM tf_rows r JOIN (SELECT concat('m', mention_id) AS doc, h.place_name FROM mentions m JOIN host_reviews h ON h.review_id = m.review_id) k ON k.doc = r.doc
+   JOIN tf_centres c ON c.place_name = k.place_name AND c.term = r.term GROUP BY 1) USING (doc) GROUP BY 1"""
+
+FRAMES["gem_terms"] = """
+SELECT g.*, coalesce(r.n_sources, 0) AS n_sources, coalesce(r.n_years, 0) AS n_years, coalesce(v.visibility, 'unknown') AS visibility, least(1.0::DOUBLE, n_reviews / 10.0::DOUBLE) AS term_mentions,
+  CASE v.visibility WHEN 'V0' THEN 1.0::DOUBLE WHEN 'V1' THEN 0.65::DOUBLE WHEN 'V2' THEN 0.30::DOUBLE WHEN 'V3' THEN 0.0::DOUBLE END AS term_hidden,
+  d.term_distinct, s.term_sentiment, r.term_recency, coalesce(s.n_sentiment_sentences, 0) AS n_sentiment_sentences
+FROM gem_candidates g LEFT JOIN visible v USING (entity_id) LEFT JOIN recency r USING (entity_id) LEFT JOIN sentiment s USING (entity_id) LEFT JOIN distinct_terms d USING (entity_id)"""
+
+
+def even(x: str, digits: int) -> str:
+    """Half-even rounding of ``x`` in exact decimals."""
+    q = f"CAST({x} AS DECIMAL(18, 9)) * 1{'0' * digits}"
+    up = f"({q}) - floor({q}) > 0.5 OR (({q}) - floor({q}) = 0.5 AND floor({q}) % 2 = 1)"
+    return f"(CAST(floor({q}) + CASE WHEN {up} THEN 1 ELSE 0 END AS DOUBLE) / 1{'0' * digits})"
+
+
+WEIGHTS = [("mentions", 0.30), ("hidden", 0.30), ("distinct", 0.15), ("sentiment", 0.15), ("recency", 0.10)]
+
+
+def score_sql(without: str = "") -> str:
+    live = [(t, w) for t, w in WEIGHTS if t != without]
+    top = " + ".join(f"coalesce(term_{t} * {w}::DOUBLE, 0)" for t, w in live)
+    weight = " + ".join(f"CASE WHEN term_{t} IS NOT NULL THEN {w}::DOUBLE ELSE 0 END" for t, w in live)
+    return even(f"(({top}) / ({weight}))", 4)
+
+
+FRAMES["scored_gems"] = f"""
+SELECT entity_id, canonical_name, entity_type, {score_sql()} AS gem_score, n_reviews, n_mentions, n_sources, n_years, visibility, visibility = 'V3' AS already_official,
+  {', '.join(f"{even('term_' + t, 4)} AS term_{t}" for t, _ in WEIGHTS)},
+  array_to_string(list_sort(list_filter([{', '.join(f"CASE WHEN term_{t} IS NOT NULL THEN '{t}' END" for t, _ in WEIGHTS)}], lambda x: x IS NOT NULL)), '|') AS terms_used, n_sentiment_sentences
+FROM gem_terms"""
+
+FRAMES["decision_log"] = """
+SELECT event_id AS log_order, strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS decided_at_utc, concat('PLACE/', lower(concat(p_name, ' ', p_brand))) AS entity_id,
+  CASE event_type WHEN 'signup' THEN 'verified' WHEN 'error' THEN 'rejected' ELSE 'sensitive' END AS state, concat('officer ', user_id % 3) AS decided_by, props AS reason
+FROM events JOIN part ON p_partkey = user_id WHERE event_type IN ('signup', 'error', 'click') AND p_type IN ('MEDIUM', 'LARGE')"""
+
+FRAMES["states"] = """
+SELECT entity_id, state, decided_by, decided_at_utc, reason FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY decided_at_utc DESC, log_order DESC) AS rn FROM decision_log) WHERE rn = 1"""
+
+FRAMES["queue_rows"] = """
+SELECT g.entity_id, g.canonical_name, g.entity_type, g.gem_score, g.visibility, g.n_reviews, g.n_mentions, coalesce(s.state, 'candidate') AS state, coalesce(s.state, 'candidate') = 'verified' AS publishable,
+  s.decided_by, s.decided_at_utc, s.reason, coalesce(e.divisions, '') AS divisions, coalesce(e.n, 0) AS n_evidence, coalesce(substr(e.sentence, 1, 200), '') AS example_evidence, coalesce(e.place, '') AS example_found_in
+FROM scored_gems g LEFT JOIN states s USING (entity_id) LEFT JOIN (SELECT entity_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT found_in_division)), '|') AS divisions,
+  min_by(sentence, mention_id) AS sentence, min_by(found_in_place, mention_id) AS place FROM evidence GROUP BY 1) e USING (entity_id)"""
+
+FRAMES["attributes"] = """
+SELECT a.place_name, a.district, a.division, a.entity_type, a.entity_id, e.canonical_name AS name, a.n_reviews, a.n_mentions, first_year, last_year, n_recent_reviews, example_review_id, example_sentence, example_year FROM (
+SELECT place_name, district, division, entity_type, entity_id, count(DISTINCT review_id) AS n_reviews, count(*) AS n_mentions, CAST(min(y) AS INTEGER) AS first_year, CAST(max(y) AS INTEGER) AS last_year,
+  count(DISTINCT CASE WHEN recent THEN review_id END) AS n_recent_reviews, arg_min(review_id, k) AS example_review_id, arg_min(sentence, k) AS example_sentence, CAST(arg_min(y, k) AS INTEGER) AS example_year
+FROM (SELECT *, {'a': any_long AND len < 20, 'b': any_recent_pick AND NOT recent, 'c': abs(len - 120), 'd': review_id, 'e': sentence} AS k FROM (
+  SELECT *, bool_or(len >= 20) OVER w AS any_long, CASE WHEN bool_or(len >= 20) OVER w THEN bool_or(len >= 20 AND recent) OVER w ELSE bool_or(recent) OVER w END AS any_recent_pick FROM (
+    SELECT m.entity_type, m.entity_id, m.review_id, m.sentence, length(m.sentence) AS len, h.place_name, h.district, h.division, year(h.review_date) AS y,
+      h.review_date >= (SELECT max(review_date) - INTERVAL 36 MONTH FROM host_reviews) AS recent FROM mentions m JOIN host_reviews h ON h.review_id = m.review_id WHERE m.entity_type <> 'PLACE')
+  WINDOW w AS (PARTITION BY place_name, entity_id))) GROUP BY 1, 2, 3, 4, 5) a LEFT JOIN entities e ON e.entity_id = a.entity_id"""
+
+FRAMES["specialities"] = """
+SELECT entity_id, name, district, division, r AS reviews_in_district, total AS reviews_total, round_even(r::DOUBLE / total, 3) AS share, n_places, example_sentence FROM (
+SELECT *, CAST(sum(r) OVER (PARTITION BY entity_id) AS BIGINT) AS total, row_number() OVER (PARTITION BY entity_id ORDER BY r DESC, district) AS rn FROM (
+  SELECT entity_id, name, district, division, CAST(sum(n_reviews) AS BIGINT) AS r, count(DISTINCT place_name) AS n_places,
+    arg_min(example_sentence, {'n': -n_reviews, 'p': place_name}) AS example_sentence FROM attributes WHERE entity_type = 'FOOD' GROUP BY 1, 2, 3, 4))
+WHERE rn = 1 AND total >= 3 AND r::DOUBLE / total >= 0.6"""
+
+FRAMES["links"] = """
+SELECT place_a, place_b, count(*) AS n_reviews, count(*) FILTER (f) AS n_found_in, count(*) FILTER (t) AS n_together, min(review_id) AS example_review_id, arg_min(ex, review_id) AS example_sentence FROM (
+SELECT place_a, place_b, review_id, bool_or(hosted) AS f, bool_or(NOT hosted) AS t, arg_min(ex, {'h': NOT hosted, 'e': ex}) AS ex FROM (
+  SELECT review_id, least(host, name) AS place_a, greatest(host, name) AS place_b, sentence AS ex, true AS hosted FROM named WHERE host <> name
+  UNION ALL SELECT a.review_id, a.name, b.name, a.sentence, false FROM named a JOIN named b ON a.review_id = b.review_id AND a.name < b.name) GROUP BY 1, 2, 3)
+GROUP BY 1, 2 HAVING count(*) >= 2"""
+
+FRAMES["named"] = """
+SELECT m.review_id, e.canonical_name AS name, h.host, max(m.sentence) AS sentence FROM mentions m JOIN entities e ON e.entity_id = m.entity_id
+JOIN (SELECT review_id, CASE WHEN CAST(review_id AS BIGINT) % 3 = 0 THEN lower(concat(p_name, ' ', p_brand)) ELSE lower(place_name) END AS host
+      FROM host_reviews LEFT JOIN part ON p_partkey = CAST(review_id AS BIGINT) % 100) h ON h.review_id = m.review_id
+WHERE m.entity_type = 'PLACE' AND h.host IS NOT NULL GROUP BY 1, 2, 3"""
+
+
 def with_frames(sql: str) -> str:
     """Prefix ``sql`` with the frames it names, each after the frames it needs."""
     order: list[str] = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roamlens.operators import joins, retrieval, rollups, topics
+from roamlens.plans.frames_sql import even
 from roamlens.plans.registry import query
 from roamlens.sources.adapters import Tables
 
@@ -253,13 +254,6 @@ REQUESTS_SQL = """requests AS MATERIALIZED (SELECT c_custkey AS request_id,
   FROM customer JOIN geo ON c_nationkey = n_nationkey, (SELECT ['SMALL', 'MEDIUM', 'LARGE', 'STANDARD', 'PROMO', 'ECONOMY'] AS p))"""
 
 
-def even(x: str, digits: int) -> str:
-    """Half-even rounding of ``x`` in exact decimals."""
-    q = f"CAST({x} AS DECIMAL(18, 9)) * 1{'0' * digits}"
-    up = f"({q}) - floor({q}) > 0.5 OR (({q}) - floor({q}) = 0.5 AND floor({q}) % 2 = 1)"
-    return f"(CAST(floor({q}) + CASE WHEN {up} THEN 1 ELSE 0 END AS DOUBLE) / 1{'0' * digits})"
-
-
 RECOMMEND_SQL = f"""WITH {REQUESTS_SQL},
 cand AS (SELECT r.request_id, r.wanted, s.place_id, s.place_name, s.city, s.district, s.division, s.category, s.place_kind, s.review_count,
     s.avg_review_rating AS avg_rating, coalesce(s.avg_review_rating, 0) / 5 AS rn
