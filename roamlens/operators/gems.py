@@ -14,7 +14,7 @@ from roamlens.functions.similarity import half_even
 from roamlens.operators.joins import recent_bound
 from roamlens.session import broadcast_if_small, first_per_key
 
-ONE = F.lit(1)
+ONE = "*"  # counted rows
 TERMS = list(vocab.GEM_WEIGHTS)
 
 

@@ -12,7 +12,7 @@ from roamlens.functions.similarity import best_in_block
 from roamlens.functions.language import script_shares
 from roamlens.session import broadcast_if_small, first_per_key, global_row_number, top_per_key
 
-ONE = F.lit(1)
+ONE = "*"  # counted rows
 
 
 # ---- review spine ------------------------------------------------------------------------

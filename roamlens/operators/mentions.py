@@ -14,7 +14,7 @@ from roamlens.functions import vocab
 from roamlens.functions.language import BENGALI, normalize_bangla, phonetic_key
 from roamlens.session import broadcast_if_small
 
-ONE = F.lit(1)
+ONE = "*"  # counted rows
 TOKEN = f"[{T.WORD_CHARS}]+"
 
 

@@ -10,7 +10,7 @@ from roamlens.functions import vocab
 from roamlens.operators.retrieval import containment_pairs
 from roamlens.session import broadcast_if_small
 
-ONE = F.lit(1)
+ONE = "*"  # counted rows
 P = vocab.INTENT_PATTERNS
 
 

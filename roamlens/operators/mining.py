@@ -11,7 +11,7 @@ from roamlens.functions.language import letters, loose_key, normalize_bangla, ph
 from roamlens.operators.mentions import term_spans
 from roamlens.session import broadcast_if_small
 
-ONE = F.lit(1)
+ONE = "*"  # counted rows
 BANGLA_WORD = r"[\x{0981}-\x{09e3}\x{09f0}\x{09f1}]+"
 
 
@@ -77,7 +77,9 @@ def mine_aligned(pairs: DataFrame, names: DataFrame) -> DataFrame:
     g = grams(pairs.select("review_id", F.col("original").alias("review_text"))).join(named.select("review_id").distinct(), "review_id", "left_semi")
     forms = g.select("review_id", F.col("phrase").alias("form"), F.lit(0).alias("is_base")).unionByName(
         g.filter("base <> phrase").select("review_id", F.col("base").alias("form"), F.lit(1).alias("is_base"))).groupBy("review_id", "form").agg(F.max("is_base").alias("is_base"))
-    keyed = forms.withColumn("fk", loose_key(F.col("form"))).filter(letters(F.col("fk")) >= 2)
+    # Keys are computed once per distinct form, not per review.
+    sounds = forms.select("form").distinct().withColumn("fk", loose_key(F.col("form"))).filter(letters(F.col("fk")) >= 2)
+    keyed = forms.join(sounds, "form")
     met = named.withColumn("nk", loose_key(F.col("name"))).join(keyed, "review_id")
     ratio = met.select("fk", "nk").distinct().withColumn("ratio", S.indel_ratio("fk", "nk")).filter(F.col("ratio") >= vocab.ALIGNED_MIN_SIMILARITY)
     scored = met.join(ratio, ["fk", "nk"])

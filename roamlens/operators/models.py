@@ -14,7 +14,7 @@ from roamlens.functions.similarity import unit
 from roamlens.operators.stats import binary_scores
 from roamlens.session import broadcast_if_small, cut_lineage
 
-ONE = F.lit(1)
+ONE = "*"  # counted rows
 SMALL_CORPUS, LARGE_MAX_TOPICS = 2000, 40  # fixed values
 
 

@@ -9,9 +9,9 @@ from roamlens.functions import vocab
 from roamlens.functions.similarity import half_even
 from roamlens.functions.tasks import fill_days
 from roamlens.operators import retrieval
-from roamlens.session import broadcast_if_small, top_per_key
+from roamlens.session import broadcast_if_small, cut_lineage
 
-ONE = F.lit(1)
+ONE = "*"  # counted rows
 
 
 def _ask(requests: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def candidates(requests: DataFrame, stats: DataFrame, venue: DataFrame) -> DataF
     """
     pace = F.create_map(*[F.lit(x) for kv in vocab.PACE_ACTIVITIES.items() for x in kv])
     trips = requests.withColumn("per_day", pace[F.col("pace")])
-    first = retrieval.recommend(_ask(trips), stats, venue, vocab.CANDIDATE_LIMIT)
+    stats, venue = cut_lineage(stats), cut_lineage(venue)
+    first = cut_lineage(retrieval.recommend(_ask(trips), stats, venue, vocab.CANDIDATE_LIMIT))
     count = first.groupBy("request_id").agg(F.count(ONE).alias("found"))
     home = stats.filter("division IS NOT NULL AND city IS NOT NULL").groupBy(F.lower("city").alias("ck")).agg(
         F.min("division").alias("home"))
@@ -37,14 +38,14 @@ def candidates(requests: DataFrame, stats: DataFrame, venue: DataFrame) -> DataF
         .fillna(0, ["found"]).filter("found < days * per_day")
         .withColumn("ck", F.lower("city")).join(broadcast_if_small(home), "ck")
     )
-    wide = retrieval.recommend(
+    wide = cut_lineage(retrieval.recommend(
         _ask(thin.withColumn("city", F.lit(None).cast("string")).withColumn("division", F.col("home"))),
-        stats, venue, vocab.CANDIDATE_LIMIT)
+        stats, venue, vocab.CANDIDATE_LIMIT))
     more = wide.groupBy("request_id").agg(F.count(ONE).alias("wide_found")).join(
         thin.select("request_id", "found"), "request_id").filter("wide_found > found").select("request_id")
     kept = first.join(more, "request_id", "left_anti").withColumn("widened", F.lit(False)).unionByName(
         wide.join(more, "request_id", "left_semi").withColumn("widened", F.lit(True)))
-    return kept.join(trips.select("request_id", "days", "per_day", "max_regions", F.col("city").alias("anchor_city")), "request_id")
+    return cut_lineage(kept.join(trips.select("request_id", "days", "per_day", "max_regions", F.col("city").alias("anchor_city")), "request_id"))
 
 
 def regions(cands: DataFrame) -> DataFrame:
@@ -67,8 +68,8 @@ def regions(cands: DataFrame) -> DataFrame:
         F.count(ONE).alias("n_candidates"))
     order = Window.partitionBy("request_id").orderBy(F.desc("leads"), F.desc("region_score"), F.asc("region"))
     r = r.withColumn("region_rank", F.row_number().over(order)).withColumn("n_regions", F.count(ONE).over(trip))
-    return c.select("request_id", "region", "pos", "place_id", "place_name", "city", "district", "division",
-                    "match_score", "review_count", "avg_rating", "matched_preferences").join(r, ["request_id", "region"])
+    return cut_lineage(c.select("request_id", "region", "pos", "place_id", "place_name", "city", "district", "division",
+                                "match_score", "review_count", "avg_rating", "matched_preferences").join(r, ["request_id", "region"]))
 
 
 def allocate_days(ranked: DataFrame) -> DataFrame:
@@ -92,12 +93,12 @@ def day_stops(ranked: DataFrame, allocation: DataFrame) -> DataFrame:
     """Stops per day. A group is one region of one trip, at most 200 candidates."""
     a = allocation.filter("region_days > 0").select("request_id", "region", "region_rank", "per_day", "region_days")
     base = ranked.select("request_id", "region", "pos", "place_id", "district", "city").join(a, ["request_id", "region"])
-    filled = base.groupBy("request_id", "region").applyInPandas(fill_days, _DAY)
+    filled = cut_lineage(base.groupBy("request_id", "region").applyInPandas(fill_days, _DAY))
     days = filled.select("request_id", "region", "region_rank", "region_day").distinct().withColumn(
         "day", F.row_number().over(Window.partitionBy("request_id").orderBy("region_rank", "region_day")))
-    return filled.join(days, ["request_id", "region", "region_rank", "region_day"]).join(
+    return cut_lineage(filled.join(days, ["request_id", "region", "region_rank", "region_day"]).join(
         ranked.select("request_id", "region", "place_id", "place_name", "city", "district", "division", "match_score",
-                      "review_count", "avg_rating", "matched_preferences"), ["request_id", "region", "place_id"]).drop("region_day")
+                      "review_count", "avg_rating", "matched_preferences"), ["request_id", "region", "place_id"]).drop("region_day"))
 
 
 def day_moves(stops: DataFrame) -> DataFrame:

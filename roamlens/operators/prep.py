@@ -11,7 +11,7 @@ from roamlens.functions import vocab
 from roamlens.functions.language import coarse_language, normalize_bangla
 from roamlens.session import broadcast_if_small, first_per_key
 
-ONE = F.lit(1)
+ONE = "*"  # counted rows
 
 
 # ---- cleaning and duplicates ---------------------------------------------------------------

@@ -12,8 +12,11 @@ from roamlens.functions.language import normalize_bangla, phonetic_key, script_c
 from roamlens.operators.joins import official_form
 from roamlens.session import broadcast_if_small, cut_lineage, first_per_key, global_row_number
 
-ONE = F.lit(1)
-EMPTY = F.array().cast("array<string>")
+ONE = "*"  # counted rows
+
+
+def _empty() -> Column:
+    return F.array().cast("array<string>")
 
 
 def reviewed_key(surface: Column) -> Column:
@@ -48,9 +51,9 @@ def surface_groups(mentions: DataFrame, reviews: DataFrame, official: DataFrame,
     base = j.select(
         "surface", F.coalesce("entity_type", F.lit("PLACE")).alias("entity_type"), F.coalesce("mentions", F.lit(0)).alias("mentions"),
         F.coalesce("n_reviews", F.lit(0)).alias("n_reviews"),
-        F.array_sort(F.array_union(F.coalesce("districts", EMPTY), F.coalesce("od", EMPTY))).alias("districts"),
-        F.array_sort(F.array_union(F.coalesce("divisions", EMPTY), F.coalesce("ov", EMPTY))).alias("divisions"),
-        F.coalesce("languages", EMPTY).alias("languages")).withColumn("key", reviewed_key(F.col("surface")))
+        F.array_sort(F.array_union(F.coalesce("districts", _empty()), F.coalesce("od", _empty()))).alias("districts"),
+        F.array_sort(F.array_union(F.coalesce("divisions", _empty()), F.coalesce("ov", _empty()))).alias("divisions"),
+        F.coalesce("languages", _empty()).alias("languages")).withColumn("key", reviewed_key(F.col("surface")))
     return describe(base.join(broadcast_if_small(equivalent), ["entity_type", "key"], "left").drop("key"))
 
 
@@ -282,7 +285,7 @@ def entity_tables(groups: DataFrame, clusters: DataFrame, ids: DataFrame, mentio
     entities = g.join(display, "entity_id", "left").join(reviews, "entity_id", "left").select(
         "entity_id", F.coalesce("display", "c.surface").alias("canonical_name"), F.col("c.entity_type").alias("entity_type"), "n_variants",
         "n_mentions", F.coalesce("n_reviews", F.lit(0)).alias("n_reviews"),
-        *[F.coalesce(c, EMPTY).alias(c) for c in ("districts", "divisions", "languages")])
+        *[F.coalesce(c, _empty()).alias(c) for c in ("districts", "divisions", "languages")])
     variants = m.join(g.select("entity_id", F.col("c.surface").alias("top")), "entity_id").select(
         "entity_id", "surface", "mentions", "phonetic_key", (F.col("surface") == F.col("top")).alias("is_canonical"))
     return entities, variants

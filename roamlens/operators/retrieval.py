@@ -12,7 +12,7 @@ from roamlens.functions import vocab
 from roamlens.functions.similarity import half_even
 from roamlens.session import broadcast_if_small, top_per_key
 
-ONE = F.lit(1)
+ONE = "*"  # counted rows
 
 
 def equals_ci(column: str, value: str | None) -> Column:
@@ -287,7 +287,7 @@ def evidence_list(evidence: DataFrame, k: int = 20, newest_first: bool = True) -
 
 
 def found_in(evidence: DataFrame) -> DataFrame:
-    pair = evidence.filter("found_in_place IS NOT NULL").groupBy("entity_id", "found_in_place", "review_id").agg(ONE.alias("x"))
+    pair = evidence.filter("found_in_place IS NOT NULL").groupBy("entity_id", "found_in_place", "review_id").agg(F.count(ONE).alias("x"))
     return pair.groupBy("entity_id", F.col("found_in_place").alias("place_name")).agg(F.count(ONE).alias("n_reviews"))
 
 

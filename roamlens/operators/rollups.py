@@ -12,7 +12,7 @@ from roamlens.functions import vocab
 from roamlens.operators.joins import recent_bound
 from roamlens.session import broadcast_if_small, top_per_key
 
-ONE = F.lit(1)
+ONE = "*"  # counted rows
 
 
 def _count(name: str = "review_count") -> Column:

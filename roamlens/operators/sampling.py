@@ -18,7 +18,7 @@ from roamlens.functions import vocab
 from roamlens.functions.language import script_shares
 from roamlens.session import broadcast_if_small, top_per_key
 
-ONE = F.lit(1)
+ONE = "*"  # counted rows
 
 
 def _hash(seed: int, *cols: str) -> Column:

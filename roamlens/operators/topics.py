@@ -10,7 +10,7 @@ from roamlens.functions import text as T
 from roamlens.functions import vocab
 from roamlens.session import broadcast_if_small, first_per_key, top_per_key
 
-ONE = F.lit(1)
+ONE = "*"  # counted rows
 
 
 # ---- taxonomy tables -----------------------------------------------------------------

@@ -139,8 +139,8 @@ def resolved(t: Tables):
 
 query("res_3_clusters")(lambda t: resolution.resolve(groups(t)))
 query("res_3_case_variants_share_a_cluster", """
-SELECT lower(surface) AS spelling, 1 AS n_clusters FROM (SELECT DISTINCT surface, entity_type FROM mentions WHERE entity_type = 'PLACE' AND lower(surface) <> surface) GROUP BY 1
-HAVING count(*) > 1 AND lower(surface) IN (SELECT lower(surface) FROM (SELECT m.surface, h.division FROM mentions m JOIN host_reviews h ON h.review_id = m.review_id WHERE m.entity_type = 'PLACE') GROUP BY 1, division HAVING count(DISTINCT surface) > 1)
+WITH s AS (SELECT surface, min(entity_type) AS kind FROM mentions GROUP BY 1), d AS (SELECT DISTINCT m.surface, h.division FROM mentions m JOIN host_reviews h ON h.review_id = m.review_id)
+SELECT DISTINCT lower(surface) AS spelling, 1 AS n_clusters FROM s JOIN d USING (surface) WHERE kind = 'PLACE' GROUP BY lower(surface), division HAVING count(DISTINCT surface) > 1
 """)(lambda t: _case_variants(t))
 
 
