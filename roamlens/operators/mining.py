@@ -24,11 +24,15 @@ def bangla_words(text: Column) -> Column:
 def grams(texts: DataFrame) -> DataFrame:
     """(review_id, phrase, base): one- to three-word phrases, and each without its last ending."""
     w = texts.select("review_id", bangla_words(F.col("review_text")).alias("w"))
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.filter(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.slice("w", i, n)), lambda g: F.size(g) == n)))
-    g = w.filter(F.size("w") > 0).select("review_id", F.explode(F.array_distinct(spans)).alias("g"))
-    cut = F.concat(F.slice("g", F.lit(1), F.size("g") - 1), F.array(strip_ending(F.element_at("g", -1))))
-    return g.select("review_id", F.array_join("g", " ").alias("phrase"), F.array_join(cut, " ").alias("base"))
+
+    def runs(n: int) -> Column:
+        head = lambda i: F.concat_ws(" ", *[F.get("w", i + k) for k in range(n - 1)]) if n > 1 else F.lit("")
+        return F.filter(F.transform("w", lambda x, i: F.struct(head(i).alias("head"), F.get("w", i + n - 1).alias("last"))),
+                        lambda g: g["last"].isNotNull())
+
+    g = w.select("review_id", F.explode(F.concat(runs(1), runs(2), runs(3))).alias("g")).select("review_id", "g.head", "g.last").distinct()
+    join = lambda last: F.when(F.col("head") == "", last).otherwise(F.concat_ws(" ", "head", last))
+    return g.select("review_id", join(F.col("last")).alias("phrase"), join(strip_ending(F.col("last"))).alias("base"))
 
 
 def mine_spellings(texts: DataFrame, names: DataFrame) -> DataFrame:

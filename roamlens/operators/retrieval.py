@@ -44,8 +44,12 @@ def containment_pairs(texts: DataFrame, terms: DataFrame, long_piece: int = 12)
     t = terms.filter(n > 0).withColumn("size", size)
 
     def pieces(col: str, width: Column) -> Column:
-        last = F.length(col) - width + 1
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(F.col(col), i, width))
+        # Cut into chunks first: a substring is found by counting from the start of its string.
+        chunk = 512
+        starts = F.sequence(F.lit(1), F.greatest(F.length(col) - width + 1, F.lit(1)), F.lit(chunk))
+        chunks = F.transform(starts, lambda i: F.substring(F.col(col), i, width + chunk - 1))
+        grams = F.flatten(F.transform(chunks, lambda c: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(c) - width + 1, F.lit(1))), lambda i: F.substring(c, i, width))))
         return F.array_distinct(grams)
 
     wanted = t.select("term_id", "term", "size", F.explode(pieces("term", F.col("size"))).alias("piece"))

@@ -47,9 +47,16 @@ class Decisions(StatefulProcessor):
 
 def decide(decisions: DataFrame) -> DataFrame:
     """Outcome of every decision (submission_id, seq, state, decided_by, reason) of a stream."""
+    use_rocksdb(decisions)
     return decisions.groupBy("submission_id").transformWithStateInPandas(Decisions(), DECIDED, "Append", "None")
 
 
+def use_rocksdb(df: DataFrame) -> None:
+    """Keyed list and value state needs the RocksDB store; it also keeps large state off the heap."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass",
+                             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 FLAGGED = StructType([StructField("client", StringType()), StructField("event_id", LongType()), StructField("at", DoubleType()),
                       StructField("outcome", StringType())])
 
@@ -86,6 +93,7 @@ class RateFlag(StatefulProcessor):
 
 def rate_flag(events: DataFrame, limit: int = 5, window: float = 3600.0) -> DataFrame:
     """Accepted or refused for every event (client, event_id, at) of a stream."""
+    use_rocksdb(events)
     return events.groupBy("client").transformWithStateInPandas(RateFlag(limit, window), FLAGGED, "Append", "None")
 
 
