@@ -38,9 +38,9 @@ def match_positions(texts: DataFrame, pattern: str) -> DataFrame:
     """
     words = F.regexp_extract_all("review_text", F.lit(pattern), F.lit(0))
     gaps = F.split("review_text", pattern)
-    cut = texts.select("review_id", words.alias("words"), gaps.alias("gaps")).select(
-        "review_id", F.posexplode(F.transform("words", lambda w, i: F.struct(
-            w.alias("w"), F.length(F.get("gaps", i)).alias("g"), F.length(w).alias("n")))).alias("pos", "t"))
+    # Zipped once per text; an array looked up inside a lambda would be rebuilt per word.
+    cut = texts.select("review_id", F.posexplode(F.arrays_zip(words.alias("w"), gaps.alias("g"))).alias("pos", "z")).filter("z.w IS NOT NULL").select(
+        "review_id", "pos", F.struct(F.col("z.w").alias("w"), F.length("z.g").alias("g"), F.length("z.w").alias("n")).alias("t"))
     w = Window.partitionBy("review_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)  # one text
     end = F.sum(F.col("t.g") + F.col("t.n")).over(w).cast("int")
     return cut.withColumn("end", end).select(

@@ -2,35 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roamlens.functions import similarity as S
 from roamlens.functions import vocab
 from roamlens.functions.language import letters, loose_key, normalize_bangla, phonetic_key, strip_ending
-from roamlens.operators.mentions import term_spans
+from roamlens.operators.mentions import match_positions, term_spans
 from roamlens.session import broadcast_if_small
 
 ONE = "*"  # counted rows
 BANGLA_WORD = r"[\x{0981}-\x{09e3}\x{09f0}\x{09f1}]+"
 
 
-def bangla_words(text: Column) -> Column:
-    """Bangla words of a text; a visarga used as a colon is dropped."""
-    words = F.regexp_extract_all(normalize_bangla(text), F.lit(BANGLA_WORD), F.lit(0))
-    return F.filter(F.transform(words, lambda w: F.regexp_replace(w, "ঃ+$", "")), lambda w: w != "")
-
-
 def grams(texts: DataFrame) -> DataFrame:
     """(review_id, phrase, base): one- to three-word phrases, and each without its last ending."""
-    w = texts.select("review_id", bangla_words(F.col("review_text")).alias("w"))
-
-    def runs(n: int) -> Column:
-        head = lambda i: F.concat_ws(" ", *[F.get("w", i + k) for k in range(n - 1)]) if n > 1 else F.lit("")
-        return F.filter(F.transform("w", lambda x, i: F.struct(head(i).alias("head"), F.get("w", i + n - 1).alias("last"))),
-                        lambda g: g["last"].isNotNull())
-
-    g = w.select("review_id", F.explode(F.concat(runs(1), runs(2), runs(3))).alias("g")).select("review_id", "g.head", "g.last").distinct()
+    body = texts.select("review_id", normalize_bangla(F.col("review_text")).alias("review_text"))
+    tok = match_positions(body, BANGLA_WORD).withColumn("w", F.regexp_replace("token", "ঃ+$", "")).filter("w <> ''")
+    w = Window.partitionBy("review_id").orderBy("pos")  # one text
+    runs = tok.select("review_id", "w", F.lead("w", 1).over(w).alias("w2"), F.lead("w", 2).over(w).alias("w3"))
+    g = runs.select("review_id", F.explode(F.array(
+        F.struct(F.lit("").alias("head"), F.col("w").alias("last")), F.struct(F.col("w").alias("head"), F.col("w2").alias("last")),
+        F.struct(F.concat_ws(" ", "w", "w2").alias("head"), F.col("w3").alias("last")))).alias("g")).filter("g.last IS NOT NULL").select(
+        "review_id", "g.head", "g.last").distinct()
     join = lambda last: F.when(F.col("head") == "", last).otherwise(F.concat_ws(" ", "head", last))
     return g.select("review_id", join(F.col("last")).alias("phrase"), join(strip_ending(F.col("last"))).alias("base"))
 
