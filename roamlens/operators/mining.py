@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roamlens.functions import similarity as S
 from roamlens.functions import vocab
 from roamlens.functions.language import letters, loose_key, normalize_bangla, phonetic_key, strip_ending
+from roamlens.operators.joins import bigram_candidates
 from roamlens.operators.mentions import match_positions, term_spans
 from roamlens.session import broadcast_if_small
 
@@ -78,9 +79,14 @@ def mine_aligned(pairs: DataFrame, names: DataFrame) -> DataFrame:
     # Keys are computed once per distinct form, not per review.
     sounds = forms.select("form").distinct().withColumn("fk", loose_key(F.col("form"))).filter(letters(F.col("fk")) >= 2)
     keyed = forms.join(sounds, "form")
-    met = named.withColumn("nk", loose_key(F.col("name"))).join(keyed, "review_id")
-    ratio = met.select("fk", "nk").distinct().withColumn("ratio", S.indel_ratio("fk", "nk")).filter(F.col("ratio") >= vocab.ALIGNED_MIN_SIMILARITY)
-    scored = met.join(ratio, ["fk", "nk"])
+    heard = named.withColumn("nk", loose_key(F.col("name")))
+    # Only key pairs that can reach the ratio are compared, found over distinct keys.
+    pairs_of_keys = bigram_candidates(
+        heard.select(F.col("nk").alias("id"), F.col("nk").alias("key")).distinct(),
+        sounds.select(F.col("fk").alias("id"), F.col("fk").alias("key")).distinct(), vocab.ALIGNED_MIN_SIMILARITY / 100)
+    ratio = pairs_of_keys.select(F.col("lid").alias("nk"), F.col("rid").alias("fk")).withColumn(
+        "ratio", S.indel_ratio("fk", "nk")).filter(F.col("ratio") >= vocab.ALIGNED_MIN_SIMILARITY)
+    scored = heard.join(ratio, "nk").join(keyed, ["review_id", "fk"])
     order = F.struct("ratio", (-F.abs(letters(F.col("fk")) - letters(F.col("nk")))).alias("d"), "is_base", "form")
     best = scored.groupBy("review_id", "name").agg(F.max(order).alias("b"))
     return best.select(F.col("b.form").alias("phrase"), F.col("name").alias("place")).distinct()
