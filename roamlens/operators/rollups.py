@@ -121,7 +121,8 @@ def _preference_cells(reviews: DataFrame, places: DataFrame, topic_map: DataFram
     return topic_cells(reviews).join(broadcast_if_small(m), "topic_id").join(broadcast_if_small(p), "place_id", "left")
 
 
-_TOTALS = [F.sum("n").alias("review_count"), F.round(F.try_divide(F.sum("s"), F.sum("c")), 3).alias("avg_rating")]
+def _totals() -> list[Column]:
+    return [F.sum("n").alias("review_count"), F.round(F.try_divide(F.sum("s"), F.sum("c")), 3).alias("avg_rating")]
 
 
 def city_preferences(reviews: DataFrame, places: DataFrame, topic_map: DataFrame, preferences: DataFrame) -> DataFrame:
@@ -129,14 +130,14 @@ def city_preferences(reviews: DataFrame, places: DataFrame, topic_map: DataFrame
     cells = _preference_cells(reviews, places, topic_map, preferences, ["city", "district", "division"])
     return cells.filter("city IS NOT NULL AND city <> ''").groupBy(
         "city", "preference_id", "preference_label", "preference_type").agg(
-        F.min("district").alias("district"), F.min("division").alias("division"), *_TOTALS)
+        F.min("district").alias("district"), F.min("division").alias("division"), *_totals())
 
 
 def venue_preferences(reviews: DataFrame, places: DataFrame, topic_map: DataFrame, preferences: DataFrame) -> DataFrame:
     """Place x preference evidence."""
     names = ["place_name", "city", "category", "place_kind"]
     cells = _preference_cells(reviews, places, topic_map, preferences, names)
-    return cells.groupBy("place_id", *names, "preference_id", "preference_label", "preference_type").agg(*_TOTALS)
+    return cells.groupBy("place_id", *names, "preference_id", "preference_label", "preference_type").agg(*_totals())
 
 
 def mainstream_split(summary: DataFrame) -> DataFrame:
