@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 HEADLINE = [
@@ -29,6 +30,7 @@ def main() -> None:
         t = time.perf_counter()
         queries[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
                       "sf": os.path.basename(folder.rstrip("/")).replace("sf", "")}))
     spark.stop()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roamlens.operators import joins, topics
-from roamlens.session import broadcast_if_small
+from roamlens.session import broadcast_if_small, spread
 
 
 class Tables:
@@ -22,7 +22,8 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in ("documents", "pages") else df
 
     # ---- star schema as reviews of places -------------------------------------
     @cached_property
