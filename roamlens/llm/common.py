@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 # Word of the contracts: a run of characters other than space, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
-WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 CHUNK = 1 << 19  # bytes of text hashed at once
 TILE = 2048  # rows of a bucket compared in one piece
 MASK = (1 << 64) - 1
@@ -91,6 +90,14 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK) -> I
         yield first, held
 
 
+_OTHER, _DIGITS = re.compile(r"(?:[^\w\n]|_)+"), re.compile(r"\d+")
+
+
+def normalise(text: str) -> list[str]:
+    """The lines in lower case, digit runs as 0, other marks as single spaces."""
+    return [x.strip() for x in _DIGITS.sub("0", _OTHER.sub(" ", text.lower())).split("\n")]
+
+
 # ---- vectorised hashing ---------------------------------------------------------------------------
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
@@ -210,34 +217,68 @@ def components(edges: DataFrame) -> DataFrame:
         now.select(F.col("b").alias("c"), F.col("b").alias("root")).distinct())
 
 
-def connect(members: DataFrame, payload: DataFrame, check: Callable[[DataFrame], DataFrame],
-            compare: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+def connect(members: DataFrame, payload: DataFrame, check: Callable[[DataFrame], DataFrame], unpack: Callable[[list[bytes]], np.ndarray],
+            near: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(c, root) of the classes linked inside the buckets of ``members`` (bucket, c).
 
-    Never all pairs of a bucket. First each class meets the smallest of its bucket and ``check`` confirms
-    (a, b) links exactly. Only buckets whose classes then still lie in several components go on: their rows
-    with ``payload`` (c, load) are dealt into tiles of bounded size, ``compare`` gets rows
-    (unit, side, c, root, load) sorted by unit and returns the pairs of different components worth checking.
-    After that each pair of a bucket is in one component or has been compared.
+    Never all pairs of a bucket. First each class meets the smallest of its bucket and ``check`` confirms (a, b) links
+    exactly. Only buckets whose classes then still lie in several components go on: their rows with ``payload``
+    (c, load) are dealt into tiles of bounded size. In one round each class is checked against the likeliest class of
+    another component, which joins a group of copies; in the last against every other one that ``near`` lets through.
+    After that each pair of a bucket is in one component or has been compared. ``near`` gets one unpacked load and the array of
+    others, and returns the positions worth checking and their scores.
     """
     counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     held = stored(members.join(counts, "bucket").select("bucket", "c", "n"))
     lead = held.groupBy("bucket").agg(F.min("c").alias("lead"))
     star = held.join(lead, "bucket").filter("c <> lead").select(F.col("c").alias("a"), F.col("lead").alias("b")).distinct()
-    first = stored(check(star))
-    root = components(first)
-    seen = held.join(root, "c", "left").select("bucket", "c", "n", F.coalesce("root", "c").alias("root"))
-    mixed = seen.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    rest = seen.join(mixed, "bucket").join(payload, "c")
-    tiles = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
-    own = F.pmod(F.xxhash64("c"), tiles).cast("int")
-    units = rest.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), tiles - 1))).select(
-        F.xxhash64("bucket", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("unit"),
-        (F.col("_own") <= F.col("_other")).alias("side"), (F.col("_own") == F.col("_other")).alias("self"), "c", "root", "load")
-    kind = f"a {dict(members.dtypes)['c']}, b {dict(members.dtypes)['c']}"
-    pairs = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(compare, kind).distinct()
-    second = stored(check(pairs))
-    return components(first.unionByName(second))
+    links = stored(check(star))
+    kind = dict(members.dtypes)["c"]
+    for best in (True, False):
+        seen = held.join(components(links), "c", "left").select("bucket", "c", "n", F.coalesce("root", "c").alias("root"))
+        mixed = seen.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
+        tiles = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
+        rest = seen.join(mixed, "bucket").join(payload, "c").withColumn("_own", F.pmod(F.xxhash64("c"), tiles).cast("int")).withColumn(
+            "_other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+        units = rest.select(
+            F.xxhash64("bucket", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("unit"),
+            (F.col("_own") < F.col("_other")).alias("side"), (F.col("_own") == F.col("_other")).alias("self"), "c", "root", "load")
+        pairs = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_cross(unpack, near, best), f"a {kind}, b {kind}")
+        links = stored(links.unionByName(check(pairs.distinct())))
+    return components(links)
+
+
+def _cross(unpack, near, best: bool):
+    """Pairs of different components inside each unit: every one that is near, or only the best of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_unit(batches):
+            ids, root = t.column("c").to_pylist(), t.column("root").to_pylist()
+            number = {r: i for i, r in enumerate(dict.fromkeys(root))}
+            group, load = np.array([number[r] for r in root]), unpack(t.column("load").to_pylist())
+            alone, side = bool(t.column("self")[0].as_py()), np.array(t.column("side").to_pylist())
+            a, b = [], []
+            for i in range(len(ids)):
+                if not alone and not side[i] and not best:
+                    continue
+                other = group != group[i]
+                if not alone:
+                    other &= side != side[i]
+                elif not best:
+                    other[: i + 1] = False
+                at = np.flatnonzero(other)
+                if not len(at):
+                    continue
+                kept, score = near(load[i], load[at])
+                if best and len(kept):
+                    kept = kept[[int(np.argmax(score))]]
+                for j in at[kept]:
+                    a.append(max(ids[i], ids[j]))
+                    b.append(min(ids[i], ids[j]))
+            if a:
+                yield arrow_rows(["a", "b"], [t.schema.field("c").type] * 2, [a, b])
+
+    return run
 
 
 def by_unit(batches: Iterator[pa.RecordBatch], key: str = "unit") -> Iterator[pa.Table]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roamlens.llm.common import arrow_rows, by_unit, connect, keyed, mix, packed, shingle_sets, slices, stored, unpacked
+from roamlens.llm.common import arrow_rows, connect, keyed, mix, packed, shingle_sets, slices, stored, unpacked
 
 BANDS, ROWS, BATCH, BATCHES = 25, 4, 16, 4
 BAND_HASHES = BANDS * ROWS
@@ -64,8 +64,8 @@ def needed(threshold: float, miss: float) -> tuple[int, ...]:
     return tuple(out)
 
 
-def survivors(one: np.ndarray, others: np.ndarray, least: tuple[int, ...]) -> np.ndarray:
-    """Positions in ``others`` whose signature is still in play after every batch."""
+def survivors(one: np.ndarray, others: np.ndarray, least: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in ``others`` whose signature is still in play after every batch, and their matches."""
     left, found = np.arange(len(others)), np.zeros(len(others), np.int64)
     for k, m in enumerate(least):
         lo = BAND_HASHES + k * BATCH
@@ -74,7 +74,7 @@ def survivors(one: np.ndarray, others: np.ndarray, least: tuple[int, ...]) -> np
         left, found = left[keep], found[keep]
         if not len(left):
             break
-    return left
+    return left, found
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,31 +140,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
         right = sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(exact, "a binary, b binary")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_unit(batches):
-            ids, root = t.column("c").to_pylist(), t.column("root").to_pylist()
-            number = {r: i for i, r in enumerate(dict.fromkeys(root))}
-            group = np.array([number[r] for r in root])
-            side = np.array(t.column("side").to_pylist()) | np.array(t.column("self").to_pylist())
-            alone = bool(t.column("self")[0].as_py())
-            sig = np.frombuffer(b"".join(t.column("load").to_pylist()), np.uint32).reshape(-1, HASHES)
-            a, b = [], []
-            for i in range(len(ids)):
-                if not alone and not side[i]:
-                    continue
-                other = group != group[i]
-                if alone:
-                    other[: i + 1] = False
-                else:
-                    other &= ~side
-                at = np.flatnonzero(other)
-                for j in at[survivors(sig[i], sig[at], least)] if len(at) else ():
-                    a.append(max(ids[i], ids[j]))
-                    b.append(min(ids[i], ids[j]))
-            if a:
-                yield arrow_rows(["a", "b"], [pa.binary(), pa.binary()], [a, b])
-
-    linked = connect(members, classes.select("c", "load"), check, compare)
+    def unpack(loads: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(loads), np.uint32).reshape(-1, HASHES)
+
+    linked = connect(members, classes.select("c", "load"), check, unpack, lambda one, others: survivors(one, others, least))
     ids = rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("m"))
     whole = ids.join(linked, "c", "left").select("c", F.coalesce("root", "c").alias("root"), "m")
     named = whole.select("c", "root").join(whole.groupBy("root").agg(F.min("m").alias("low")), "root").select("c", "low")
