@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from roamlens.llm import minhash
+from roamlens.llm import benchmark, credentials, lines, minhash, mixing, pii, quality, subwords, suffix, voters
 
 QUERIES = {
+    "op1_robust_outliers": quality.query,
+    "op2_subword_quality": subwords.query,
+    "op3_fuzzy_lines": lines.query,
+    "op4_column_wise_bwt": suffix.query,
     "op5_minhash_bayes": minhash.query,
+    "op6_linked_credentials": credentials.query,
+    "op7_pivotal_mixing": mixing.query,
+    "op8_pii_surrogates": pii.query,
+    "op9_weak_supervision": voters.query,
+    "op10_pigeonhole_decontamination": benchmark.query,
 }
 ORACLES: dict[str, str] = {}
