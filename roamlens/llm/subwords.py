@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-A document's features are its lower-cased words and the character 3-, 4- and 5-grams inside them (with word boundaries), hashed
-into ``ROWS`` vectors of ``DIM`` numbers. The vectors are averaged, a softmax layer reads the average, and both are learned by
+A document's features are its lower-cased words, a mark for each word that repeats the one before it, and the character 3-, 4- and
+5-grams inside the words (with word boundaries), hashed into ``ROWS`` vectors of ``DIM`` numbers. The vectors are averaged, a softmax layer reads the average, and both are learned by
 stochastic gradient descent in numpy. Training runs in one task on a bounded sample of the labelled rows: up to ``PER_CLASS`` of
 each class (and no more characters than ``SAMPLE_CHARS``), taken in hash order; the loss weighs the classes back to their shares.
 As the layer is linear up to the softmax, a vector contributes one number to the score: scoring a document is one look-up per feature.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from roamlens.llm.common import arrow_rows, keyed, mix, read, stored
 
 ROWS, DIM, GRAMS = 1 << 17, 8, (3, 4, 5)
-PER_CLASS, SAMPLE_CHARS, EPOCHS, RATE, SEED = 2500, 12_000_000, 5, 4.0, 7
+PER_CLASS, SAMPLE_CHARS, EPOCHS, STEPS, RATE, SEED, REPEAT = 2500, 12_000_000, 8, 6000, 10.0, 7, 1
 PIECE = 1 << 18  # characters hashed at once
 
 _SPACES = np.zeros(0x110000, bool)
@@ -45,7 +45,9 @@ def features(text: str) -> np.ndarray:
     powers = np.cumprod(np.full(len(c), _TIMES, np.uint64))
     words = np.add.reduceat(np.append(x * powers, np.uint64(0)), np.stack([starts, ends], 1).ravel())[::2]
     # The same word has the same hash wherever it stands: divide by the power of its start.
-    out = [mix(words * _inverse(powers, starts)) >> np.uint64(47)]
+    words = mix(words * _inverse(powers, starts)) >> np.uint64(47)
+    again = np.full(np.count_nonzero(words[1:] == words[:-1]), REPEAT, np.uint64)
+    out = [words, again]
     inner = np.concatenate([[0], np.cumsum(blank)])
     run = x
     for n in range(2, max(GRAMS) + 1):
@@ -84,8 +86,9 @@ def fit(texts: list[str], labels: list[int], share: float, seed: int = SEED) ->
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 1 / DIM, (ROWS, DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    steps, at = EPOCHS * len(data), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // len(data)))
+    steps, at = epochs * len(data), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(data)):
             rate = RATE * (1 - at / steps)
             at += 1

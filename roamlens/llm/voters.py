@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier on its posteriors.
 
-1. Voters. Words and word stems (4 to 6 letters) that are far more frequent in toxic than in other labelled rows are dealt by
-   stem into ``GROUPS`` lexicon voters; a fixed list of insults and three patterns (shouting, runs of marks, an insulted
+1. Voters. Words and word stems (4 to 6 letters) that are far more frequent in toxic than in other labelled rows make up a
+   lexicon; its words are dealt by hash over ``GROUPS`` voters, so each voter knows some of every language. A fixed list of insults and three patterns (shouting, runs of marks, an insulted
    second person) vote besides. A voter fires or is silent on each document.
 2. Label model. Over all documents one grouped pass gives how often voters fire alone and in pairs. Without labels, the
    covariances of three voters give each one's separation of the classes (the median over all triplets), hence its firing rates
@@ -21,6 +21,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from roamlens.llm.common import arrow_rows, keyed, read, stored
 from roamlens.llm.subwords import labelled_sample, remainder
 
-PER_CLASS, SAMPLE_CHARS, GROUPS, LEXICON, TERMS, STEPS = 3000, 24_000_000, 12, 600, 1500, 200
+PER_CLASS, SAMPLE_CHARS, GROUPS, LEXICON, TERMS, STEPS, SURE = 3000, 24_000_000, 12, 600, 1500, 200, 11.0
 STEMS = (4, 5, 6)
 
 # A general list of insults.
@@ -49,31 +50,33 @@ def terms(text: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
 
 
-def _group(term: str) -> int:
-    return sum((i + 7) * ord(ch) * 2654435761 for i, ch in enumerate(term[:4])) % (1 << 32) * GROUPS >> 32
-
-
 def mine(batches: Iterator[tuple[str, int]]) -> list[str]:
-    """The ``LEXICON`` terms of label 1: at least 5 documents and 8 times the share of label 0."""
+    """The ``LEXICON`` surest terms of label 1: 8 times the share of label 0, beyond what chance gives.
+
+    Surety is the log likelihood ratio of the term's label-1 rows against the sample's share of label 1; ``SURE`` keeps
+    chance findings among some hundred thousand terms rare.
+    """
     seen, many = (Counter(), Counter()), [0, 0]
     for text, y in batches:
         seen[y].update(terms(text))
         many[y] += 1
     if not min(many):
         return []
-    odds = {t: math.log((n + 0.5) / (many[1] + 1)) - math.log((seen[0][t] + 0.5) / (many[0] + 1)) for t, n in seen[1].items() if n >= 5}
-    good = [t for t, v in odds.items() if v > math.log(8)]
-    return sorted(good, key=lambda t: (-odds[t] * math.sqrt(seen[1][t]), t))[:LEXICON]
-
-
-def votes(text: str, lexicon: dict[str, int]) -> list[int]:
-    """The numbers of the voters that fire."""
+    share, sure = many[1] / sum(many), {}
+    for t, one in seen[1].items():
+        zero = seen[0][t]
+        q = one / (one + zero)
+        if (one + 0.5) / (many[1] + 1) > 8 * (zero + 0.5) / (many[0] + 1) and q > share:
+            g = one * math.log(q / share) + (zero * math.log((1 - q) / (1 - share)) if zero else 0)
+            if g > SURE:
+                sure[t] = g
+    return sorted(sure, key=lambda t: (-sure[t], t))[:LEXICON]
+
+
+def votes(text: str, lexicon: set[str]) -> list[int]:
+    """The numbers of the voters that fire: a word in the lexicon, or with a stem there, fires the voter of its hash."""
     words = set(_WORD.findall(text.lower()))
-    out = set()
-    for w in words:
-        for t in (w, *(w[:k] + "*" for k in STEMS if len(w) > k)):
-            if t in lexicon:
-                out.add(lexicon[t])
+    out = {crc32(w.encode()) % GROUPS for w in words if w in lexicon or any(w[:k] + "*" in lexicon for k in STEMS if len(w) > k)}
     if not INSULTS.isdisjoint(words):
         out.add(GROUPS)
         if _YOU.search(text.lower()):
@@ -174,7 +177,7 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
         rows = ((t or "", y) for b in batches for t, y in zip(b.column("text").to_pylist(), b.column("label").to_pylist()))
         yield arrow_rows(["term"], [pa.string()], [mine(rows)])
 
-    lexicon = {r["term"]: _group(r["term"]) for r in _one_task(sample, find, "term string").collect()}  # at most LEXICON
+    lexicon = {r["term"] for r in _one_task(sample, find, "term string").collect()}  # at most LEXICON
     rows = keyed(docs).withColumn("h", F.xxhash64(F.lit(11), "_d", "_t"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
