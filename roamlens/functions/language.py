@@ -125,7 +125,7 @@ def language_label(text: Column, detected_iso: Column | None = None,
     is_romanised = by_rule if romanised is None else romanised
     confidence = rule_share if romanised is None else romanised_confidence
     method = F.lit("heuristic" if romanised is None else "classifier")
-    clause = F.regexp_count(lowered, F.lit(r"\b(" + "|".join(vocab.ENGLISH_CLAUSE_WORDS) + r")\b")) >= 2
+    clause = F.regexp_count(lowered, F.lit(vocab.ENGLISH_CLAUSE)) >= 2
 
     def out(label, conf, how, iso):
         return F.struct(

@@ -57,24 +57,22 @@ def best_two(name: str, names: list[str], suggest: float) -> list[dict]:
 
 
 def fill_days(group: pd.DataFrame) -> pd.DataFrame:
-    """Greedy fill of one region of one trip: a seed per day, then its district, city, next best."""
-    group = group.sort_values("pos")
-    left = list(group[["place_id", "district", "city"]].itertuples(index=False, name=None))
-    head = group.iloc[0]
-    rows = []
-    for day in range(1, int(head.region_days) + 1):
-        if not left:
+    """Days of one region of one trip: a day is the best place left and the free places nearest in kind to it.
+
+    Nearness to the day's first place is a tier (same district, same city, elsewhere); inside a tier the rank decides.
+    """
+    free, days = group.sort_values("pos"), []
+    for day in range(1, int(group.region_days.iloc[0]) + 1):
+        if free.empty:
             break
-        seed = left.pop(0)
-        rows.append((day, 1, seed[0]))
-        for stop in range(2, int(head.per_day) + 1):
-            if not left:
-                break
-            near = [i for i, p in enumerate(left) if p[1] and p[1] == seed[1]]
-            near = near or [i for i, p in enumerate(left) if p[2] and p[2] == seed[2]] or [0]
-            rows.append((day, stop, left.pop(near[0])[0]))
-    out = pd.DataFrame(rows, columns=["region_day", "stop", "place_id"])
-    out.insert(0, "request_id", head.request_id)
-    out.insert(1, "region", head.region)
-    out.insert(2, "region_rank", head.region_rank)
+        first = free.iloc[0]
+        tier = (free.district.ne(first.district) | free.district.isna() | free.district.eq("")).astype(int)
+        tier += tier * (free.city.ne(first.city) | free.city.isna() | free.city.eq("")).astype(int)
+        tier.iloc[0] = -1
+        today = free.assign(tier=tier).sort_values(["tier", "pos"]).head(int(first.per_day))
+        days.append(pd.DataFrame({"region_day": day, "stop": range(1, len(today) + 1), "place_id": today.place_id.to_numpy()}))
+        free = free.drop(today.index)
+    out = pd.concat(days)
+    for at, name in enumerate(("request_id", "region", "region_rank")):
+        out.insert(at, name, group[name].iloc[0])
     return out

@@ -221,7 +221,7 @@ def queue(scored: DataFrame, states: DataFrame, evidence: DataFrame) -> DataFram
         states, "entity_id", "left").join(ev, "entity_id", "left").select(
         "entity_id", "canonical_name", "entity_type", "gem_score", "visibility", "n_reviews", "n_mentions", state.alias("state"),
         (state == "verified").alias("publishable"), "decided_by", "decided_at_utc", "reason", F.coalesce("divisions", F.lit("")).alias("divisions"),
-        F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), F.left(F.coalesce("e.sentence", F.lit("")), F.lit(200)).alias("example_evidence"),
+        F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), F.coalesce("e.sentence", F.lit("")).alias("example_evidence"),
         F.coalesce("e.found_in_place", F.lit("")).alias("example_found_in"))
 
 

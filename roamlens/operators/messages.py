@@ -85,8 +85,9 @@ def tag(messages: DataFrame, stats: DataFrame, cities: DataFrame, preferences: D
     strong = F.coalesce("n_strong", F.lit(0)) > 0
     trip = says("itinerary") & ~compare
     asked = F.regexp_extract("t", P["days"], 1)
+    number = F.when(asked != "", F.try_to_number(asked, F.lit("9999999999")).cast("long"))
     days = (
-        F.when(asked != "", F.greatest(F.lit(1), F.least(F.try_to_number(asked, F.lit("9999999999")).cast("int"), F.lit(vocab.MAX_TRIP_DAYS))))
+        F.when(asked != "", F.greatest(F.lit(1), F.least(number, F.lit(vocab.MAX_TRIP_DAYS))).cast("int"))
         .when(says("weekend"), 2).when(says("week"), 7).otherwise(3))
     intent = (
         F.when(says("greeting") & (F.col("n_tokens") <= 3), "greeting").when(says("thanks") & (F.col("n_tokens") <= 4), "thanks")
@@ -99,4 +100,4 @@ def tag(messages: DataFrame, stats: DataFrame, cities: DataFrame, preferences: D
     pace = F.when(says("relaxed"), "relaxed").when(says("packed"), "packed").otherwise("standard")
     return j.select(
         "message_id", intent.alias("intent"), "place_id", "city", "preferences", kind.alias("place_kind"),
-        F.when(trip, days).alias("days"), F.when(trip, pace).alias("pace"))
+        F.when(trip, days).alias("days"), F.when(trip, number).alias("asked_days"), F.when(trip, pace).alias("pace"))

@@ -15,17 +15,15 @@ from roamlens.operators.stats import binary_scores
 from roamlens.session import broadcast_if_small, cut_lineage
 
 ONE = "*"  # counted rows
-SMALL_CORPUS, LARGE_MAX_TOPICS = 2000, 40  # fixed values
+MIN_SHARE, MIN_SIZE = 0.004, 6  # fixed values
 
 
-def topic_count(n_docs: int, min_size: int, max_topics: int | None = None) -> int:
-    """Clusters to ask for: capped at 40 for a large corpus, by the minimum size for a small one."""
-    if max_topics:
-        return max_topics
-    return max(2, min(LARGE_MAX_TOPICS, n_docs // min_size)) if n_docs <= SMALL_CORPUS else LARGE_MAX_TOPICS
+def topic_count(n_docs: int, min_size: int, max_topics: int) -> int:
+    """Clusters to ask for: as many as can reach the minimum size, at most ``max_topics``; one rule for every size."""
+    return max(2, min(max_topics, n_docs // min_size))
 
 
-def topic_clusters(vectors: DataFrame, group: str, seed: int = 42, max_topics: int | None = None) -> DataFrame:
+def topic_clusters(vectors: DataFrame, group: str, seed: int = 42, max_topics: int = 40) -> DataFrame:
     """Topics per language group by k-means on unit vectors; small clusters become -1.
 
     Language groups are few and are fitted one after another; each fit is distributed over
@@ -35,7 +33,7 @@ def topic_clusters(vectors: DataFrame, group: str, seed: int = 42, max_topics: i
     base = vectors.withColumn("features", array_to_vector(unit(F.col("embedding"))))
     out, offset = None, 0
     for name, n in sizes.items():
-        floor = max(6, round(n * 0.004))
+        floor = max(MIN_SIZE, round(n * MIN_SHARE))
         k = topic_count(n, floor, max_topics)
         part = base.filter(F.col(group) == name)
         model = KMeans(k=k, seed=seed, maxIter=20, featuresCol="features", predictionCol="c").fit(part)
@@ -52,10 +50,16 @@ def topic_clusters(vectors: DataFrame, group: str, seed: int = 42, max_topics: i
 def char_grams(text, low: int = 1, high: int = 4):
     """Character n-grams inside words, each word padded with a space at both ends."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    grams = [F.flatten(F.transform(words, lambda w, n=n: F.filter(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(w) + 3 - n, F.lit(1))), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(n))),
-        lambda g: F.length(g) == n))) for n in range(low, high + 1)]
-    return F.concat(*grams)
+
+    def of(n: int):
+        def inside(w):
+            padded = F.concat(F.lit(" "), w, F.lit(" "))
+            starts = F.sequence(F.lit(1), F.greatest(F.length(w) + 3 - n, F.lit(1)))
+            return F.filter(F.transform(starts, lambda i: F.substring(padded, i, F.lit(n))), lambda g: F.length(g) == n)
+
+        return F.flatten(F.transform(words, inside))
+
+    return F.concat(*[of(n) for n in range(low, high + 1)])
 
 
 def majority_labels(votes: DataFrame) -> DataFrame:
@@ -78,8 +82,16 @@ def check_labels(labelled: DataFrame) -> dict[str, int]:
 
 
 def with_folds(labelled: DataFrame, folds: int, seed: int = 42) -> DataFrame:
-    """Balanced folds per class from the hash of the text; no ranking of a class is needed."""
-    return labelled.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "label", "text"), F.lit(folds)).cast("int"))
+    """Balanced folds per class: rows in hash order inside 256 buckets of a class, numbered on across the buckets.
+
+    Every class with at least ``folds`` rows is in every fold. Only one count per bucket is summed over a class, so no
+    class is sorted in one task.
+    """
+    spot = labelled.withColumn("_h", F.xxhash64(F.lit(seed), "label", "text")).withColumn("_b", F.pmod("_h", F.lit(256)))
+    before = Window.partitionBy("label").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spot.groupBy("label", "_b").agg(F.count(ONE).alias("_n")).select("label", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("label", "_b").orderBy("_h", "text")
+    return spot.join(offsets, ["label", "_b"]).withColumn("fold", F.pmod(F.col("_off") + F.row_number().over(inside) - 1, F.lit(folds)).cast("int")).drop("_h", "_b", "_off")
 
 
 def _stages(dims: int):

@@ -9,7 +9,7 @@ from roamlens.functions import vocab
 from roamlens.functions.similarity import half_even
 from roamlens.functions.tasks import fill_days
 from roamlens.operators import retrieval
-from roamlens.session import broadcast_if_small, cut_lineage
+from roamlens.session import broadcast_if_small, cut_lineage, top_per_key
 
 ONE = "*"  # counted rows
 
@@ -17,11 +17,11 @@ ONE = "*"  # counted rows
 def _ask(requests: DataFrame) -> DataFrame:
     return requests.select(
         "request_id", "wanted", "city", "division", F.lit("attraction").alias("place_kind"), "exclude_cities",
-        "min_reviews", F.lit(vocab.CANDIDATE_LIMIT).alias("limit"))
+        "min_reviews", F.lit(None).cast("int").alias("limit"))
 
 
 def candidates(requests: DataFrame, stats: DataFrame, venue: DataFrame) -> DataFrame:
-    """Ranked attractions per trip; a thin city widens to its division when that gives more.
+    """All matching attractions per trip; a thin city widens to its division when that gives more.
 
     ``requests``: request_id, days, pace, wanted, city, division, exclude_cities, min_reviews,
     max_regions.
@@ -29,7 +29,7 @@ def candidates(requests: DataFrame, stats: DataFrame, venue: DataFrame) -> DataF
     pace = F.create_map(*[F.lit(x) for kv in vocab.PACE_ACTIVITIES.items() for x in kv])
     trips = requests.withColumn("per_day", pace[F.col("pace")])
     stats, venue = cut_lineage(stats), cut_lineage(venue)
-    first = cut_lineage(retrieval.recommend(_ask(trips), stats, venue, vocab.CANDIDATE_LIMIT))
+    first = cut_lineage(retrieval.matches(_ask(trips), stats, venue))
     count = first.groupBy("request_id").agg(F.count(ONE).alias("found"))
     home = stats.filter("division IS NOT NULL AND city IS NOT NULL").groupBy(F.lower("city").alias("ck")).agg(
         F.min("division").alias("home"))
@@ -38,9 +38,8 @@ def candidates(requests: DataFrame, stats: DataFrame, venue: DataFrame) -> DataF
         .fillna(0, ["found"]).filter("found < days * per_day")
         .withColumn("ck", F.lower("city")).join(broadcast_if_small(home), "ck")
     )
-    wide = cut_lineage(retrieval.recommend(
-        _ask(thin.withColumn("city", F.lit(None).cast("string")).withColumn("division", F.col("home"))),
-        stats, venue, vocab.CANDIDATE_LIMIT))
+    wide = cut_lineage(retrieval.matches(
+        _ask(thin.withColumn("city", F.lit(None).cast("string")).withColumn("division", F.col("home"))), stats, venue))
     more = wide.groupBy("request_id").agg(F.count(ONE).alias("wide_found")).join(
         thin.select("request_id", "found"), "request_id").filter("wide_found > found").select("request_id")
     kept = first.join(more, "request_id", "left_anti").withColumn("widened", F.lit(False)).unionByName(
@@ -51,21 +50,23 @@ def candidates(requests: DataFrame, stats: DataFrame, venue: DataFrame) -> DataF
 def regions(cands: DataFrame) -> DataFrame:
     """Candidates with their region and the region's rank.
 
-    The anchor city's region leads; the others follow by the score of the places a full trip
-    could use there. Every group here holds at most 200 candidates.
+    The anchor city's region leads; the others follow by the score of the places a full trip could use there. All
+    candidates are counted; of each region only the days * per_day best go on, as no trip can use more.
     """
     region = F.coalesce("division", "district", "city", F.lit("Unknown region"))
     c = cands.withColumn("region", region).withColumn(
         "at_anchor", F.coalesce(F.lower("city") == F.lower("anchor_city"), F.lit(False)))
     trip = Window.partitionBy("request_id")
-    c = c.withColumn("anchor_region", F.min_by("region", F.when(F.col("at_anchor"), F.col("rank"))).over(trip))
-    c = c.withColumn("leads", F.coalesce(F.col("region") == F.col("anchor_region"), F.lit(False)))
-    inside = Window.partitionBy("request_id", "region").orderBy(
-        F.desc(F.col("leads") & F.col("at_anchor")), F.desc("match_score"), F.desc("review_count"), F.asc("place_id"))
-    c = c.withColumn("pos", F.row_number().over(inside))
+    best = F.struct((-F.col("match_score")).alias("s"), (-F.col("review_count")).alias("n"), F.col("place_id"))
+    anchor = c.filter("at_anchor").groupBy("request_id").agg(F.min_by("region", best).alias("anchor_region"))
+    c = c.join(anchor, "request_id", "left").withColumn("leads", F.coalesce(F.col("region") == F.col("anchor_region"), F.lit(False)))
+    counts = c.groupBy("request_id", "region").agg(F.count(ONE).alias("n_candidates"))
+    most = c.agg(F.coalesce(F.max(F.col("days") * F.col("per_day")), F.lit(0)).alias("m")).first()["m"]  # one number
+    c = top_per_key(c, ["request_id", "region"], [
+        F.desc(F.col("leads") & F.col("at_anchor")), F.desc("match_score"), F.desc("review_count"), F.asc("place_id")], int(most), "pos")
+    c = c.filter(F.col("pos") <= F.col("days") * F.col("per_day"))
     r = c.groupBy("request_id", "region", "leads", "days", "per_day", "max_regions").agg(
-        F.round(F.sum(F.when(F.col("pos") <= F.col("days") * F.col("per_day"), F.col("match_score"))), 6).alias("region_score"),
-        F.count(ONE).alias("n_candidates"))
+        F.round(F.sum("match_score"), 6).alias("region_score")).join(counts, ["request_id", "region"])
     order = Window.partitionBy("request_id").orderBy(F.desc("leads"), F.desc("region_score"), F.asc("region"))
     r = r.withColumn("region_rank", F.row_number().over(order)).withColumn("n_regions", F.count(ONE).over(trip))
     return cut_lineage(c.select("request_id", "region", "pos", "place_id", "place_name", "city", "district", "division",
@@ -90,7 +91,7 @@ _DAY = "request_id string, region string, region_rank int, region_day int, stop
 
 
 def day_stops(ranked: DataFrame, allocation: DataFrame) -> DataFrame:
-    """Stops per day. A group is one region of one trip, at most 200 candidates."""
+    """Stops per day. A group is one region of one trip: at most days * per_day places."""
     a = allocation.filter("region_days > 0").select("request_id", "region", "region_rank", "per_day", "region_days")
     base = ranked.select("request_id", "region", "pos", "place_id", "district", "city").join(a, ["request_id", "region"])
     filled = cut_lineage(base.groupBy("request_id", "region").applyInPandas(fill_days, _DAY))

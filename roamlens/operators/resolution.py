@@ -275,8 +275,10 @@ def entity_tables(groups: DataFrame, clusters: DataFrame, ids: DataFrame, mentio
     g = m.groupBy("entity_id").agg(
         F.min_by(F.struct("surface", "entity_type"), best).alias("c"), F.count(ONE).alias("n_variants"), F.sum("mentions").alias("n_mentions"))
     # Districts, divisions and labels are closed sets; values are united, not whole arrays.
-    value = F.explode(F.concat(*[F.transform(c, lambda v, c=c: F.struct(F.lit(c).alias("kind"), v.alias("v")))
-                                 for c in ("districts", "divisions", "languages")]))
+    def tagged(kind: str):
+        return F.transform(kind, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("v")))
+
+    value = F.explode(F.concat(*[tagged(c) for c in ("districts", "divisions", "languages")]))
     parts = m.select("entity_id", value.alias("x")).groupBy("entity_id").agg(*[
         F.array_sort(F.collect_set(F.when(F.col("x.kind") == c, F.col("x.v")))).alias(c) for c in ("districts", "divisions", "languages")])
     g = g.join(parts, "entity_id", "left")

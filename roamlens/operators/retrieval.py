@@ -69,13 +69,13 @@ def containment_pairs(texts: DataFrame, terms: DataFrame, long_piece: int = 12)
 CRITERIA = ["wanted", "city", "division", "place_kind", "exclude_cities", "min_reviews"]
 
 
-def recommend(requests: DataFrame, stats: DataFrame, venue: DataFrame, max_limit: int = 100) -> DataFrame:
-    """Rank places for a table of requests.
+def _matches(requests: DataFrame, stats: DataFrame, venue: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(request_id, limit, sig) of the requests, and the scored places of each criteria set ``sig``.
 
     ``requests``: request_id, wanted (array), city, division, place_kind, exclude_cities
     (array), min_reviews, limit. Requests with equal criteria are ranked once. Wanted
     preferences meet the place x preference evidence by key; requests without any meet
-    places by their filter values. At most ``max_limit`` places per criteria leave a task.
+    places by their filter values.
     """
     norm = requests.withColumn("wanted", F.array_sort(F.array_distinct(F.transform(
         F.coalesce("wanted", F.array().cast("array<string>")), F.upper))))
@@ -116,9 +116,24 @@ def recommend(requests: DataFrame, stats: DataFrame, venue: DataFrame, max_limit
         F.lit(0).cast("long").alias("matched_review_count"), F.lit(None).cast("double").alias("evidence_share"),
         half_even(0.75 * rating + 0.25 * volume, 4).alias("match_score"))
 
-    top = top_per_key(by_wish.unionByName(by_rating), ["sig"],
-                      [F.desc("match_score"), F.desc("review_count"), F.asc("place_id")], max_limit)
-    return signed.select("request_id", "limit", "sig").join(top, "sig").filter("rank <= limit").drop("sig", "limit")
+    return signed.select("request_id", "limit", "sig"), by_wish.unionByName(by_rating)
+
+
+def matches(requests: DataFrame, stats: DataFrame, venue: DataFrame) -> DataFrame:
+    """Every place that meets each request, scored and unranked."""
+    signed, scored = _matches(requests, stats, venue)
+    return signed.join(scored, "sig").drop("sig", "limit")
+
+
+def recommend(requests: DataFrame, stats: DataFrame, venue: DataFrame) -> DataFrame:
+    """The best ``limit`` places of each request (see ``_matches`` for its columns), ranked.
+
+    No more places per criteria leave a task than the largest limit asked for.
+    """
+    signed, scored = _matches(requests, stats, venue)
+    most = requests.agg(F.coalesce(F.max("limit"), F.lit(0)).alias("m")).first()["m"]  # one number
+    top = top_per_key(scored, ["sig"], [F.desc("match_score"), F.desc("review_count"), F.asc("place_id")], int(most))
+    return signed.join(top, "sig").filter("rank <= limit").drop("sig", "limit")
 
 
 # ---- comparison -------------------------------------------------------------------------------
@@ -204,11 +219,12 @@ def search(q: str, frames: dict[str, DataFrame], per_kind: int = 5) -> DataFrame
         p = frames["places"]
         where = _all_words("place_name", q) | _has("city", q)
         if "variants" in frames:
-            # A place is also found by a spelling that resolves to a place entity's name.
+            # A place is also found by a spelling that resolves to an entity's name inside its own name.
             names = frames["variants"].filter((F.col("entity_type") == "PLACE") & _has("surface", q)).select(
-                "canonical_name").distinct().orderBy("canonical_name").limit(5)
-            alias = names.agg(F.collect_list(F.lower("canonical_name"))).scalar()
-            where = where | F.coalesce(F.exists(alias, lambda a: F.contains(F.lower("place_name"), a)), F.lit(False))
+                F.lower("canonical_name").alias("term")).distinct().withColumn("term_id", F.col("term"))
+            named = containment_pairs(p.select(F.col("place_id").alias("id"), F.lower("place_name").alias("text")), names)
+            p = p.join(named.select(F.col("id").alias("place_id")).distinct().withColumn("_alias", F.lit(True)), "place_id", "left")
+            where = where | F.coalesce("_alias", F.lit(False))
         add("place", p.filter(where), "place_id", F.col("place_name"), F.col("review_count"), [F.desc("review_count")])
     if "cities" in frames:
         c = frames["cities"].filter(_has("city", q) | _has("district", q))
@@ -219,8 +235,12 @@ def search(q: str, frames: dict[str, DataFrame], per_kind: int = 5) -> DataFrame
             t = t.filter(_all_words("canonical_name", q) | _has("spellings", q))
             add(kind, t, "entity_id", F.col("canonical_name"), F.col("n_reviews"), [F.desc("n_reviews")])
     if "gems" in frames:
-        g = frames["gems"].filter(_all_words("canonical_name", q))
-        add("gem", g, "entity_id", F.col("canonical_name"), F.col("gem_score"), [F.desc_nulls_last("gem_score")])
+        g, where = frames["gems"], _all_words("canonical_name", q)
+        if "variants" in frames:
+            spelled = frames["variants"].filter(_has("surface", q)).select("entity_id").distinct().withColumn("_alias", F.lit(True))
+            g = g.join(spelled, "entity_id", "left")
+            where = where | F.coalesce("_alias", F.lit(False))
+        add("gem", g.filter(where), "entity_id", F.col("canonical_name"), F.col("gem_score"), [F.desc_nulls_last("gem_score")])
     if "preferences" in frames:
         pr = frames["preferences"].filter(_has("preference_label", q) | _has("preference_description", q) | _has("subcategory", q))
         add("preference", pr, "preference_id", F.col("preference_label"), F.col("review_count"), [F.desc("review_count")])

@@ -317,19 +317,19 @@ BN = r"[\x{0980}-\x{09ff}]"
 def bangla_texts(t: Tables):
     """Documents respelled in Bangla letters, in both encodings, for a third of the rows.
 
-    Consonants and vowels are replaced letter by letter, so every text keeps its length and
-    its words; the decomposed spellings exercise normalisation.
+    Consonants and vowels are replaced letter by letter, so every text keeps its words; the decomposed
+    spellings exercise normalisation. The second third mixes both scripts word by word.
     """
     src, dst = "abcdefghijklmnoprstuy", "আবচদএফগহইজকলমনওপরসতউয"
     return t.texts.withColumn("review_text", F.expr(
         f"CASE review_id % 3 WHEN 1 THEN replace(replace(translate(lower(review_text), '{src}', '{dst}'), 'ওন', 'ো'), 'য', 'য়') "
-        f"WHEN 2 THEN concat(substring(translate(lower(review_text), '{src}', '{dst}'), 1, 40 + length(review_text) div 3), ' ', substring(review_text, 1, length(review_text) div 3)) "
+        f"WHEN 2 THEN array_join(transform(split(review_text, ' '), (w, i) -> CASE i % 2 WHEN 0 THEN translate(lower(w), '{src}', '{dst}') ELSE w END), ' ') "
         "ELSE review_text END"))
 
 
 BANGLA_TEXTS = """bangla_texts AS MATERIALIZED (SELECT doc_id AS review_id, source, CASE doc_id % 3
   WHEN 1 THEN replace(replace(translate(lower(text), 'abcdefghijklmnoprstuy', 'আবচদএফগহইজকলমনওপরসতউয'), 'ওন', 'ো'), 'য', 'য' || chr(2492))
-  WHEN 2 THEN concat(substr(translate(lower(text), 'abcdefghijklmnoprstuy', 'আবচদএফগহইজকলমনওপরসতউয'), 1, 40 + length(text) // 3), ' ', substr(text, 1, length(text) // 3))
+  WHEN 2 THEN array_to_string(list_transform(string_split(text, ' '), lambda w, i: CASE i % 2 WHEN 1 THEN translate(lower(w), 'abcdefghijklmnoprstuy', 'আবচদএফগহইজকলমনওপরসতউয') ELSE w END), ' ')
   ELSE text END AS review_text FROM documents)"""
 
 
@@ -389,7 +389,7 @@ def language_rows(t: Tables):
 LABEL_ROWS = f"""{BANGLA_TEXTS}, {SCRIPT},
 marked AS (SELECT *, least(bw, lw) AS mi, bw + lw AS tw, len(regexp_extract_all(lower(body), '[a-z]+')) AS n,
   len(list_filter(regexp_extract_all(lower(body), '[a-z]+'), lambda w: list_contains({MARKERS}, w))) AS hits,
-  len(regexp_extract_all(lower(body), '\\b({'|'.join(vocab.ENGLISH_CLAUSE_WORDS)})\\b')) AS clause FROM scripts),
+  len(regexp_extract_all(lower(body), '{vocab.ENGLISH_CLAUSE}')) AS clause FROM scripts),
 label_rows AS MATERIALIZED (SELECT review_id, source, 'original' AS text_basis,
   CASE WHEN body = '' THEN '' WHEN bn + la = 0 THEN '' WHEN mi >= 2 AND mi / tw >= 0.25 THEN 'mixed' WHEN bn > la THEN 'bn'
     WHEN hits >= 2 OR (hits = 1 AND n <= 6) THEN CASE WHEN clause >= 2 THEN 'mixed' ELSE 'bn-latn' END ELSE 'en' END AS language_label,

@@ -311,7 +311,7 @@ SELECT entity_id, state, decided_by, decided_at_utc, reason FROM (SELECT *, row_
 
 FRAMES["queue_rows"] = """
 SELECT g.entity_id, g.canonical_name, g.entity_type, g.gem_score, g.visibility, g.n_reviews, g.n_mentions, coalesce(s.state, 'candidate') AS state, coalesce(s.state, 'candidate') = 'verified' AS publishable,
-  s.decided_by, s.decided_at_utc, s.reason, coalesce(e.divisions, '') AS divisions, coalesce(e.n, 0) AS n_evidence, coalesce(substr(e.sentence, 1, 200), '') AS example_evidence, coalesce(e.place, '') AS example_found_in
+  s.decided_by, s.decided_at_utc, s.reason, coalesce(e.divisions, '') AS divisions, coalesce(e.n, 0) AS n_evidence, coalesce(e.sentence, '') AS example_evidence, coalesce(e.place, '') AS example_found_in
 FROM scored_gems g LEFT JOIN states s USING (entity_id) LEFT JOIN (SELECT entity_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT found_in_division)), '|') AS divisions,
   min_by(sentence, mention_id) AS sentence, min_by(found_in_place, mention_id) AS place FROM evidence GROUP BY 1) e USING (entity_id)"""
 

@@ -231,19 +231,42 @@ SELECT user_id, strftime(w, '%Y-%m-%d %H:%M') AS window_start, count(*) AS n FRO
 
 def decisions(df: DataFrame) -> DataFrame:
     return df.selectExpr(
-        "CAST(user_id AS string) AS submission_id", "event_id AS seq", "CASE event_type WHEN 'signup' THEN 'approved' WHEN 'error' THEN 'rejected' WHEN 'purchase' THEN 'ingested' ELSE 'approved' END AS state",
+        "CAST(user_id AS string) AS submission_id", "event_id AS seq", "CAST(ts AS timestamp) AS ts",
+        "CASE event_type WHEN 'signup' THEN 'approved' WHEN 'error' THEN 'rejected' WHEN 'purchase' THEN 'ingested' ELSE 'approved' END AS state",
         "CASE WHEN event_id % 5 = 0 THEN '' ELSE 'officer' END AS decided_by", "props AS reason")
 
 
-query("stream_3_decision_states")(lambda t: _drained(t, state.decide(decisions(event_stream(t)))))
+# The stream decides what its watermark has passed: all but the events of the last millisecond.
+PASSED = "epoch_ms(ts) < (SELECT max(epoch_ms(ts)) FROM events)"
+query("stream_3_decision_states", f"""
+WITH RECURSIVE d AS (SELECT CAST(user_id AS VARCHAR) AS submission_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'approved' WHEN 'error' THEN 'rejected' WHEN 'purchase' THEN 'ingested' ELSE 'approved' END AS state,
+    event_id % 5 <> 0 AND trim(coalesce(props, '')) <> '' AS explained, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE {PASSED}),
+w AS (SELECT submission_id, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS from_state, CAST(NULL AS VARCHAR) AS to_state, CAST(NULL AS VARCHAR) AS outcome, 'pending' AS now, CAST(0 AS BIGINT) AS rn FROM d WHERE rn = 1
+  UNION ALL SELECT submission_id, seq, was, state, o, CASE WHEN o = 'accepted' THEN state ELSE was END, rn FROM (
+    SELECT d.submission_id, d.seq, w.now AS was, d.state, d.rn, CASE WHEN d.state <> 'ingested' AND NOT explained THEN 'needs author and reason'
+      WHEN (w.now = 'pending' AND d.state IN ('approved', 'rejected')) OR (w.now = 'approved' AND d.state IN ('approved', 'rejected', 'ingested')) OR (w.now = 'rejected' AND d.state IN ('approved', 'rejected')) THEN 'accepted'
+      ELSE concat('refused: ', w.now, ' cannot become ', d.state) END AS o
+    FROM w JOIN d ON d.submission_id = w.submission_id AND d.rn = w.rn + 1))
+SELECT submission_id, seq, from_state, to_state, outcome FROM w WHERE rn > 0
+""")(lambda t: _drained(t, state.decide(decisions(event_stream(t)))))
 
 
 def clients(df: DataFrame) -> DataFrame:
-    return df.selectExpr("CAST(user_id % 5 AS string) AS client", "event_id", "CAST(unix_micros(CAST(ts AS timestamp)) AS double) / 1000000 AS at")
+    return df.selectExpr("CAST(user_id AS string) AS client", "event_id", "CAST(ts AS timestamp) AS ts")
 
 
-query("stream_4_rate_flag")(lambda t: _drained(t, state.rate_flag(clients(event_stream(t)), limit=5, window=3600.0)))
-query("stream_4_rate_flag_batch")(lambda t: state.rate_flag_batch(clients(t.raw("events"))))
+def flags_sql(where: str) -> str:
+    """At most two accepted events of a client in a day, walked event by event."""
+    return f"""
+WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS client, event_id, CAST(epoch_us(ts) AS DOUBLE) / 1000000 AS moment, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE {where}),
+w AS (SELECT client, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS DOUBLE) AS moment, CAST(NULL AS VARCHAR) AS outcome, CAST([] AS DOUBLE[]) AS recent, CAST(0 AS BIGINT) AS rn FROM e WHERE rn = 1
+  UNION ALL SELECT client, event_id, moment, CASE WHEN len(r) < 2 THEN 'accepted' ELSE 'refused' END, CASE WHEN len(r) < 2 THEN list_append(r, moment) ELSE r END, rn FROM (
+    SELECT e.client, e.event_id, e.moment, e.rn, list_filter(w.recent, lambda x: e.moment - x < 86400.0) AS r FROM w JOIN e ON e.client = w.client AND e.rn = w.rn + 1))
+SELECT client, event_id, moment AS "at", outcome FROM w WHERE rn > 0"""
+
+
+query("stream_4_rate_flag", flags_sql(PASSED))(lambda t: _drained(t, state.rate_flag(clients(event_stream(t)), limit=2, window=86400.0)))
+query("stream_4_rate_flag_batch", flags_sql("true"))(lambda t: state.rate_flag_batch(clients(t.raw("events")), limit=2, window=86400.0))
 
 
 def _ingested(t: Tables) -> DataFrame:

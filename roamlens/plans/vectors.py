@@ -183,7 +183,7 @@ SELECT text, arg_max(label, n) AS label FROM (SELECT text, label, count(*) AS n,
   SELECT text, quality AS label FROM labels JOIN documents USING (doc_id) UNION ALL SELECT text, 1 - toxic FROM labels JOIN documents USING (doc_id)) GROUP BY 1, 2) WHERE n = top GROUP BY 1 HAVING count(*) = 1
 """)(lambda t: models.majority_labels(_votes(t)))
 query("lng_7_cross_validation")(lambda t: models.cross_validate(
-    models.majority_labels(_votes(t)).select("text", F.when(F.col("label") == 1, "keep").otherwise("drop").alias("label")), folds=3))
+    models.majority_labels(_votes(t)).select("text", F.when(F.col("label") == 1, "keep").otherwise("drop").alias("label"))))
 
 
 def _votes(t: Tables):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,20 +13,25 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT = 64 * 1024 * 1024
 
 
-def get_session(app: str = "roamlens", cpus: str | int = "*", **conf: str) -> SparkSession:
-    """A session with UTC dates, AQE and skew handling on."""
+def get_session(app: str = "roamlens", cpus: str | int | None = None, **conf: str) -> SparkSession:
+    """A session with UTC dates, AQE and skew handling on.
+
+    Master, memory and partition counts are the cluster's; with ``cpus`` the session is a local one that
+    gets them here, with small file splits so that a table in one file still occupies all cores.
+    """
     builder = (
         SparkSession.builder.appName(app)
-        .master(f"local[{cpus}]")
-        .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.shuffle.partitions", os.environ.get("ROAMLENS_SHUFFLE", "8"))
-        .config("spark.driver.memory", "8g")
     )
+    if cpus is not None:
+        builder = (
+            builder.master(f"local[{cpus}]").config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
+            .config("spark.sql.shuffle.partitions", os.environ.get("ROAMLENS_SHUFFLE", "8"))
+            .config("spark.sql.files.maxPartitionBytes", "1m").config("spark.sql.files.openCostInBytes", "64k"))
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
@@ -40,19 +46,12 @@ def plan_bytes(df: DataFrame) -> int:
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Hint a broadcast when the estimated size is proven small.
 
-    Beyond the limit no hint is given, so the join stays a shuffle join that AQE may
-    still turn into a broadcast from measured sizes, or split where a key is hot.
-    """
-    return F.broadcast(df) if plan_bytes(df) <= limit else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Text tables stored in fewer pieces than there are cores are dealt out once.
-
-    Text work is bound by CPU. A table of many files is read as it is, without a shuffle.
+    The estimate is an upper bound only where no operator can add rows: a plan with an explode, an expand, a join or
+    Python rows gets no hint. Then, and beyond the limit, the join stays a shuffle join that AQE may still turn
+    into a broadcast from measured sizes, or split where a key is hot.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    grows = re.search(r"\b(Generate|Expand|Join|MapIn\w+|FlatMapGroups\w+)\b", df._jdf.queryExecution().optimizedPlan().toString())
+    return df if grows or plan_bytes(df) > limit else F.broadcast(df)
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -1,14 +1,18 @@
-"""Keyed state: submission decisions and the rate flag."""
+"""Keyed state in time order: submission decisions and the rate flag.
+
+Rows are held in the state store until the watermark has passed them and are then decided in time order by a timer,
+whatever order and micro-batch they came in. A row older than the watermark on arrival is late and is left out.
+"""
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 # Which state may follow which.
 NEXT = {"pending": ["approved", "rejected"], "approved": ["approved", "rejected", "ingested"],
@@ -16,39 +20,90 @@ NEXT = {"pending": ["approved", "rejected"], "approved": ["approved", "rejected"
 
 DECIDED = StructType([StructField("submission_id", StringType()), StructField("seq", LongType()), StructField("from_state", StringType()),
                       StructField("to_state", StringType()), StructField("outcome", StringType())])
+FLAGGED = StructType([StructField("client", StringType()), StructField("event_id", LongType()), StructField("at", DoubleType()),
+                      StructField("outcome", StringType())])
+
+
+class InTimeOrder(StatefulProcessor):
+    """Holds the rows of a key until the watermark passes them; subclasses decide them one after another.
+
+    ``held`` starts with the time in seconds and a tie-breaking number.
+    """
+
+    held: StructType
+    out: StructType
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", self.held)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for chunk in rows:
+            part = chunk[[f.name for f in self.held]].astype(object).where(chunk.notna(), None)
+            self.rows.appendList([tuple(r) for r in part.itertuples(index=False)])
+            low = float(chunk["at"].min())
+            first = low if first is None else min(first, low)
+        if first is not None:
+            self.handle.registerTimer(int(first * 1000))
+        yield pd.DataFrame(columns=[f.name for f in self.out]).astype({f.name: "int64" for f in self.out if isinstance(f.dataType, LongType)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = sorted((tuple(r) for r in self.rows.get()), key=lambda r: r[:2])
+        ready = [r for r in rows if r[0] * 1000 < passed]
+        left = rows[len(ready):]
+        if left:
+            self.rows.put(left)
+            self.handle.registerTimer(int(left[0][0] * 1000))
+        else:
+            self.rows.clear()
+        if ready:
+            yield pd.DataFrame(self.decide(key[0], ready), columns=[f.name for f in self.out])
+
+    def decide(self, key: str, rows: list[tuple]) -> list[tuple]:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
 
-class Decisions(StatefulProcessor):
+
+def next_state(now: str, state: str, explained: bool) -> str:
+    """The outcome of a step: accepted, or why it is refused and changes nothing."""
+    if state != "ingested" and not explained:
+        return "needs author and reason"
+    return "accepted" if state in NEXT.get(now, []) else f"refused: {now} cannot become {state}"
+
+
+class Decisions(InTimeOrder):
     """The state of each submission; a step that may not follow is refused and changes nothing."""
 
+    held = StructType([StructField("at", DoubleType()), StructField("seq", LongType()), StructField("state", StringType()), StructField("explained", BooleanType())])
+    out = DECIDED
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.state = handle.getValueState("state", StructType([StructField("s", StringType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        held = self.state.get()
-        now, out = (held[0] if held else "pending"), []
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
-            explained = bool(str(r.decided_by or "").strip()) and bool(str(r.reason or "").strip())
-            if r.state != "ingested" and not explained:
-                outcome = "needs author and reason"
-            elif r.state not in NEXT.get(now, []):
-                outcome = f"refused: {now} cannot become {r.state}"
-            else:
-                outcome = "accepted"
-            out.append((key[0], r.seq, now, r.state, outcome))
+    def decide(self, key: str, rows: list[tuple]) -> list[tuple]:
+        known = self.state.get()
+        now, out = (known[0] if known else "pending"), []
+        for _, seq, state, explained in rows:
+            outcome = next_state(now, state, bool(explained))
+            out.append((key, seq, now, state, outcome))
             if outcome == "accepted":
-                now = r.state
+                now = state
         self.state.update((now,))
-        yield pd.DataFrame(out, columns=[f.name for f in DECIDED])
+        return out
 
-    def close(self) -> None:
-        pass
 
-
-def decide(decisions: DataFrame) -> DataFrame:
-    """Outcome of every decision (submission_id, seq, state, decided_by, reason) of a stream."""
+def decide(decisions: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """Outcome of every decision (submission_id, seq, state, decided_by, reason, ts) of a stream, in time order."""
     use_rocksdb(decisions)
-    return decisions.groupBy("submission_id").transformWithStateInPandas(Decisions(), DECIDED, "Append", "None")
+    rows = decisions.withWatermark("ts", late).selectExpr(
+        "submission_id", "ts", "CAST(unix_micros(ts) AS double) / 1000000 AS at", "CAST(seq AS bigint) AS seq", "state",
+        "trim(coalesce(decided_by, '')) <> '' AND trim(coalesce(reason, '')) <> '' AS explained")
+    return rows.groupBy("submission_id").transformWithStateInPandas(Decisions(), DECIDED, "Append", "EventTime")
 
 
 def use_rocksdb(df: DataFrame) -> None:
@@ -57,65 +112,58 @@ def use_rocksdb(df: DataFrame) -> None:
                              "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-FLAGGED = StructType([StructField("client", StringType()), StructField("event_id", LongType()), StructField("at", DoubleType()),
-                      StructField("outcome", StringType())])
+def admit(recent: deque, at: float, limit: int, window: float) -> bool:
+    """Whether an event is accepted; ``recent`` keeps the accepted times of the last window, at most ``limit``."""
+    while recent and at - recent[0] >= window:
+        recent.popleft()
+    if len(recent) < limit:
+        recent.append(at)
+        return True
+    return False
 
 
-class RateFlag(StatefulProcessor):
+class RateFlag(InTimeOrder):
     """At most ``limit`` accepted events per client and ``window`` seconds; a refusal does not count."""
 
+    held = StructType([StructField("at", DoubleType()), StructField("event_id", LongType())])
+    out = FLAGGED
+
     def __init__(self, limit: int = 5, window: float = 3600.0):
         self.limit, self.window = limit, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.recent = handle.getListState("recent", StructType([StructField("t", DoubleType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        held = [r[0] for r in self.recent.get()]
-        # A batch of one client is walked in arrow chunks in time order by the caller's sort.
-        for chunk in rows:
-            out = []
-            for r in chunk.sort_values(["at", "event_id"]).itertuples():
-                held = [t for t in held if r.at - t < self.window]
-                ok = len(held) < self.limit
-                if ok:
-                    held.append(r.at)
-                out.append((key[0], r.event_id, r.at, "accepted" if ok else "refused"))
-            yield pd.DataFrame(out, columns=[f.name for f in FLAGGED])
-        if held:
-            self.recent.put([(t,) for t in held])
-        else:
-            self.recent.clear()
-
-    def close(self) -> None:
-        pass
+    def decide(self, key: str, rows: list[tuple]) -> list[tuple]:
+        recent = deque(r[0] for r in self.recent.get())
+        out = [(key, event_id, at, "accepted" if admit(recent, at, self.limit, self.window) else "refused") for at, event_id in rows]
+        self.recent.put([(t,) for t in recent])  # never empty: the last accepted event stays
+        return out
 
 
-def rate_flag(events: DataFrame, limit: int = 5, window: float = 3600.0) -> DataFrame:
-    """Accepted or refused for every event (client, event_id, at) of a stream."""
+def rate_flag(events: DataFrame, limit: int = 5, window: float = 3600.0, late: str = "0 seconds") -> DataFrame:
+    """Accepted or refused for every event (client, event_id, ts) of a stream, in time order."""
     use_rocksdb(events)
-    return events.groupBy("client").transformWithStateInPandas(RateFlag(limit, window), FLAGGED, "Append", "None")
+    rows = events.withWatermark("ts", late).selectExpr("client", "ts", "CAST(unix_micros(ts) AS double) / 1000000 AS at", "CAST(event_id AS bigint) AS event_id")
+    return rows.groupBy("client").transformWithStateInPandas(RateFlag(limit, window), FLAGGED, "Append", "EventTime")
 
 
 def rate_flag_batch(events: DataFrame, limit: int = 5, window: float = 3600.0) -> DataFrame:
-    """The same rule over a finished table, walked in time order inside each client's quiet-bounded run.
+    """The same rule over a finished table of (client, event_id, ts).
 
-    A gap of a whole window empties the memory, so a client's events split at such gaps into
-    runs that are independent of each other.
+    Clients are spread over tasks and each task walks its rows in (client, time) order with the last accepted times only, so
+    a busy client costs its length once and no memory.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("client").orderBy("at", "event_id")
-    quiet = F.coalesce(F.col("at") - F.lag("at").over(w) >= window, F.lit(True)).cast("int")
-    runs = events.withColumn("run", F.sum(quiet).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    packed = runs.groupBy("client", "run").agg(F.array_sort(F.collect_list(F.struct("at", "event_id"))).alias("e"))
-    kind = "struct<held:array<double>,out:array<struct<event_id:bigint,at:double,outcome:string>>>"
-
-    def step(acc, x):
-        held = F.filter(acc["held"], lambda h: x["at"] - h < window)
-        ok = F.size(held) < limit
-        row = F.struct(x["event_id"].cast("bigint").alias("event_id"), x["at"].alias("at"), F.when(ok, "accepted").otherwise("refused").alias("outcome"))
-        return F.struct(F.when(ok, F.concat(held, F.array(x["at"]))).otherwise(held).alias("held"), F.concat(acc["out"], F.array(row)).alias("out")).cast(kind)
-
-    start = F.struct(F.array().cast("array<double>").alias("held"), F.array().cast("array<struct<event_id:bigint,at:double,outcome:string>>").alias("out")).cast(kind)
-    return packed.select("client", F.explode(F.aggregate("e", start, step)["out"]).alias("o")).select("client", "o.*")
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client, recent = None, deque()
+        for f in frames:
+            ok = []
+            for c, at in zip(f["client"], f["at"]):
+                if c != client:
+                    client, recent = c, deque()
+                ok.append("accepted" if admit(recent, at, limit, window) else "refused")
+            yield f.assign(outcome=ok)
+
+    rows = events.selectExpr("client", "CAST(event_id AS bigint) AS event_id", "CAST(unix_micros(ts) AS double) / 1000000 AS at")
+    return rows.repartition("client").sortWithinPartitions("client", "at", "event_id").mapInPandas(walk, FLAGGED)
