@@ -118,8 +118,7 @@ def language_label(text: Column, detected_iso: Column | None = None,
 
     lowered = F.lower(body)
     words = F.regexp_extract_all(lowered, F.lit("[a-z]+"), F.lit(0))
-    markers = F.array(*[F.lit(m) for m in vocab.BANGLISH_MARKERS])
-    hits = F.size(F.filter(words, lambda w: F.array_contains(markers, w)))
+    hits = F.size(F.filter(words, lambda w: w.isin(*vocab.BANGLISH_MARKERS)))
     by_rule = (hits >= 2) | ((hits == 1) & (F.size(words) <= 6))
     rule_share = F.least(F.lit(1.0), F.coalesce(F.try_divide(hits, F.size(words)), F.lit(0.0)) * 3)
     is_romanised = by_rule if romanised is None else romanised

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from roamlens.functions import text as T
 from roamlens.functions import vocab
 from roamlens.functions.similarity import half_even
-from roamlens.session import broadcast_if_small, top_per_key
+from roamlens.session import broadcast_if_small, cut_lineage, top_per_key
 
 ONE = "*"  # counted rows
 
@@ -35,8 +35,8 @@ def containment_pairs(texts: DataFrame, terms: DataFrame, long_piece: int = 12)
     """(id, term_id) where the text contains the term, without comparing every pair.
 
     A term occurring in a text brings all its pieces with it. Each term is filed under its
-    rarest piece of a fixed length (12, 3, 2 or 1 characters by term length); each text sends
-    its distinct pieces of the lengths in use, and only matching rows are verified.
+    rarest piece of a fixed length (12, 3, 2 or 1 characters by term length). A text sends only its id with those of its
+    distinct pieces that some term has; texts come back, once per candidate term, for the final check.
     Both frames hold lower-case values: texts (id, text), terms (term_id, term).
     """
     n = F.length("term")
@@ -54,15 +54,15 @@ def containment_pairs(texts: DataFrame, terms: DataFrame, long_piece: int = 12)
 
     wanted = t.select("term_id", "term", "size", F.explode(pieces("term", F.col("size"))).alias("piece"))
     sizes = F.array(*[F.lit(s) for s in (long_piece, 3, 2, 1)])
-    held = texts.select("id", "text", F.explode(sizes).alias("size")).filter(F.length("text") >= F.col("size"))
+    every = texts.select("id", "text", F.explode(sizes).alias("size")).filter(F.length("text") >= F.col("size"))
     in_use = t.select("size").distinct()
-    held = held.join(F.broadcast(in_use), "size", "left_semi").select(
-        "id", "text", F.explode(pieces("text", F.col("size"))).alias("piece"))
-    keys = broadcast_if_small(wanted.select("piece").distinct())
-    freq = held.select("piece").join(keys, "piece", "left_semi").groupBy("piece").agg(F.count(ONE).alias("df"))
+    held = every.join(F.broadcast(in_use), "size", "left_semi").select("id", F.explode(pieces("text", F.col("size"))).alias("piece"))
+    held = cut_lineage(held.join(wanted.select("piece").distinct(), "piece", "left_semi"))
+    freq = held.groupBy("piece").agg(F.count(ONE).alias("df"))
     rare = wanted.join(freq, "piece", "left").groupBy("term_id", "term").agg(
         F.min_by("piece", F.struct(F.coalesce("df", F.lit(0)).alias("d"), F.col("piece"))).alias("piece"))
-    return held.join(broadcast_if_small(rare), "piece").filter(F.contains("text", F.col("term"))).select("id", "term_id")
+    likely = held.join(rare, "piece").select("id", "term_id", "term").distinct()
+    return texts.select("id", "text").join(likely, "id").filter(F.contains("text", F.col("term"))).select("id", "term_id")
 
 
 # ---- ranking ---------------------------------------------------------------------------------

@@ -227,8 +227,9 @@ def entity_evidence(entities: DataFrame, evidence: DataFrame) -> DataFrame:
 def place_attributes(mentions: DataFrame, entities: DataFrame, reviews: DataFrame) -> DataFrame:
     """One row per (host place, attribute entity) with its best example sentence.
 
-    The example is the row smallest by (short, not recent, distance to 120 characters,
-    review id); it is a ``min_by``, so a much-mentioned pair combines before the shuffle.
+    The example is the row smallest by (short, not recent, distance to 120 characters, review id, sentence). Mentions
+    first become one row per (place, entity, review) with its nearest sentences, so reviews are plain counts and a
+    much-mentioned pair combines before the shuffle.
     """
     since = recent_bound(reviews)
     r = reviews.select("review_id", "place_name", "district", "division", "review_date")
@@ -239,16 +240,21 @@ def place_attributes(mentions: DataFrame, entities: DataFrame, reviews: DataFram
         .withColumn("recent", F.coalesce(F.col("review_date") >= since, F.lit(False)))
         .withColumn("len", F.length(F.coalesce("sentence", F.lit(""))))
     )
-    long_enough = F.col("len") >= 20
-    closeness = F.struct(F.abs(F.col("len") - vocab.EXAMPLE_TARGET_LENGTH).alias("d"), F.col("review_id"), F.col("sentence"))
-    row = F.struct("review_id", "sentence", "year")
-    first = lambda cond: F.min_by(row, F.when(cond, closeness))
-    g = m.groupBy("place_name", "district", "division", "entity_id", "entity_type").agg(
-        F.count_distinct("review_id").alias("n_reviews"), F.count(ONE).alias("n_mentions"),
-        F.min("year").alias("first_year"), F.max("year").alias("last_year"),
-        F.count_distinct(F.when(F.col("recent"), F.col("review_id"))).alias("n_recent_reviews"),
-        F.coalesce(first(long_enough & F.col("recent")), first(long_enough)).alias("long_ex"),
-        F.coalesce(first(F.col("recent")), first(F.lit(True))).alias("any_ex"))
+    closeness = F.struct(F.abs(F.col("len") - vocab.EXAMPLE_TARGET_LENGTH).alias("d"), F.col("sentence"))
+    pair = ["place_name", "district", "division", "entity_id", "entity_type"]
+    cells = m.groupBy(*pair, "review_id", "year", "recent").agg(
+        F.count(ONE).alias("n"), F.min(F.when(F.col("len") >= 20, closeness)).alias("long"), F.min(closeness).alias("any"))
+
+    def first(kind: str, cond: Column) -> Column:
+        row = F.struct(F.col(f"{kind}.d"), F.col("review_id"), F.col(f"{kind}.sentence"), F.col("year"))
+        return F.min(F.when(cond & F.col(kind).isNotNull(), row))
+
+    always = F.lit(True)
+    g = cells.groupBy(*pair).agg(
+        F.count(ONE).alias("n_reviews"), F.sum("n").alias("n_mentions"), F.min("year").alias("first_year"), F.max("year").alias("last_year"),
+        F.count_if("recent").alias("n_recent_reviews"),
+        F.coalesce(first("long", F.col("recent")), first("long", always)).alias("long_ex"),
+        F.coalesce(first("any", F.col("recent")), first("any", always)).alias("any_ex"))
     ex = F.coalesce("long_ex", "any_ex")
     return g.withColumn("ex", ex).join(
         broadcast_if_small(entities.select("entity_id", F.col("canonical_name").alias("name"))), "entity_id", "left"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roamlens.functions import similarity as S
 from roamlens.functions import text as T
 from roamlens.functions import vocab
-from roamlens.session import broadcast_if_small, first_per_key, top_per_key
+from roamlens.session import broadcast_if_small, cut_lineage, first_per_key, top_per_key
 
 ONE = "*"  # counted rows
 
@@ -215,13 +215,13 @@ def keywords(docs: DataFrame, stop_words: list[str], top_n: int = 10) -> DataFra
     """
     words = F.filter(
         F.regexp_extract_all(F.lower("text"), F.lit(f"[{T.WORD_CHARS}]{{2,}}"), F.lit(0)),
-        lambda w: ~F.array_contains(F.array(*[F.lit(s) for s in stop_words]), w))
+        lambda w: ~w.isin(*stop_words))
     two = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))),
         lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
     terms = docs.select("topic_id", words.alias("w")).select(
         "topic_id", F.explode(F.concat("w", F.when(F.size("w") > 1, two).otherwise(F.array()))).alias("term"))
-    tf = terms.groupBy("topic_id", "term").agg(F.count(ONE).alias("n"))
+    tf = cut_lineage(terms.groupBy("topic_id", "term").agg(F.count(ONE).alias("n")))  # counted once, used four times
     per_topic = tf.groupBy("topic_id").agg(F.sum("n").alias("topic_terms"))
     mean_terms = per_topic.agg(F.avg("topic_terms").alias("a")).scalar()
     per_term = tf.groupBy("term").agg(F.sum("n").alias("all_n"))

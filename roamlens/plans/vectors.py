@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from roamlens.functions import vocab
 from roamlens.functions.language import coarse_language
 from roamlens.operators import models, sampling, topics
 from roamlens.plans.corpus import BANGLA_TEXTS, BN, bangla_texts
 from roamlens.plans.registry import query
 from roamlens.sources.adapters import Tables
 
-STOP = ["the", "and", "of", "to", "in", "is", "en", "der", "la", "de"]
+STOP = ["the", "and", "of", "to", "in", "is", "en", "der", "la", "de", *vocab.BANGLA_STOP_WORDS]
 STOP_SQL = "[" + ", ".join(f"'{s}'" for s in STOP) + "]"
 
 
