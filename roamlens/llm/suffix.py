@@ -46,11 +46,31 @@ def sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the grams that are smallest in some string of the length."""
+def _smallest(h: np.ndarray, width: int, first: bool) -> np.ndarray:
+    """Where the smallest value of every window is; of equal ones the first or the last."""
+    at, size = np.arange(len(h)), 1
+
+    def better(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(h[a] <= h[b] if first else h[a] < h[b], a, b)
+
+    while size * 2 <= width:
+        at = better(at[:-size], at[size:])
+        size *= 2
+    rest = width - size
+    return better(at[: len(at) - rest], at[rest:]) if rest else at
+
+
+def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Positions and hashes of a text's anchors, and the ranges that strings repeated inside the text itself cover.
+
+    An anchor is the smallest gram of some string of the length. Where grams repeat inside a string (runs of one word),
+    there would be one for every period. Then the first of equal grams is taken if they go on to the string's end, else the last,
+    and a string that stands in the text several times needs the anchor of its first place only, as all its places are
+    covered here already.
+    """
     a = np.frombuffer(data, np.uint8)
     if len(a) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), []
     h, step = _LETTER[a], 1
     for times in _TIMES:
         h = h[:-step] * times + h[step:]
@@ -60,7 +80,21 @@ def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     low = sliding(h, width, np.minimum)
     pad = np.zeros(width - 1, np.uint64)
     at = np.flatnonzero(sliding(np.concatenate([pad, low, pad]), width, np.maximum) == h)
-    return at, h[at]
+    order = at[np.argsort(h[at], kind="stable")]
+    if not np.any((h[order][1:] == h[order][:-1]) & (np.diff(order) < width)):
+        return at, h[at], []
+    first, last = _smallest(h, width, True), _smallest(h, width, False)
+    before = np.zeros(len(h), np.int64)
+    before[order[1:]] = order[:-1]
+    goes_on = np.arange(len(last)) + width - 1 - last < last - before[last]
+    chosen = np.where(goes_on, first, last)
+    whole = np.zeros(len(last), np.uint64)
+    for k in [*range(0, length - GRAM, GRAM), length - GRAM]:
+        whole = mix(whole * _TIMES[0] + h[k : k + len(last)])
+    _, one, where, many = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+    at = np.unique(chosen[one])
+    again = np.flatnonzero(many[where] > 1)
+    return at, h[at], runs(again, length) if len(again) else []
 
 
 def column_wise(segments: list[bytes], offsets: list[int], groups: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -115,17 +149,30 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
     rows = keyed(docs)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
         for batch in batches:
-            d, t = batch.column("_d").to_numpy(), batch.column("_t").to_numpy()
             for first, texts in slices(batch):
-                got = [anchors(b, length) for b in texts]
-                many = [len(p) for p, _ in got]
-                yield arrow_rows(["h", "_d", "_t", "pos"], [pa.int64(), pa.int64(), pa.int64(), pa.int32()], [
-                    np.concatenate([h for _, h in got]).view(np.int64), np.repeat(d[first : first + len(texts)], many),
-                    np.repeat(t[first : first + len(texts)], many), np.concatenate([p for p, _ in got]).astype(np.int32)])
+                out: list[list] = [[] for _ in types]
+                for i, b in enumerate(texts, first):
+                    at, h, own = anchors(b, length)
+                    if not len(at):
+                        continue
+                    if own:  # a row without an anchor: what the text covers by itself
+                        for col, v in zip(out, (None, batch.column("_d")[i].as_py(), batch.column("_t")[i].as_py(), 0, own)):
+                            col.append(v)
+                    order = np.argsort(h, kind="stable")
+                    at, h = at[order], h[order].view(np.int64)
+                    cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                    many = np.diff(np.append(cuts, len(h)))
+                    out[0].extend(h[cuts].tolist())
+                    out[1].extend([batch.column("_d")[i].as_py()] * len(cuts))
+                    out[2].extend([batch.column("_t")[i].as_py()] * len(cuts))
+                    out[3].extend(many.tolist())
+                    out[4].extend(x.tolist() for x in np.split(at, cuts[1:]))
+                yield arrow_rows(["h", "_d", "_t", "k", "pos"], types, out)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        types = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             sent: set[tuple[int, int]] = set()
             for first, texts in slices(batch):
@@ -133,14 +180,21 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
                 for i, b in enumerate(texts, first):
                     d, t = batch.column("_d")[i].as_py(), batch.column("_t")[i].as_py()
                     for a in batch.column("at")[i].as_py():
-                        lo = max(0, a["pos"] - before)
-                        seg = b[lo : a["pos"] + length]
-                        s = int.from_bytes(blake2b(seg, digest_size=8, salt=(a["pos"] - lo).to_bytes(4, "big")).digest(), "big", signed=True)
-                        new = (a["h"], s) not in sent
-                        sent.add((a["h"], s))
-                        for col, v in zip(out, (a["h"], s, d, t, lo, a["pos"] - lo, len(seg), seg if new else None)):
-                            col.append(v)
-                yield arrow_rows(["h", "s", "_d", "_t", "lo", "off", "size", "seg"], types, out)
+                        here: dict[int, list[int]] = {}
+                        for pos in a["pos"]:
+                            lo = max(0, pos - before)
+                            seg = b[lo : pos + length]
+                            s = int.from_bytes(blake2b(seg, digest_size=8, salt=(pos - lo).to_bytes(4, "big")).digest(), "big", signed=True)
+                            if s in here:
+                                here[s].append(lo)
+                                continue
+                            new = (a["h"], s) not in sent
+                            sent.add((a["h"], s))
+                            here[s] = [lo]
+                            for col, v in zip(out, (a["h"], s, d, t, here[s], 0, pos - lo, len(seg), seg if new else None)):
+                                col.append(v)
+                out[5] = [len(x) for x in out[4]]
+                yield arrow_rows(["h", "s", "_d", "_t", "los", "k", "off", "size", "seg"], types, out)
 
     def sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -149,7 +203,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
             t = pa.concat_tables(held)
             h = t.column("h").to_numpy()
             found = column_wise(t.column("seg").to_pylist(), off := t.column("off").to_pylist(), np.cumsum(np.concatenate([[False], h[1:] != h[:-1]])), length)
-            hit = np.flatnonzero(found.any(axis=1) & (t.column("n").to_numpy() == 1))
+            hit = np.flatnonzero(found.any(axis=1))
             return arrow_rows(["h", "s", "iv"], [pa.int64(), pa.int64(), pa.list_(pa.int32())], [
                 h[hit], t.column("s").to_numpy()[hit], [runs(np.flatnonzero(found[i]) - (before - off[i]), length) for i in hit]])
 
@@ -174,14 +228,13 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
                 batch.column("h"), batch.column("s"), [runs(np.array(sorted(j.as_py())), length) for j in batch.column("j")]])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64()] * 6 + [pa.string(), pa.list_(pa.int32())]
-        names = ["doc_id", "_d", "_t", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+        types = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int32())]
         for batch in batches:
             for first, texts in slices(batch):
-                n, gone, many, sha, spans = [], [], [], [], []
+                gone, many, sha, spans = [], [], [], []
                 for i, b in enumerate(texts, first):
                     ranges: list[int] = []
-                    for piece in sorted((p[k], p[k + 1]) for p in batch.column("iv")[i].as_py() or () for k in range(0, len(p), 2)):
+                    for piece in sorted((p[k], p[k + 1]) for p in batch.column("iv")[i].as_py() for k in range(0, len(p), 2)):
                         if ranges and piece[0] <= ranges[-1]:
                             ranges[-1] = max(ranges[-1], piece[1])
                         else:
@@ -190,35 +243,46 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, group_limit: int = GRO
                     left = sha256()
                     for k in range(0, len(edges), 2):
                         left.update(b[edges[k] : edges[k + 1]])
-                    n.append(len(b))
                     gone.append(sum(ranges[1::2]) - sum(ranges[::2]))
                     many.append(len(ranges) // 2)
                     sha.append(left.hexdigest())
                     spans.append(ranges)
                 part = batch.slice(first, len(texts))
-                yield arrow_rows(names, types, [part.column("doc_id"), part.column("_d"), part.column("_t"), n, gone, many, sha, spans])
-
-    at = stored(rows.mapInArrow(find, "h long, _d long, _t long, pos int"))
-    twice = at.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    per_doc = at.join(twice, "h", "left_semi").groupBy("_d", "_t").agg(F.collect_set(F.struct("pos", "h")).alias("at"))
-    places = stored(rows.join(per_doc, ["_d", "_t"]).select("_d", "_t", "text", "at").mapInArrow(
-        cut, "h long, s long, _d long, _t long, lo int, off int, size int, seg binary"))
-
-    counts = places.groupBy("h", "s").agg(F.count(F.lit(1)).alias("n"))
-    mixed = counts.groupBy("h").agg(F.count(F.lit(1)).alias("distinct_segments")).filter("distinct_segments > 1")
-    bodies = places.filter("seg is not null").select("h", "s", "off", "seg").dropDuplicates(["h", "s"])
-    several = counts.join(mixed, "h").join(bodies, ["h", "s"]).select("h", "s", "off", "n", "seg", "distinct_segments")
+                yield arrow_rows(["_d", "_t", "n_removed", "n_spans", "sha", "spans"], types, [part.column("_d"), part.column("_t"), gone, many, sha, spans])
+
+    at = stored(rows.mapInArrow(find, "h long, _d long, _t long, k int, pos array<int>"))
+    twice = at.groupBy("h").agg(F.sum("k").alias("n")).filter("n > 1").select("h")
+    alone = at.filter("h is null").select("_d", "_t", "pos")
+    pairs = at.join(twice, "h", "left_semi").select("_d", "_t", F.struct("h", "pos").alias("a"))
+    per_doc = pairs.unionByName(alone.select("_d", "_t", F.lit(None).cast(pairs.schema["a"].dataType).alias("a"))).groupBy("_d", "_t").agg(
+        F.collect_set("a").alias("at"))
+    # From here only the texts with such an anchor move; the others stay whole.
+    touched = stored(rows.join(per_doc, ["_d", "_t"]).select("_d", "_t", "text", "at"))
+    places = stored(touched.mapInArrow(cut, "h long, s long, _d long, _t long, los array<int>, k int, off int, size int, seg binary"))
+
+    counts = places.groupBy("h", "s").agg(F.sum("k").alias("n"))
+    mixed = counts.groupBy("h").agg(F.count(F.lit(1)).alias("segments")).filter("segments > 1")
+    bodies = places.filter("seg is not null").select("h", "s", "off", "seg")
     kind = "h long, s long, iv array<int>"
-    bounded = several.filter(F.col("distinct_segments") <= group_limit).drop("distinct_segments")
-    found = bounded.repartition("h").sortWithinPartitions("h").mapInArrow(sort_groups, kind)
-    hot = several.filter((F.col("distinct_segments") > group_limit)).select("h", "s", "off", "seg").mapInArrow(windows, "h long, s long, j int, w binary")
+    bounded = bodies.repartition("h").join(mixed.filter(F.col("segments") <= group_limit).select("h"), "h", "left_semi").dropDuplicates(["h", "s"])
+    found = bounded.sortWithinPartitions("h", "s").mapInArrow(sort_groups, kind)
+    many = mixed.filter(F.col("segments") > group_limit).select("h")
+    hot = bodies.join(many, "h", "left_semi").dropDuplicates(["h", "s"]).mapInArrow(windows, "h long, s long, j int, w binary")
     again = hot.groupBy("h", "w").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h", "w")
     found = found.unionByName(hot.join(again, ["h", "w"]).groupBy("h", "s").agg(F.collect_set("j").alias("j")).mapInArrow(joined, kind))
     marks = counts.join(found, ["h", "s"], "left").filter("n > 1 or iv is not null")
-    spans = places.join(marks, ["h", "s"]).select("_d", "_t", F.when(F.col("n") > 1, F.array("lo", F.col("lo") + F.col("size"))).otherwise(
-        F.transform("iv", lambda x: x + F.col("lo"))).alias("iv")).groupBy("_d", "_t").agg(F.collect_set("iv").alias("iv"))
-    return rows.join(spans, ["_d", "_t"], "left").select("doc_id", "_d", "_t", "text", "iv").mapInArrow(
-        keep, "doc_id long, _d long, _t long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<int>")
+    own = F.transform("iv", lambda x: x + F.col("los")[0])
+    covered = places.join(marks, ["h", "s"]).select("_d", "_t", F.when(F.col("n") > 1, F.flatten(F.transform("los", lambda x: F.array(
+        x, x + F.col("size"))))).otherwise(own).alias("iv")).unionByName(alone.select("_d", "_t", F.col("pos").alias("iv")))
+    spans = covered.groupBy("_d", "_t").agg(F.collect_set("iv").alias("iv"))
+    kept = touched.select("_d", "_t", "text").dropDuplicates(["_d", "_t"]).join(spans, ["_d", "_t"]).mapInArrow(
+        keep, "_d long, _t long, n_removed long, n_spans long, sha string, spans array<int>")
+    text = F.coalesce("text", F.lit(""))
+    whole = rows.select("doc_id", "_d", "_t", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("all_sha256"))
+    zero = F.lit(0).cast("long")
+    return whole.join(kept, ["_d", "_t"], "left").select(
+        "doc_id", "_d", "_t", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
+        F.coalesce("sha", "all_sha256").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<int>")).alias("spans"))
 
 
 def query(spark, folder: str) -> DataFrame:
