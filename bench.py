@@ -11,7 +11,7 @@ HEADLINE = [
     "agg_1_place_stats", "agg_4_rating_distribution", "agg_9_venue_preferences", "agg_13_entity_evidence", "agg_14_place_attributes",
     "agg_16_place_links", "agg_21_audience_comparison", "pre_1_clean_text", "pre_5_first_by_text", "lng_2_phonetic_key",
     "lng_5_language_label", "topic_3_keywords", "topic_2_reassign_outliers", "gem_6_recency", "join_1_review_spine",
-    "ret_5_recommend", "stat_1_rank_tests", "topic_16_sample_ladder",
+    "ret_5_recommend", "stat_1_rank_tests", "topic_16_sample_ladder", "topic_1_clusters",
 ]
 
 

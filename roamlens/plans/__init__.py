@@ -4,6 +4,6 @@
 def load():
     """All query modules imported; returns (queries, check SQL)."""
     from roamlens.plans import registry
-    from roamlens.plans import corpus, evidence, names, people, serving, vectors  # noqa: F401
+    from roamlens.plans import corpus, evidence, names, people, serving, storage, vectors  # noqa: F401
 
     return registry.QUERIES, registry.ORACLES
