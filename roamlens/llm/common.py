@@ -37,7 +37,7 @@ def stored(df: DataFrame) -> DataFrame:
     """The frame written to the shared folder and read back: later steps and lost executors start from the files."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -90,12 +90,12 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK) -> I
         yield first, held
 
 
-_OTHER, _DIGITS = re.compile(r"(?:[^\w\n]|_)+"), re.compile(r"\d+")
+_PLAIN = bytes(0x30 if 0x30 <= i <= 0x39 else i if i == 0x0A or i > 0x7F or chr(i).isalpha() else 0x20 for i in range(256))
 
 
-def normalise(text: str) -> list[str]:
-    """The lines in lower case, digit runs as 0, other marks as single spaces."""
-    return [x.strip() for x in _DIGITS.sub("0", _OTHER.sub(" ", text.lower())).split("\n")]
+def normalise(text: str) -> list[bytes]:
+    """The lines as UTF-8 in lower case, ASCII digits as 0, other ASCII marks as single spaces."""
+    return [b" ".join(x.split()) for x in text.lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split(b"\n")]
 
 
 # ---- vectorised hashing ---------------------------------------------------------------------------
@@ -161,12 +161,26 @@ def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
     return out
 
 
+def _shared(a: str, b: str) -> int:
+    """Length of the common prefix, by halving."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
+
 def edit_distance(a: str, b: str, limit: int) -> int:
     """Levenshtein distance by bit-parallel columns; limit + 1 as soon as it must be above the limit."""
     if abs(len(a) - len(b)) > limit:
         return limit + 1
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    same = _shared(a, b)
+    a, b = a[same:], b[same:]
+    same = _shared(a[::-1], b[::-1])
+    a, b = a[: len(a) - same], b[: len(b) - same]
     if not a or not b:
         return min(len(a) + len(b), limit + 1)
     where: dict[str, int] = {}
@@ -206,12 +220,12 @@ def components(edges: DataFrame) -> DataFrame:
         nxt = stored(large.join(small, "a").select(
             F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
         ).select("e.*").filter("a <> b").distinct())
-        # Done when every link goes from a leaf to a root and nothing else changed.
-        roots = nxt.select(F.col("b").alias("a")).distinct()
-        deep = nxt.join(roots, "a", "left_semi").limit(1).count()
-        twice = nxt.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+        # Done when every node has one link and none that is linked to links on.
+        ends = nxt.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(
+            F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+        open_ = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up = 1 AND down = 1)")
         now = nxt
-        if not deep and not twice:
+        if not open_.limit(1).count():
             break
     return now.select(F.col("a").alias("c"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("c"), F.col("b").alias("root")).distinct())
@@ -221,21 +235,27 @@ def connect(members: DataFrame, payload: DataFrame, check: Callable[[DataFrame],
             near: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(c, root) of the classes linked inside the buckets of ``members`` (bucket, c).
 
-    Never all pairs of a bucket. First each class meets the smallest of its bucket and ``check`` confirms (a, b) links
-    exactly. Only buckets whose classes then still lie in several components go on: their rows with ``payload``
-    (c, load) are dealt into tiles of bounded size. In one round each class is checked against the likeliest class of
-    another component, which joins a group of copies; in the last against every other one that ``near`` lets through.
+    Never all pairs of a bucket. First the two classes of a bucket of two, and each class of a larger one and the smallest of all its
+    buckets, meet, and ``check`` confirms (a, b) links exactly. Only buckets whose classes then still lie in several components go on: their rows with ``payload``
+    (c, load) are dealt into tiles of bounded size. In two rounds each class outside a tile's largest component is
+    checked against the likeliest class inside it and against the likeliest of all others, which joins a group of
+    copies; in the last round against every class of another component that ``near`` lets through.
     After that each pair of a bucket is in one component or has been compared. ``near`` gets one unpacked load and the array of
     others, and returns the positions worth checking and their scores.
     """
     counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     held = stored(members.join(counts, "bucket").select("bucket", "c", "n"))
     lead = held.groupBy("bucket").agg(F.min("c").alias("lead"))
-    star = held.join(lead, "bucket").filter("c <> lead").select(F.col("c").alias("a"), F.col("lead").alias("b")).distinct()
+    led = held.join(lead, "bucket").filter("c <> lead")
+    star = led.filter("n = 2").select("c", "lead").unionByName(led.filter("n > 2").groupBy("c").agg(F.min("lead").alias("lead"))).select(
+        F.col("c").alias("a"), F.col("lead").alias("b")).distinct()
     links = stored(check(star))
-    kind = dict(members.dtypes)["c"]
-    for best in (True, False):
-        seen = held.join(components(links), "c", "left").select("bucket", "c", "n", F.coalesce("root", "c").alias("root"))
+    held = held.filter("n > 2")  # the one pair of a smaller bucket has been checked
+    kind, root, grew = dict(members.dtypes)["c"], components(links), True
+    for best in (True, True, False):
+        if best and not grew:
+            continue
+        seen = held.join(root, "c", "left").select("bucket", "c", "n", F.coalesce("root", "c").alias("root"))
         mixed = seen.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
         tiles = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
         rest = seen.join(mixed, "bucket").join(payload, "c").withColumn("_own", F.pmod(F.xxhash64("c"), tiles).cast("int")).withColumn(
@@ -244,8 +264,12 @@ def connect(members: DataFrame, payload: DataFrame, check: Callable[[DataFrame],
             F.xxhash64("bucket", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("unit"),
             (F.col("_own") < F.col("_other")).alias("side"), (F.col("_own") == F.col("_other")).alias("self"), "c", "root", "load")
         pairs = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_cross(unpack, near, best), f"a {kind}, b {kind}")
-        links = stored(links.unionByName(check(pairs.distinct())))
-    return components(links)
+        new = stored(check(pairs.distinct()))
+        grew = bool(new.limit(1).count())
+        if grew:
+            links = links.unionByName(new)
+            root = components(links)
+    return root
 
 
 def _cross(unpack, near, best: bool):
@@ -258,8 +282,9 @@ def _cross(unpack, near, best: bool):
             group, load = np.array([number[r] for r in root]), unpack(t.column("load").to_pylist())
             alone, side = bool(t.column("self")[0].as_py()), np.array(t.column("side").to_pylist())
             a, b = [], []
+            largest = int(np.argmax(np.bincount(group)))
             for i in range(len(ids)):
-                if not alone and not side[i] and not best:
+                if group[i] == largest if best else not (alone or side[i]):
                     continue
                 other = group != group[i]
                 if not alone:
@@ -271,7 +296,8 @@ def _cross(unpack, near, best: bool):
                     continue
                 kept, score = near(load[i], load[at])
                 if best and len(kept):
-                    kept = kept[[int(np.argmax(score))]]
+                    inside = np.flatnonzero(group[at[kept]] == largest)
+                    kept = kept[[int(np.argmax(score)), *(inside[np.argmax(score[inside])] for _ in inside[:1])]]
                 for j in at[kept]:
                     a.append(max(ids[i], ids[j]))
                     b.append(min(ids[i], ids[j]))

@@ -117,11 +117,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
     members = classes.select("c", "load").mapInArrow(_banded, "bucket long, c binary")
     least = needed(percent / 100, miss)
 
-    # Sets are made once, for the classes that share a band with another class.
+    # Sets are made once, for the classes that share a band with another class; repeated rows give equal ones.
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = stored(members.join(shared, "bucket", "left_semi"))
     wanted = classes.select("c", "_d", "_t").join(members.select("c").distinct(), "c", "left_semi")
-    sets = stored(keyed(docs).join(wanted, ["_d", "_t"]).select("c", "text").mapInArrow(_sets, "c binary, s binary").dropDuplicates(["c"]))
+    sets = stored(keyed(docs).join(wanted, ["_d", "_t"]).select("c", "text").mapInArrow(_sets, "c binary, s binary"))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
