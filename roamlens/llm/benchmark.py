@@ -1,6 +1,6 @@
 """Benchmark decontamination: pigeonhole pieces found exactly, whole items verified by bit-parallel edit distance.
 
-Items and documents are normalised alike: lower case, digit runs to 0, other marks and line ends to single spaces. An item of n
+Items and documents are normalised alike: lower case, ASCII digits to 0, other ASCII marks and line ends to single spaces. An item of n
 characters may differ in ``rate`` * n places; cut into one piece more than that, some piece stands unchanged in every
 occurrence. A document is scanned once for the pieces of all items; around each hit the smallest edit distance of the
 item to any substring decides. Items under ``min_chars`` normalised characters are no evidence and are not searched.
@@ -28,7 +28,7 @@ MATCH = "doc_id long, _d long, _t long, item_id long, distance int"
 
 
 def flat(text: str | None) -> str:
-    return " ".join(x for x in normalise(text or "") if x)
+    return b" ".join(x for x in normalise(text or "") if x).decode("utf-8", "surrogatepass")
 
 
 def pieces(item: str, budget: int) -> list[tuple[int, str]]:
