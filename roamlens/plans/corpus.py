@@ -100,12 +100,12 @@ query("pre_16_text_fingerprint", f"SELECT doc_id AS review_id, sha256(lower({squ
 query("pre_16_repeated_texts", f"""
 SELECT conv_id * 1000 + turn AS submission_id FROM conversations c WHERE role = 'user' AND sha256(lower({squeeze_sql('text')})) IN (
   SELECT sha256(lower({squeeze_sql('text')})) FROM conversations WHERE role = 'assistant')
-UNION ALL SELECT doc_id FROM documents WHERE sha256(lower({squeeze_sql('text')})) IN (SELECT sha256(lower({squeeze_sql('upper(text)')})) FROM benchmark)
+UNION ALL SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND sha256(lower({squeeze_sql('text')})) IN (SELECT sha256(lower({squeeze_sql('text')})) FROM documents WHERE doc_id % 2 = 1)
 """)(lambda t: prep.repeated_texts(
     t.raw("conversations").filter("role = 'user'").selectExpr("conv_id * 1000 + turn AS submission_id", "text AS review_text"),
     t.raw("conversations").filter("role = 'assistant'").selectExpr("text AS review_text")).select("submission_id").unionByName(
-    prep.repeated_texts(t.texts.withColumnRenamed("review_id", "submission_id"),
-                        t.raw("benchmark").selectExpr("upper(text) AS review_text")).select("submission_id")))
+    prep.repeated_texts(t.texts.filter("review_id % 2 = 0").withColumnRenamed("review_id", "submission_id"),
+                        t.texts.filter("review_id % 2 = 1").select(F.upper("review_text").alias("review_text"))).select("submission_id")))
 
 
 # ---- names and places -----------------------------------------------------------------------

@@ -196,9 +196,9 @@ PARTITION BY place_id ORDER BY review_date DESC, review_id) AS INTEGER) AS rank
 """)(lambda t: retrieval.top_per_key(t.reviews.select("place_id", "review_id", "review_date"), ["place_id"],
                                      [F.desc("review_date"), F.asc("review_id")], 1))
 query("ret_15_set_difference", """
-SELECT place_id FROM places EXCEPT SELECT place_id FROM reviews WHERE source = 'R' AND review_rating = 5 AND review_year = 1998
+SELECT place_id FROM places EXCEPT SELECT place_id FROM reviews WHERE source = 'R' AND review_rating = 5 AND review_date BETWEEN DATE '1998-01-01' AND DATE '1998-01-31'
 """)(lambda t: t.places.select("place_id").exceptAll(
-    t.places.join(t.reviews.filter("source = 'R' AND review_rating = 5 AND review_year = 1998"), "place_id", "left_semi").select("place_id")))
+    t.places.join(t.reviews.filter("source = 'R' AND review_rating = 5 AND review_date BETWEEN DATE '1998-01-01' AND DATE '1998-01-31'"), "place_id", "left_semi").select("place_id")))
 query("ret_16_long_tail_topics", """
 SELECT l.topic_id, l.interpreted_label, l.preference_id, l.sdd, l.corpus_share, l.review_count FROM long_tail l WHERE is_long_tail OR scarce
 """)(lambda t: t.long_tail.filter("is_long_tail OR scarce").select(
