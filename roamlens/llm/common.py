@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 # Word of the contracts: a run of characters other than space, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK = 1 << 19  # bytes of text hashed at once
-TILE = 2048  # rows of a bucket compared in one piece
+TILE = 1024  # rows of a bucket compared in one piece
 MASK = (1 << 64) - 1
 
 
@@ -231,8 +231,8 @@ def components(edges: DataFrame) -> DataFrame:
         now.select(F.col("b").alias("c"), F.col("b").alias("root")).distinct())
 
 
-def connect(members: DataFrame, payload: DataFrame, check: Callable[[DataFrame], DataFrame], unpack: Callable[[list[bytes]], np.ndarray],
-            near: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def connect(members: DataFrame, payload: DataFrame, check: Callable[[DataFrame], DataFrame], unpack: Callable[[list[bytes]], object],
+            near: Callable[[object, int, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(c, root) of the classes linked inside the buckets of ``members`` (bucket, c).
 
     Never all pairs of a bucket. First the two classes of a bucket of two, and each class of a larger one and the smallest of all its
@@ -240,8 +240,8 @@ def connect(members: DataFrame, payload: DataFrame, check: Callable[[DataFrame],
     (c, load) are dealt into tiles of bounded size. In two rounds each class outside a tile's largest component is
     checked against the likeliest class inside it and against the likeliest of all others, which joins a group of
     copies; in the last round against every class of another component that ``near`` lets through.
-    After that each pair of a bucket is in one component or has been compared. ``near`` gets one unpacked load and the array of
-    others, and returns the positions worth checking and their scores.
+    After that each pair of a bucket is in one component or has been compared. ``near`` gets the unpacked loads of a tile, a
+    row and the rows to compare it with, and returns the positions in these worth checking and their scores.
     """
     counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     held = stored(members.join(counts, "bucket").select("bucket", "c", "n"))
@@ -294,7 +294,7 @@ def _cross(unpack, near, best: bool):
                 at = np.flatnonzero(other)
                 if not len(at):
                     continue
-                kept, score = near(load[i], load[at])
+                kept, score = near(load, i, at)
                 if best and len(kept):
                     inside = np.flatnonzero(group[at[kept]] == largest)
                     kept = kept[[int(np.argmax(score)), *(inside[np.argmax(score[inside])] for _ in inside[:1])]]

@@ -3,8 +3,8 @@
 A document's set holds its distinct five-word shingles (A-Z lower-cased; fewer words: the whole sequence).
 Documents of equal sets are one class. Classes sharing a band of their MinHash signature are candidates;
 signature batches not used for banding are compared one after another, and a pair is dropped as soon as the
-posterior probability of a similarity at or above the threshold falls under ``miss``. Survivors are confirmed on the
-full sets. With 25 bands of 4 a pair at exactly 0.75 shares no band with probability 7e-5, less above.
+posterior probability of a similarity at or above the threshold falls under ``miss``. Survivors are compared by 32-bit
+shingles where they meet, and what is within 0.01 of the threshold or above is confirmed on the full sets. With 25 bands of 4 a pair at exactly 0.75 shares no band with probability 7e-5, less above.
 
 Null or wordless texts have the empty set: alone, kept. Rows with a null doc_id take part; their class then has the
 smallest id that is not null, or none. Repeated rows are copies. Other columns are ignored. An empty table gives no rows.
@@ -77,6 +77,29 @@ def survivors(one: np.ndarray, others: np.ndarray, least: tuple[int, ...]) -> tu
     return left, found
 
 
+class Tile:
+    """Signatures of a tile's classes, and their shingles as numbers into the tile's own list."""
+
+    def __init__(self, loads: list[bytes]):
+        self.signatures = np.array([np.frombuffer(x[: 4 * HASHES], np.uint32) for x in loads])
+        short = [np.frombuffer(x[4 * HASHES :], np.uint32) for x in loads]
+        self.sizes = np.array([len(s) for s in short])
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.numbers = np.unique(np.concatenate(short), return_inverse=True)[1]
+        self.mark = np.zeros(self.numbers.max() + 1, np.int32)
+
+    def similarity(self, i: int, at: np.ndarray) -> np.ndarray:
+        """Jaccard similarity of row i with other rows, by one pass over their shingles."""
+        own = self.numbers[self.starts[i] : self.starts[i + 1]]
+        self.mark[own] = 1
+        if len(at) > 16:
+            both = np.add.reduceat(self.mark[self.numbers], self.starts[:-1])[at]
+        else:
+            both = np.array([self.mark[self.numbers[self.starts[j] : self.starts[j + 1]]].sum() for j in at], np.int64)
+        self.mark[own] = 0
+        return both / (self.sizes[i] + self.sizes[at] - both)
+
+
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     for batch in batches:
@@ -106,8 +129,9 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, texts in slices(batch):
-            yield arrow_rows(["c", "s"], [pa.binary(), pa.binary()], [
-                batch.column("c").slice(first, len(texts)), [s.tobytes() for s in shingle_sets(texts)]])
+            made = shingle_sets(texts)
+            yield arrow_rows(["c", "s", "short"], [pa.binary(), pa.binary(), pa.binary()], [
+                batch.column("c").slice(first, len(texts)), [s.tobytes() for s in made], [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in made]])
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> DataFrame:
@@ -121,7 +145,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = stored(members.join(shared, "bucket", "left_semi"))
     wanted = classes.select("c", "_d", "_t").join(members.select("c").distinct(), "c", "left_semi")
-    sets = stored(keyed(docs).join(wanted, ["_d", "_t"]).select("c", "text").mapInArrow(_sets, "c binary, s binary"))
+    sets = stored(keyed(docs).join(wanted, ["_d", "_t"]).select("c", "text").mapInArrow(_sets, "c binary, s binary, short binary"))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,10 +164,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = MISS) -> D
         right = sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(exact, "a binary, b binary")
 
-    def unpack(loads: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(loads), np.uint32).reshape(-1, HASHES)
+    def near(load: "Tile", i: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kept, _ = survivors(load.signatures[i], load.signatures[at], least)
+        share = load.similarity(i, at[kept])
+        good = share >= percent / 100 - 0.01  # from 32-bit values; the full sets decide
+        return kept[good], share[good]
 
-    linked = connect(members, classes.select("c", "load"), check, unpack, lambda one, others: survivors(one, others, least))
+    compact = sets.select("c", "short").join(classes.select("c", "load"), "c").select("c", F.concat("load", "short").alias("load"))
+    linked = connect(members, compact, check, Tile, near)
     ids = rows.filter("c is not null").groupBy("c").agg(F.min("doc_id").alias("m"))
     whole = ids.join(linked, "c", "left").select("c", F.coalesce("root", "c").alias("root"), "m")
     named = whole.select("c", "root").join(whole.groupBy("root").agg(F.min("m").alias("low")), "root").select("c", "low")
