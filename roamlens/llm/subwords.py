@@ -121,6 +121,8 @@ def train(labelled: DataFrame, share: float) -> tuple[np.ndarray, float]:
         yield arrow_rows(["scores", "bias"], [pa.binary(), pa.float64()], [[scores.tobytes()], [bias]])
 
     row = labelled.repartition(1).sortWithinPartitions("h").mapInArrow(run, "scores binary, bias double").first()
+    if row is None:  # nothing to learn from
+        return fit([], [], share)
     return np.frombuffer(row["scores"], np.float32), row["bias"]
 
 

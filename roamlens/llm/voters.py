@@ -214,7 +214,7 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
         yield arrow_rows(["term", "w"], [pa.string(), pa.float64()], [[*w, None], [*w.values(), b0]])
 
     weights = {r["term"]: r["w"] for r in _one_task(taught, learn, "term string, w double").collect()}  # at most TERMS + 1
-    start = weights.pop(None)
+    start = weights.pop(None, bias)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
