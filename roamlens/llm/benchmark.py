@@ -2,8 +2,8 @@
 
 Items and documents are normalised alike: lower case, ASCII digits to 0, other ASCII marks and line ends to single spaces. An item of n
 characters may differ in ``rate`` * n places; cut into one piece more than that, some piece stands unchanged in every
-occurrence. A document is scanned once for the pieces of all items; around each hit the smallest edit distance of the
-item to any substring decides. Items under ``min_chars`` normalised characters are no evidence and are not searched.
+occurrence. A document is scanned once for the pieces of all items; a hit is verified from small runs of pieces to the
+whole item, where the smallest edit distance to any substring decides. Items under ``min_chars`` normalised characters are no evidence and are not searched.
 
 The items are a stated query set: they go to the tasks in blocks of at most ``block_chars`` characters, one pass over
 the documents for each block, so neither a task nor the driver holds more than a block.
@@ -39,10 +39,10 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
 
 
 class Item:
-    """One searched text with its bit masks."""
+    """One searched text, or a run of its pieces, with its bit masks."""
 
-    def __init__(self, item_id: int, text: str, rate: float):
-        self.item_id, self.text, self.budget = item_id, text, int(len(text) * rate)
+    def __init__(self, item_id: int, text: str, budget: int):
+        self.item_id, self.text, self.budget = item_id, text, budget
         self.masks: dict[str, int] = {}
         for i, ch in enumerate(text):
             self.masks[ch] = self.masks.get(ch, 0) | 1 << i
@@ -69,11 +69,34 @@ class Item:
         return best
 
 
+def ancestors(item: Item) -> list[list[tuple[int, Item]]]:
+    """For each piece, the runs of pieces above it in a halving tree below the whole item, smallest first, with their offsets.
+
+    At most m - 1 errors in m pieces leave one half with fewer errors than pieces; so an occurrence has an exact
+    piece all of whose runs of m pieces are within m - 1 errors.
+    """
+    cuts = pieces(item.text, item.budget)
+    out: list[list[tuple[int, Item]]] = [[] for _ in cuts]
+
+    def halve(lo: int, hi: int) -> None:
+        if hi - lo > 1:
+            mid = (lo + hi) // 2
+            halve(lo, mid)
+            halve(mid, hi)
+            if hi - lo < len(cuts):
+                run = Item(item.item_id, "".join(p for _, p in cuts[lo:hi]), hi - lo - 1)
+                for k in range(lo, hi):
+                    out[k].append((cuts[lo][0], run))
+
+    halve(0, len(cuts))
+    return out
+
+
 def automaton(items: list[Item]) -> ahocorasick.Automaton:
-    found: dict[str, list[tuple[int, int]]] = {}
+    found: dict[str, list[tuple[int, int, list]]] = {}
     for k, item in enumerate(items):
-        for offset, piece in pieces(item.text, item.budget):
-            found.setdefault(piece, []).append((k, offset))
+        for (offset, piece), above in zip(pieces(item.text, item.budget), ancestors(item)):
+            found.setdefault(piece, []).append((k, offset, above))
     a = ahocorasick.Automaton()
     for piece, at in found.items():
         a.add_word(piece, (len(piece), at))
@@ -85,8 +108,11 @@ def matches(text: str, items: list[Item], machine: ahocorasick.Automaton) -> lis
     """(item, distance) of the items within their budget somewhere in the normalised text."""
     windows: dict[int, list[list[int]]] = {}
     for end, (size, at) in machine.iter(text):
-        for k, offset in at:
+        for k, offset, above in at:
             item = items[k]
+            start = end + 1 - size - offset  # of the item, were there no errors
+            if any(run.nearest(text[max(0, start + o - run.budget) : start + o + len(run.text) + run.budget]) > run.budget for o, run in above):
+                continue
             lo = end + 1 - size - offset - item.budget
             hi = lo + len(item.text) + 2 * item.budget
             held = windows.setdefault(k, [])
@@ -131,7 +157,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, min_char
 
 def _scan(texts: list[tuple[int, str]], rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = [Item(i, t, rate) for i, t in texts]
+        items = [Item(i, t, int(len(t) * rate)) for i, t in texts]
         machine = automaton(items) if items else None
         types = [pa.int64()] * 4 + [pa.int32()]
         for batch in batches if machine else ():

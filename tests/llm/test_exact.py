@@ -202,7 +202,7 @@ def test_substring_distance_is_exact():
                 new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
                 full.append(min(full[-1] + 1, whole[j] + 1, whole[j - 1] + (x != y)))
             row, whole = new, full
-        assert benchmark.Item(0, a, 0.1).nearest(t) == min(row)
+        assert benchmark.Item(0, a, 1).nearest(t) == min(row)
         assert common.edit_distance(a, t, 200) == whole[-1]
         assert common.edit_distance(a, t, 3) == min(whole[-1], 4)
 
@@ -306,3 +306,20 @@ def test_pipeline(spark, sf_dir):
         n = left
     by_hand = {(r.doc_id, r.taken) for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()}
     assert by_hand == {(r.doc_id, r.taken) for r in corpus_pipeline.run(spark, sf_dir).collect()}
+
+
+def test_pieces_lose_no_occurrence():
+    """Every edited copy within the budget is found, whatever lies around it."""
+    rng = np.random.default_rng(8)
+    letters = list("abcdef ")
+    for n in (41, 60, 97, 200):
+        item = benchmark.Item(1, "".join(rng.choice(letters, n)), int(n * 0.1))
+        machine = benchmark.automaton([item])
+        for _ in range(60):
+            copy = list(item.text)
+            for _ in range(rng.integers(0, item.budget + 1)):
+                at = rng.integers(len(copy))
+                copy[at : at + rng.integers(0, 2)] = rng.choice(letters, rng.integers(0, 2)).tolist()
+            text = "".join(rng.choice(letters, 50)) + "".join(copy) + "".join(rng.choice(letters, 50))
+            best = item.nearest(text)
+            assert benchmark.matches(text, [item], machine) == ([(0, best)] if best <= item.budget else [])
