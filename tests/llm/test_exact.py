@@ -240,6 +240,49 @@ def test_lines_equal_brute_force_over_shared_blocks(spark, sf_dir):
     assert got == dict(want)
 
 
+def test_every_alike_pair_of_lines_has_a_key_in_common():
+    """Up to the edit limit, whatever the length and wherever the edits are."""
+    rng = np.random.default_rng(4)
+    pieces, letters = lines.Pieces(0.9), list("abcdefghij ж")
+    for n in (10, 11, 18, 19, 20, 29, 31, 40, 59, 100, 333):
+        for _ in range(40):
+            a = rng.choice(letters, n).tolist()
+            b = list(a)
+            for _ in range(rng.integers(1, n // 10 + 1)):
+                at = rng.integers(len(b))
+                b[at : at + rng.integers(0, 2)] = rng.choice(letters, rng.integers(0, 2)).tolist()
+            a, b = "".join(a), "".join(b)
+            limit = int(0.1 * max(len(a), len(b)) + 1e-9)
+            if common.edit_distance(a, b, limit) <= limit:
+                assert a == b or np.intersect1d(pieces.keys(a), pieces.keys(b)).size
+
+
+def test_lines_equal_brute_force_over_all_pairs(spark, make):
+    """One or two changed words anywhere, in lines of many lengths: no pair is missed."""
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(400)]
+    texts = []
+    for n in np.repeat([5, 10, 20, 30, 60], 12):
+        line = rng.choice(words, n).tolist()
+        for changed in (0, 1, 2):
+            copy = list(line)
+            for at in rng.choice(n, changed, replace=False):
+                copy[at] = str(rng.choice(words))
+            texts.append(" ".join(copy))
+    sims = lines.simhashes([x.encode() for x in texts])
+    root, far = list(range(len(texts))), 0
+    for i, a in enumerate(texts):
+        for j in range(i + 1, len(texts)):
+            limit = int(0.1 * max(len(a), len(texts[j])) + 1e-9)
+            if np.bitwise_count(sims[i] ^ sims[j]).sum() <= lines.BITS and common.edit_distance(a, texts[j], limit) <= limit:
+                far += not (sims[i].reshape(4, 4) == sims[j].reshape(4, 4)).all(axis=1).any()
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert far  # pairs that share no 32-bit block
+    got = {r["_d"]: list(r.gone) for r in lines.duplicate_lines(make(texts)).collect()}
+    assert got == {i: [0] for i, r in enumerate(root) if r != i and len(texts[i]) >= lines.MIN_CHARS}
+
+
 def test_posterior_bounds():
     least = minhash.needed(0.75, 1e-6)
     assert least == tuple(sorted(least)) and least[0] < 0.75 * minhash.BATCH
