@@ -283,6 +283,13 @@ def test_lines_equal_brute_force_over_all_pairs(spark, make):
     assert got == {i: [0] for i, r in enumerate(root) if r != i and len(texts[i]) >= lines.MIN_CHARS}
 
 
+def test_short_repeated_lines_go(spark, make):
+    """Exact repeats in any script, down to six bytes."""
+    texts = ["All rights reserved\nобщее\nand ornd", "all rights reserved.\n天地玄黄\nother words", "天地玄黄\nОбщее!\nand  ornd\nand arnd"]
+    got = {r["_d"]: list(r.gone) for r in lines.duplicate_lines(make(texts)).collect()}
+    assert got == {1: [0], 2: [0, 1, 2]}
+
+
 def test_posterior_bounds():
     least = minhash.needed(0.75, 1e-6)
     assert least == tuple(sorted(least)) and least[0] < 0.75 * minhash.BATCH
