@@ -49,6 +49,13 @@ def repeated_texts(texts: DataFrame, known: DataFrame) -> DataFrame:
     return a.join(b, "fingerprint", "left_semi")
 
 
+def repeats(texts: DataFrame) -> DataFrame:
+    """Submissions whose fingerprint a submission of a smaller id has."""
+    a = texts.withColumn("fingerprint", T.fingerprint(F.col("review_text")))
+    firsts = a.groupBy("fingerprint").agg(F.min("submission_id").alias("_first"), F.max("submission_id").alias("_last")).filter("_first < _last")
+    return a.join(firsts, "fingerprint").filter("submission_id > _first").drop("_first", "_last")
+
+
 def preprocess(raw: DataFrame) -> DataFrame:
     """Ids once, clean, long enough, texts once, coarse language."""
     kept = first_by_text(drop_short(clean(first_by_id(raw))))

@@ -104,8 +104,7 @@ UNION ALL SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND sha256(lower({sq
 """)(lambda t: prep.repeated_texts(
     t.raw("conversations").filter("role = 'user'").selectExpr("conv_id * 1000 + turn AS submission_id", "text AS review_text"),
     t.raw("conversations").filter("role = 'assistant'").selectExpr("text AS review_text")).select("submission_id").unionByName(
-    prep.repeated_texts(t.texts.filter("review_id % 2 = 0").withColumnRenamed("review_id", "submission_id"),
-                        t.texts.filter("review_id % 2 = 1").select(F.upper("review_text").alias("review_text"))).select("submission_id")))
+    prep.repeats(t.texts.withColumnRenamed("review_id", "submission_id")).select("submission_id")))
 
 
 # ---- names and places -----------------------------------------------------------------------

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from roamlens.functions.tasks import fill_days
-from roamlens.operators import models, resolution, retrieval
+from roamlens.functions.text import fingerprint
+from roamlens.operators import models, prep, resolution, retrieval
+from roamlens.plans import load
 from roamlens.streaming import arrivals, state
 
 
@@ -37,6 +39,24 @@ def test_entity_sets_are_united(spark):
     assert {(r.surface, r.is_canonical) for r in variants.collect()} == {("Cox Bazar", True), ("cox's bazar", False), ("lone", True)}
 
 
+def test_repeated_texts_of_any_id(spark):
+    """Every later copy is reported, whatever the parity of its id and of the first one's."""
+    texts = spark.createDataFrame([(1, "One  text"), (3, "one text"), (4, "ONE TEXT"), (2, "own"), (6, "Two"), (8, "two"), (9, None), (10, None)], "submission_id long, review_text string")
+    alone = {r.submission_id for r in prep.repeats(texts.filter("submission_id < 9")).collect()}
+    assert alone == {3, 4, 8}
+    assert [r.submission_id for r in prep.repeats(texts.filter("submission_id > 8")).collect()] == []
+
+
+def test_repeated_texts_query_covers_all_documents(spark, sf_dir):
+    docs = [(r.doc_id, r.f) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", fingerprint(F.col("text")).alias("f")).collect()]
+    first = {f: min(i for i, g in docs if g == f) for f in {f for _, f in docs if f is not None}}
+    want = sorted(i for i, f in docs if f is not None and i > first[f])
+    asked = {r.s for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr("conv_id * 1000 + turn AS s").collect()}
+    got = collections.Counter(r.submission_id for r in load()[0]["pre_16_repeated_texts"](spark, sf_dir).collect())
+    assert {i % 2 for i in want} == {0, 1}
+    assert all(got[i] >= 1 for i in want) and all(i in asked for i in got if i not in want)
+
+
 def _flags(events: pd.DataFrame, limit: int, window: float) -> dict:
     out, recent = {}, collections.defaultdict(list)
     for r in events.sort_values(["ts", "event_id"]).itertuples():
