@@ -1,8 +1,12 @@
 """Surrogates for personal data, in DataFrame operations only.
 
 Found are e-mail addresses, IPv4 addresses, payment card numbers, phone numbers, social security numbers and persons named
-with a title. A value's canonical form (lower case; digits alone for numbers; the name without its title) is its
+with a title; in a text with such a person also the same name or its last word without a title. A value's canonical form (lower
+case; digits alone for numbers; the name without its title) is its
 identity: one identity gets one surrogate in the whole collection, whatever its spelling, and two get different ones.
+A last name alone belongs to the full name of the same text that ends in it, unless the titles differ in gender; of several the first
+one. A person has the gender that most of its titles have. A phone number without country code is the one with a code
+when the collection has it with one code only. First names alone, and names with and without a middle name, are not joined.
 A surrogate is a keyed SHA-256 of kind, identity and attempt, shaped like the identity: a digit for a digit and a
 letter for a letter; e-mails keep separators and top level domain, IP parts stay 1-254, cards keep the first digit and a valid check digit,
 phones keep the country code. Person names keep script (Latin, Cyrillic, Greek), capitals and number of words, and the first
@@ -44,10 +48,11 @@ IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4
 CARD = r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?:(?<![0-9+])\+[0-9]{1,3}[ .-]?)?(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
-PERSON = r"(?<![\p{L}])(?:" + "|".join(sorted(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES, key=len, reverse=True)) + r")\.?\x20\p{Lu}\p{Ll}+(?:[\x20-]\p{Lu}\p{Ll}+){0,2}"
+TITLES = "(?:" + "|".join(sorted(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES, key=len, reverse=True)) + r")\.?\x20"
+PERSON = r"(?<![\p{L}])" + TITLES + r"\p{Lu}\p{Ll}+(?:[\x20-]\p{Lu}\p{Ll}+){0,2}"
 ANY = "|".join([EMAIL, IP, CARD, SSN, PHONE, PERSON])
-HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|(?:" + "|".join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES) + r")\.?\x20\p{Lu}"
-TITLE = r"^(\p{L}+\.?\x20)"
+HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|" + TITLES + r"\p{Lu}"
+TITLE = f"^({TITLES})"
 
 
 def kind_of(m: Column) -> Column:
@@ -56,7 +61,7 @@ def kind_of(m: Column) -> Column:
 
 
 def identity(kind: Column, m: Column) -> Column:
-    """The canonical form; a person's starts with the gender of the title, which chooses the first name."""
+    """The canonical form of one mention; a person's starts with the gender of its title."""
     title = F.regexp_replace(F.regexp_extract(m, TITLE, 1), r"[. ]", "")
     gender = F.when(title.isin(MALE_TITLES), "m").when(title.isin(FEMALE_TITLES), "f").otherwise("x")
     name = F.lower(F.regexp_replace(m, TITLE, ""))
@@ -118,14 +123,19 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
             .when(kind == "person", person).otherwise(shaped))
 
 
+def _compared(kind: Column, low: Column) -> Column:
+    """What must differ: phones may be written without country code."""
+    return F.when(kind == "phone", F.right(low, F.lit(10))).otherwise(low)
+
+
 def assigned(values: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate): different surrogates for the different values of a kind, none of them a real value."""
     real = stored(values.select("kind", "value").distinct())
     bare = F.when(F.col("kind") == "person", F.expr("substring(value, 3)")).otherwise(F.col("value"))
-    known = real.select("kind", bare.alias("low")).distinct()
+    known = real.select("kind", _compared(F.col("kind"), bare).alias("low")).distinct()
     now = stored(real.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)))
     while True:
-        shown = now.withColumn("low", F.lower("surrogate"))
+        shown = now.withColumn("low", _compared(F.col("kind"), F.lower("surrogate")))
         shared = shown.groupBy("kind", "low").agg(F.min("value").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         taken = shown.join(shared, ["kind", "low"]).filter(F.col("value") != F.col("first")).select("kind", "value")
         clash = stored(taken.unionByName(shown.join(known, ["kind", "low"], "left_semi").select("kind", "value")).distinct())
@@ -138,28 +148,61 @@ def assigned(values: DataFrame, key: str) -> DataFrame:
 
 def _rendered(kind: Column, mention: Column, new: Column) -> Column:
     """The surrogate in the mention's format: its separators, brackets, capitals and title."""
+    new = F.when(kind == "phone", F.right(new, F.length(F.regexp_replace(mention, "[^0-9]", "")))).otherwise(new)
     digits = F.array_join(F.transform(F.split(mention, ""), lambda ch, i: F.when(
         ch.rlike("[0-9]"), F.substring(new, (F.length(F.regexp_replace(F.substring(mention, F.lit(1), (i + 1).cast("int")), "[^0-9]", ""))).cast("int"), F.lit(1))).otherwise(ch)), "")
     upper = mention == F.upper(mention)
+    name = F.regexp_replace(mention, TITLE, "")
     return (F.when(kind.isin("card", "phone", "ssn"), digits).when(kind == "email", F.when(upper, F.upper(new)).otherwise(new))
-            .when(kind == "person", F.concat(F.regexp_extract(mention, TITLE, 1), new)).otherwise(new))
+            .when(kind == "person", F.concat(F.regexp_extract(mention, TITLE, 1), F.when(name.contains(" "), new).otherwise(F.substring_index(new, " ", -1)))).otherwise(new))
+
+
+def _names(rows: DataFrame) -> DataFrame:
+    """(_d, _t, found): what to look for in the texts with titled persons, their names without title included."""
+    text = F.col("row").getField("text").cast("string")
+    name = F.explode(F.regexp_extract_all(text, F.lit(PERSON), F.lit(0))).alias("m")
+    titled = rows.filter(text.rlike(PERSON)).select("_d", "_t", name).select("_d", "_t", F.regexp_replace("m", TITLE, "").alias("n"))
+    each = titled.select("_d", "_t", F.explode(F.array("n", F.substring_index("n", " ", -1))).alias("n"))
+    longest_first = F.sort_array(F.collect_set(F.struct(F.length("n").alias("k"), "n")), asc=False)
+    return each.groupBy("_d", "_t").agg(F.concat(F.lit(ANY + r"|(?<![\p{L}])(?:"), F.array_join(longest_first.getField("n"), "|"), F.lit(r")(?![\p{L}])")).alias("found"))
+
+
+def identified(mentions: DataFrame) -> DataFrame:
+    """The mentions with ``value`` the identity in the collection: persons by name, with one gender, phones with their country code."""
+    person = mentions.filter("kind = 'person'").select("_d", "_t", "i", "mention", "kind", F.substring("value", 1, 1).alias("g"), F.substring("value", 3, 1000).alias("name"))
+    sexes = [F.count(F.when(F.col("g") == x, 1)) for x in "mf"]
+    sex = F.when(sexes[0] > sexes[1], "m").when(sexes[0] < sexes[1], "f").otherwise("x")
+    last = F.substring_index("name", " ", -1)
+    full = person.filter("name like '% %'").groupBy("_d", "_t", "name").agg(sex.alias("fg"), F.min("i").alias("at")).select(
+        "_d", "_t", last.alias("last"), "fg", F.struct("at", F.col("name").alias("full")).alias("p"))
+    alone = person.filter("name not like '% %'").select("_d", "_t", F.col("name").alias("last"), "g").distinct().join(full, ["_d", "_t", "last"]).filter(
+        "g = 'x' or fg = 'x' or g = fg").groupBy("_d", "_t", F.col("last").alias("name"), "g").agg(F.min("p").getField("full").alias("full"))
+    whose = stored(person.join(alone, ["_d", "_t", "name", "g"], "left").withColumn("name", F.coalesce("full", "name")).drop("full"))
+    people = whose.join(whose.groupBy("name").agg(sex.alias("sex")), "name").select("_d", "_t", "i", "mention", "kind", F.concat_ws(" ", "sex", "name").alias("value"))
+    phone = mentions.filter("kind = 'phone'")
+    coded = phone.filter("length(value) > 10").groupBy(F.right("value", F.lit(10)).alias("value")).agg(
+        F.min("value").alias("whole"), F.max("value").alias("other")).filter("whole = other").select("value", "whole")
+    phones = phone.join(coded, "value", "left").select("_d", "_t", "i", "mention", "kind", F.coalesce("whole", "value").alias("value"))
+    return mentions.filter("kind not in ('person', 'phone')").unionByName(people).unionByName(phones)
 
 
 def pseudonymised(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
     """``row`` (the input columns), entities (start, end, kind, surrogate) and text (rewritten) for every document."""
     text = F.coalesce(F.col("row").getField("text").cast("string"), F.lit(""))
     hint = text.rlike(HINT)
-    whole = F.when(hint, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    whole = F.when(hint, F.regexp_extract_all(text, F.col("found"), F.lit(0))).otherwise(F.array().cast("array<string>"))
     rows = packed(docs)
+    rows = rows.join(stored(_names(rows)), ["_d", "_t"], "left").withColumn("found", F.coalesce("found", F.lit(ANY)))
     mentions = stored(rows.select("_d", "_t", whole.alias("m")).filter(F.size("m") > 0).dropDuplicates(["_d", "_t"]).select(
         "_d", "_t", F.posexplode("m").alias("i", "mention")).withColumn("kind", kind_of(F.col("mention"))).withColumn(
         "value", identity(F.col("kind"), F.col("mention"))))
+    mentions = stored(identified(mentions))
     known = assigned(mentions, key)
     new = mentions.join(known, ["kind", "value"]).select("_d", "_t", F.struct(
         "i", "mention", "kind", _rendered(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new")).alias("e"))
     per_doc = new.groupBy("_d", "_t").agg(F.sort_array(F.collect_list("e")).alias("e"))
     both = rows.join(per_doc, ["_d", "_t"], "left")
-    between = F.split(text, ANY, -1)
+    between = F.split(text, F.col("found"), -1)
     laid = F.array_join(F.flatten(F.transform(F.arrays_zip(between.alias("g"), F.col("e.new").alias("n")), lambda x: F.array(x["g"], F.coalesce(x["n"], F.lit(""))))), "")
     empty = F.array().cast("array<struct<start:int,end:int,kind:string,surrogate:string>>")
 

@@ -168,6 +168,20 @@ def test_surrogates(spark, make):
         assert all(texts[i][a:b] != s for a, b, _, s in found)
 
 
+def test_one_person_one_surrogate(spark, make):
+    """Whatever the title, with the last name alone and without a title; phones with and without country code."""
+    texts = ["Mrs Jane Doe met Mr. John Smith; later Dr Jane Doe left. Jane Doe wrote to Smith and to Mrs Smith, not to Smithson. Dr Smith and Doe agree.", "Prof. Jane Doe spoke",
+             "call +1 (264) 555-1012 or 264-555-1012", "call 264 555 1012", "Jane Doe is not named here; Smith neither 123"]
+    got = {r.row.doc_id: (r.text, [re.sub(pii.TITLE, "", e.surrogate) for e in r.entities]) for r in pii.pseudonymised(make(texts)).collect()}
+    jane, john, jane_again, jane_bare, smith, mrs, dr_smith, doe = got[0][1]
+    assert jane == jane_again == jane_bare == got[1][1][0] and jane.split()[0] in pii.FIRST["latin", "f"] and doe == jane.split()[1]
+    assert john.split()[0] in pii.FIRST["latin", "m"] and smith == dr_smith == john.split()[1] != mrs
+    assert "Doe" not in got[0][0] and "Smith " not in got[0][0] and "not to Smithson" in got[0][0]
+    phones = [re.sub("[^0-9]", "", x) for x in got[2][1] + got[3][1]]
+    assert phones[0] == "1" + phones[1] and phones[1] == phones[2] != "2645551012"
+    assert got[4][0] == texts[4]
+
+
 def test_surrogate_collisions_are_made_again(spark, monkeypatch):
     """With a surrogate of few digits the values still stay apart."""
     from pyspark.sql import functions as F
