@@ -3,7 +3,8 @@
 Items and documents are normalised alike: lower case, ASCII digits to 0, other ASCII marks and line ends to single spaces. An item of n
 characters may differ in ``rate`` * n places; cut into one piece more than that, some piece stands unchanged in every
 occurrence. A document is scanned once for the pieces of all items; a hit is verified from small runs of pieces to the
-whole item, where the smallest edit distance to any substring decides. Items under ``min_chars`` normalised characters are no evidence and are not searched.
+whole item, where the smallest edit distance to any substring decides. Items under ``min_chars`` normalised characters are searched
+with the spaces around them, so that they stand at word boundaries; only items without a letter or digit are left out.
 
 The items are a stated query set: they go to the tasks in blocks of at most ``block_chars`` characters, one pass over
 the documents for each block, so neither a task nor the driver holds more than a block.
@@ -129,11 +130,11 @@ def matches(text: str, items: list[Item], machine: ahocorasick.Automaton) -> lis
     return out
 
 
-def _normal_items(min_chars: int):
+def _normal_items():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [(-1 if i is None else i, t) for i, x in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist())
-                    if len(t := flat(x)) >= min_chars]
+                    if (t := flat(x))]
             yield arrow_rows(["item_id", "text", "n"], [pa.int64(), pa.string(), pa.int64()], [
                 [i for i, _ in kept], [t for _, t in kept], [len(t) for _, t in kept]])
 
@@ -143,27 +144,27 @@ def _normal_items(min_chars: int):
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, _d, _t, item_id and distance of every (document, item) within the budget."""
     named = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    normal = stored(named.mapInArrow(_normal_items(min_chars), "item_id long, text string, n long").distinct())
+    normal = stored(named.mapInArrow(_normal_items(), "item_id long, text string, n long").distinct())
     size = normal.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()["s"]  # one number
     blocks = max(1, -(-2 * size // block_chars))  # twice as many as needed, for uneven hashing
     rows, out = keyed(docs), None
     for k in range(blocks):
         block = normal.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text")
         texts = [(r["item_id"], r["text"]) for r in block.collect()]  # at most a block
-        part = rows.mapInArrow(_scan(texts, rate), MATCH)
+        part = rows.mapInArrow(_scan(texts, rate, min_chars), MATCH)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _scan(texts: list[tuple[int, str]], rate: float):
+def _scan(texts: list[tuple[int, str]], rate: float, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = [Item(i, t, int(len(t) * rate)) for i, t in texts]
+        items = [Item(i, t if len(t) >= min_chars else f" {t} ", int(len(t) * rate)) for i, t in texts]
         machine = automaton(items) if items else None
         types = [pa.int64()] * 4 + [pa.int32()]
         for batch in batches if machine else ():
             out: list[list] = [[] for _ in types]
             for i, text in enumerate(batch.column("text")):
-                for k, best in matches(flat(text.as_py()), items, machine):
+                for k, best in matches(f" {flat(text.as_py())} ", items, machine):
                     for col, v in zip(out, (*(batch.column(c)[i].as_py() for c in ("doc_id", "_d", "_t")), items[k].item_id, best)):
                         col.append(v)
             yield arrow_rows(["doc_id", "_d", "_t", "item_id", "distance"], types, out)

@@ -203,6 +203,13 @@ def test_benchmark_items(spark, make):
         assert set(got) == {0, 1, 5} and got[0] == 0 and 0 < got[1] <= 7
 
 
+def test_short_benchmark_items(spark, make):
+    """Found at word boundaries, exactly or with a tenth of edits."""
+    docs = make(["so What is 7 x 8? he asked", "tiny", "destiny", "name the longst river now", "name the river", None])
+    items = spark.createDataFrame([(1, "what is 7 x 8"), (2, "tiny"), (3, "Name the longest river"), (4, "?!"), (5, None)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.distance) for r in benchmark.contaminated(docs, items).collect()} == {(0, 1, 0), (1, 2, 0), (3, 3, 1)}
+
+
 def test_substring_distance_is_exact():
     rng = np.random.default_rng(0)
     for _ in range(200):
