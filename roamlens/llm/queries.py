@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roamlens.llm import benchmark, credentials, lines, minhash, mixing, pii, quality, subwords, suffix, voters
+from roamlens.llm import benchmark, credentials, golay, infill, lines, minhash, mixing, pii, quality, subwords, suffix, voters, whitening
 
 QUERIES = {
     "op1_robust_outliers": quality.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_pii_surrogates": pii.query,
     "op9_weak_supervision": voters.query,
     "op10_pigeonhole_decontamination": benchmark.query,
+    "op11_rotated_infill": infill.query,
+    "op12_chebyshev_whitening": whitening.query,
+    "op13_golay_simhash": golay.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_rotated_infill": infill.SQL}
