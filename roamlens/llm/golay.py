@@ -12,8 +12,9 @@ share a key. Four errors over three segments leave two cases: no segment has mor
 bits and an index). A fingerprint has about 180 keys, all found by table, and no linked pair is missed. Chance shares a
 key between 3 of 10 million pairs.
 
-Keys of one fingerprint only go in a first pass over the sorted keys, which holds one row at a time. The rest goes to
-``connect``: pairs meet in stars and bounded tiles, never all pairs of a key, and every met pair is checked on its bits.
+One pass over the sorted keys compares the fingerprints of a key on all their bits, eight bytes each, and sends one link per fingerprint:
+to the first of its group there. No pairs are sent. A key with more than ``HELD`` fingerprints goes to ``connect``, which
+compares the same pairs in stars and bounded tiles of several tasks.
 
 Null and wordless texts have the fingerprint zero and are linked by it like others. Rows with a null id take part; their group has the smallest
 id that is not null, or none. Repeated rows are copies, ties fall to the smallest id. Very long texts are hashed in pieces of 65,536 shingles;
@@ -31,10 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roamlens.llm.common import arrow_rows, connect, keyed, read, slices, stored
+from roamlens.llm.common import arrow_rows, components, connect, keyed, read, slices, stored
 
 SHINGLE, SEED, LIMIT = 4, 42, 4
 PIECE = 1 << 16  # shingles hashed at once
+HELD = 1 << 15  # fingerprints of a key compared in one task; a larger key is compared in tiles
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # shift and width
 CODE, GENERATOR = 23, 0b110001110101  # the binary Golay code: length and generator polynomial
 
@@ -125,21 +127,63 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[owner])], names=["bucket", "c"])
 
 
-def _not_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From sorted rows those whose bucket has another one; the last row waits for the next batch."""
-    types, last, waits = [pa.int64(), pa.int64()], None, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, c = batch.column("bucket").to_numpy(), batch.column("c").to_numpy()
-        if last is not None:
-            key, c = np.append(last[0], key), np.append(last[1], c)
-        same = key[1:] == key[:-1]
-        kept = np.append(waits, same) | np.append(same, False)
-        last, waits = (key[-1], c[-1]), bool(kept[-1])
-        yield arrow_rows(["bucket", "c"], types, [key[:-1][kept[:-1]], c[:-1][kept[:-1]]])
-    if waits:
-        yield arrow_rows(["bucket", "c"], types, [[last[0]], [last[1]]])
+def local_groups(prints: np.ndarray, limit: int) -> np.ndarray:
+    """Of each fingerprint the smallest position linked to it through the others; each is compared only with those no group has yet."""
+    root, left = np.full(len(prints), -1), np.arange(len(prints))
+    while len(left):
+        seed, left = int(left[0]), left[1:]
+        root[seed], waiting = seed, [seed]
+        while waiting and len(left):
+            near = np.bitwise_count(prints[left] ^ prints[waiting.pop()]) <= limit
+            found, left = left[near], left[~near]
+            root[found] = seed
+            waiting += found.tolist()
+    return root
+
+
+def _links(limit: int, most: int):
+    """From rows sorted by key: (a, b) for each fingerprint and the first one of its group under the key.
+
+    A key with more than ``most`` fingerprints is not held; its rows pass as (key, a).
+    """
+    types = [pa.int64()] * 3
+
+    def linked(c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        c = np.sort(c)
+        root = local_groups(c.view(np.uint64), limit)
+        own = np.flatnonzero(root != np.arange(len(c)))
+        if len(own):
+            yield arrow_rows(["bucket", "a", "b"], types, [pa.nulls(len(own), pa.int64()), c[own], c[root[own]]])
+
+    def passed(key: int, c: np.ndarray) -> pa.RecordBatch:
+        return arrow_rows(["bucket", "a", "b"], types, [np.full(len(c), key), c, pa.nulls(len(c), pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, many = None, [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if 1 < many <= most:
+                yield from linked(np.concatenate(held))
+
+        for batch in batches:
+            keys, c = batch.column("bucket").to_numpy(), batch.column("c").to_numpy()
+            if not len(keys):
+                continue
+            edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+            some = np.diff(edges) > 1  # a key of one row inside the batch is alone
+            some[[0, -1]] = True
+            for lo, hi in zip(edges[:-1][some].tolist(), edges[1:][some].tolist()):
+                if keys[lo] != key:
+                    yield from done()
+                    key, held, many = keys[lo], [], 0
+                held.append(c[lo:hi])
+                many += hi - lo
+                if many > most:
+                    yield passed(key, np.concatenate(held))
+                    held = []
+        yield from done()
+
+    return run
 
 
 # ---- groups ---------------------------------------------------------------------------------------
@@ -150,7 +194,9 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     rows = stored(keyed(docs).mapInArrow(_fingerprints, "doc_id long, _d long, _t long, c long"))
     classes = stored(rows.groupBy("c").agg(F.min("doc_id").alias("m")))
     kind = "bucket long, c long"
-    met = stored(classes.select("c").mapInArrow(_members, kind).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_not_alone, kind))
+    keyed_classes = classes.select("c").mapInArrow(_members, "bucket long, c long")
+    met = stored(keyed_classes.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(limit, HELD), "bucket long, a long, b long"))
+    links, large = met.filter("bucket is null").select("a", "b").distinct(), met.filter("bucket is not null").select("bucket", F.col("a").alias("c"))
 
     def check(pairs: DataFrame) -> DataFrame:
         return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit).select("a", "b")
@@ -163,7 +209,10 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         kept = np.flatnonzero(apart <= limit)
         return kept, -apart[kept]
 
-    linked = connect(met, classes.select("c", F.col("c").alias("load")), check, unpack, near)
+    if large.limit(1).count():
+        rest = connect(large, classes.select("c", F.col("c").alias("load")), check, unpack, near)
+        links = links.unionByName(rest.select(F.col("c").alias("a"), F.col("root").alias("b")))
+    linked = components(links)
     whole = classes.join(linked, "c", "left").select("c", F.coalesce("root", "c").alias("root"), "m")
     named = whole.select("c", "root").join(whole.groupBy("root").agg(F.min("m").alias("low")), "root").select("c", "low")
     return rows.join(named, "c").select("doc_id", "_d", "_t", F.lower(F.lpad(F.hex("c"), 16, "0")).alias("fingerprint"), F.coalesce("low", "doc_id").alias("component_id"))
