@@ -7,8 +7,9 @@ in ``GROUPS`` tasks, so the driver gets ``GROUPS`` products at most, whatever th
 
 One cycle: the polynomial recurrence of Chebyshev damps the eigenvalues in [0, smallest Ritz value] of the block, as V has none below 0; then
 QR, one pass more, and Rayleigh-Ritz. The degree is the largest that keeps the gain of the largest eigenvalue within ``GAIN``, so no column drowns in the first component.
-It ends when the residual of every wanted pair is under ``TOLERANCE`` times the largest eigenvalue, which bounds its angle by residual / gap, or, below 1e-10, gets no smaller in
-three cycles (rounding), or after ``PASSES`` passes; ``residual`` is the certificate that each row carries.
+A component is certified when the residual of its pair is under ``TOLERANCE`` times its eigenvalue (or ``ROUNDING`` times the largest one), which bounds its angle by
+residual / gap; it is then projected out of all later products, so the next ones get the whole gain. A component whose residual, under 1e-6 of its eigenvalue, gets no smaller in six cycles is at
+its rounding; after ``PASSES`` passes all are taken as they are. ``residual``, the largest one over its eigenvalue, is the certificate that each row carries.
 
 Rows are left out whose vector is null or holds null or non-finite entries (or entries beyond 2^40, whose x has no exact sums), and those whose length is not the most
 frequent one (of equally frequent ones the larger), as there is no covariance between vectors of different lengths. Repeated rows and null ids stay as they are.
@@ -30,7 +31,7 @@ from pyspark.taskcontext import TaskContext
 from roamlens.llm.common import read, stored
 
 COMPONENTS, BLOCK = 8, 32
-TOLERANCE, GAIN, DEGREE, PASSES = 1e-13, 1e8, 16, 600
+TOLERANCE, ROUNDING, GAIN, DEGREE, PASSES = 1e-13, 1e-15, 1e8, 16, 1000
 ENTRIES = 1 << 18  # integers of a block of rows
 GROUPS = 32  # tasks that add up the partitions' products
 SCALE, OFFSET = 1024, 100_000
@@ -123,33 +124,47 @@ def filtered(apply: Callable[[np.ndarray], np.ndarray], q: np.ndarray, vq: np.nd
 
 
 def principal(apply: Callable[[np.ndarray], np.ndarray], width: int, wanted: int) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """Largest eigenvalues, their unit vectors (columns), the residual over the largest eigenvalue and the number of passes."""
-    block = min(width, max(BLOCK, 2 * wanted))
-    q = np.linalg.qr(np.random.default_rng(SCALE).standard_normal((width, block)))[0]
-    passes, best, still = 0, math.inf, 0
+    """Largest eigenvalues, their unit vectors (columns), the largest residual over its eigenvalue and the number of passes."""
+    q = np.linalg.qr(np.random.default_rng(SCALE).standard_normal((width, min(width, max(BLOCK, 2 * wanted)))))[0]
+    done, values, residuals = np.zeros((width, 0)), np.zeros(0), np.zeros(0)
+    passes, top, best, still = 0, 0.0, math.inf, 0
+
+    def rest(x: np.ndarray) -> np.ndarray:
+        """V x without the certified components."""
+        nonlocal passes
+        passes += 1
+        y = apply(x)
+        return y - done @ (done.T @ y)
+
     while True:
-        vq, passes = apply(q), passes + 1
-        values, turn = np.linalg.eigh((h := q.T @ vq) / 2 + h.T / 2)
-        values, turn = values[::-1], turn[:, ::-1]
+        vq = rest(q)
+        h = q.T @ vq
+        found, turn = np.linalg.eigh((h + h.T) / 2)
+        found, turn = found[::-1], turn[:, ::-1]
         q, vq = q @ turn, vq @ turn
-        top = max(float(values[0]), 0.0)
-        if top == 0:
-            return np.zeros(wanted), q[:, :wanted], 0.0, passes
-        residual = float(np.linalg.norm(vq - q * values, axis=0)[:wanted].max()) / top
-        still = 0 if residual < best / 2 else still + 1
-        best = min(best, residual)
-        if residual <= TOLERANCE or (residual < 1e-10 and still >= 3) or passes >= PASSES:
-            return np.maximum(values[:wanted], 0.0), q[:, :wanted], residual, passes
-        damped = max(float(values[-1]), 1e-6 * top)
-        gain = math.acosh(2 * top / damped - 1) if top > damped else 0.0
-        degree = DEGREE if gain == 0 else max(2, min(DEGREE, int(math.log(GAIN) / gain)))
-
-        def counted(x: np.ndarray) -> np.ndarray:
-            nonlocal passes
-            passes += 1
-            return apply(x)
-
-        q = np.linalg.qr(filtered(counted, q, vq, max(top, damped * 1.0001), damped, degree))[0]
+        top = max(top, float(found[0]))
+        if top <= 0:
+            return np.zeros(wanted), np.concatenate([done, q], 1)[:, :wanted], 0.0, passes
+        off = np.linalg.norm(vq - q * found, axis=0)
+        open_ = wanted - len(values)
+        worst = float((off[:open_] / np.maximum(found[:open_], ROUNDING * top)).max())
+        still = 0 if worst < best / 2 else still + 1
+        best = min(best, worst)
+        good = off[:open_] <= np.maximum(TOLERANCE * found[:open_], ROUNDING * top)
+        many = open_ if good.all() or (best < 1e-6 and still >= 6) or passes >= PASSES else int(np.argmin(good))
+        if many:
+            done, values = np.concatenate([done, q[:, :many]], 1), np.append(values, np.maximum(found[:many], 0.0))
+            residuals = np.append(residuals, off[:many])
+            q, vq, found, best, still = q[:, many:], vq[:, many:], found[many:], math.inf, 0
+        if len(values) == wanted:
+            order = np.argsort(-values, kind="stable")
+            live = values > 1e-12 * top
+            return values[order], np.linalg.qr(done[:, order])[0], float((residuals[live] / values[live]).max()), passes
+        damped = max(float(found[-1]), 1e-6 * float(found[0]), ROUNDING * top)
+        high = max(float(found[0]), damped * 1.0001)
+        degree = max(2, min(DEGREE, int(math.log(GAIN) / math.acosh(2 * high / damped - 1))))
+        q = filtered(rest, q, vq, high, damped, degree)
+        q = np.linalg.qr(q - done @ (done.T @ q))[0]
 
 
 def whitened(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", components: int = COMPONENTS) -> DataFrame:
