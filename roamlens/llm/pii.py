@@ -14,7 +14,12 @@ name is from the title's gender. Surrogates that meet another one or a real iden
 next attempt until none does; each round is one grouped pass over the distinct identities. The text gets the digits and
 letters back in each mention's own format.
 
-Null texts stay null and hold nothing. Rows of one doc_id and text get the same result each. Null ids, extra columns and
+The space of a shape is finite, so it grows: every ``WIDEN`` attempts an e-mail's local part gets four letters more and a person's last
+name two syllables, which is 65,536 times the space; phones take other first digits than 2. So N identities need about 3 * (1 + log(N) / log(65,536)) rounds.
+Social security, card and IP numbers cannot grow; what still clashes after ``ROUNDS`` rounds (more than about half of all possible numbers are in the collection) is masked: 0 for
+a digit, x for a letter.
+
+Null texts stay null and hold nothing. Very long texts are searched whole. Rows of one doc_id and text get the same result each. Null ids, extra columns and
 ties do no harm; an empty table gives no rows. The order of attempts follows the identity, so reruns agree.
 """
 
@@ -43,7 +48,8 @@ SYLLABLES = {
     "greek": ["βα", "δε", "φι", "γο", "κυ", "λα", "με", "νι", "πο", "ρυ", "σα", "τε", "βι", "χο", "ζυ", "θα"],
 }
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# No group is repeated without a small bound: Java matches such a group by recursion, which a long text would drive into a stack overflow.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -51,6 +57,7 @@ PHONE = r"(?:(?<![0-9+])\+[0-9]{1,3}[ .-]?)?(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3
 TITLES = "(?:" + "|".join(sorted(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES, key=len, reverse=True)) + r")\.?\x20"
 PERSON = r"(?<![\p{L}])" + TITLES + r"\p{Lu}\p{Ll}+(?:[\x20-]\p{Lu}\p{Ll}+){0,2}"
 ANY = "|".join([EMAIL, IP, CARD, SSN, PHONE, PERSON])
+WIDEN, ROUNDS = 3, 48
 HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|" + TITLES + r"\p{Lu}"
 TITLE = f"^({TITLES})"
 
@@ -103,17 +110,20 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     h = F.sha2(F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string")), 256)
     shaped = _shaped(value, h)
     end = F.regexp_extract(value, r"(\.[a-z]{2,})$", 1)
-    email = F.concat(_shaped(F.expr("left(value, length(value) - length(regexp_extract(value, '([.][a-z]{2,})$', 1)))"), h), end)
+    wider = F.floor(attempt / WIDEN).cast("int")
+    more = F.translate(F.substring(F.sha2(F.concat(h, F.lit("+")), 256), F.lit(1), F.least(4 * wider, F.lit(60))), "0123456789", "ghijklmnop")
+    email = F.concat(more, _shaped(F.expr("left(value, length(value) - length(regexp_extract(value, '([.][a-z]{2,})$', 1)))"), h), end)
     ip = F.array_join(F.array(*[(_byte(h, i) % 254 + 1).cast("string") for i in range(4)]), ".")
     body = F.concat(F.substring(value, 1, 1), F.substring(shaped, 2, 14))
     card = F.concat(body, _check_digit(body))
-    phone = F.concat(F.expr("left(value, greatest(length(value) - 10, 0))"), F.expr("'2'"), F.substring(F.reverse(shaped), 1, 9))
+    phone = F.concat(F.expr("left(value, greatest(length(value) - 10, 0))"), F.when(wider > 0, (_byte(h, 31) % 8 + 2).cast("string")).otherwise("2"), F.substring(F.reverse(shaped), 1, 9))
     gender = F.when(F.substring(value, 1, 1) == "f", "f").when(F.substring(value, 1, 1) == "m", "m").otherwise(F.when(_byte(h, 30) % 2 == 0, "m").otherwise("f"))
     script = F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").when(value.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     words = F.split(F.substring(value, 3, 1000), r"[ -]")
 
     def last(i: int, which: str) -> Column:
-        return F.initcap(F.concat(*[_pick(SYLLABLES[which], _byte(h, 1 + (5 * i + k) % 28)) for k in range(5)]))
+        longer = [F.when(2 * wider > k, _pick(SYLLABLES[which], _byte(h, 6 + k))).otherwise("") for k in range(16)]
+        return F.initcap(F.concat(*[_pick(SYLLABLES[which], _byte(h, 1 + (5 * i + k) % 28)) for k in range(5)], *longer))
 
     person = F.lit(None).cast("string")
     for (which, g), names in FIRST.items():
@@ -134,13 +144,17 @@ def assigned(values: DataFrame, key: str) -> DataFrame:
     bare = F.when(F.col("kind") == "person", F.expr("substring(value, 3)")).otherwise(F.col("value"))
     known = real.select("kind", _compared(F.col("kind"), bare).alias("low")).distinct()
     now = stored(real.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)))
-    while True:
+    for turn in range(ROUNDS + 1):
         shown = now.withColumn("low", _compared(F.col("kind"), F.lower("surrogate")))
         shared = shown.groupBy("kind", "low").agg(F.min("value").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         taken = shown.join(shared, ["kind", "low"]).filter(F.col("value") != F.col("first")).select("kind", "value")
         clash = stored(taken.unionByName(shown.join(known, ["kind", "low"], "left_semi").select("kind", "value")).distinct())
         if not clash.limit(1).count():
             return now.select("kind", "value", "surrogate")
+        if turn == ROUNDS:
+            masked = F.regexp_replace(F.regexp_replace("value", "[0-9]", "0"), r"\p{L}", "x")
+            return now.join(clash.withColumn("left", F.lit(True)), ["kind", "value"], "left").select(
+                "kind", "value", F.when(F.col("left"), masked).otherwise(F.col("surrogate")).alias("surrogate"))
         next_try = now.join(clash, ["kind", "value"], "left_semi").withColumn("attempt", F.col("attempt") + 1).withColumn(
             "surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key))
         now = stored(now.join(clash, ["kind", "value"], "left_anti").unionByName(next_try))
