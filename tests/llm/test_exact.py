@@ -192,6 +192,36 @@ def test_surrogate_collisions_are_made_again(spark, monkeypatch):
     assert len(got) == 30 and len({r.surrogate for r in got}) == 30
 
 
+def test_surrogate_space_grows(spark):
+    """All 676 addresses of one shape, more one-word names than a small space holds, all different and none of them real."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{a}@{b}.com" for a in letters for b in letters]
+    values = spark.createDataFrame([("email", m) for m in mails] + [("person", f"m name{i}") for i in range(300)], "kind string, value string")
+    got = {(r.kind, r.value): r.surrogate for r in pii.assigned(values, "k").collect()}
+    made = [s for (k, _), s in got.items() if k == "email"]
+    assert len(got) == 976 and len(set(got.values())) == 976 and not set(made) & set(mails)
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.com", s) for s in made)
+
+
+def test_numbers_that_cannot_be_solved_are_masked(spark, monkeypatch):
+    """With every value of a space real, the rounds end."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(pii, "ROUNDS", 2)
+    monkeypatch.setattr(pii, "surrogate", lambda kind, value, attempt, key: F.pmod(F.xxhash64(value, attempt), F.lit(10)).cast("string"))
+    got = pii.assigned(spark.createDataFrame([("ssn", str(i)) for i in range(10)], "kind string, value string"), "k").collect()
+    assert len(got) == 10 and {r.surrogate for r in got} == {"0"}
+
+
+def test_personal_data_in_long_awkward_texts(spark, make):
+    """A megabyte of each: nothing that a pattern could repeat by recursion."""
+    n = 1 << 20
+    texts = ["x@" + "a." * (n // 2), "." * n, "@" * n, "1" * n, "1 " * (n // 2), "Mrs " * (n // 4), "\"'" * (n // 2), "Mr Aa-" * (n // 6), "1.2." * (n // 4), "a@b.co " * (n // 7), "+1 (264) " * (n // 9), "x@" + "a-" * (n // 2) + ".com"]
+    got = {r.row.doc_id: r for r in pii.pseudonymised(make(texts)).collect()}
+    assert len(got) == len(texts)
+    assert all(got[i].text == texts[i] for i in (0, 1, 2, 3, 4, 5, 6, 8, 10)) and len(got[9].entities) == n // 7 and len(got[11].entities) == 1
+
+
 def test_benchmark_items(spark, make):
     item = "The quick brown fox jumps over the lazy dog while seven wizards mix potions"
     edited = "the quick brwn fox jumped over a lazy dog, while seven wizards mix potions"
@@ -232,26 +262,43 @@ def test_fuzzy_lines(spark, make):
     line = "this long line of text about harvest and weather in the northern valley stands in many documents"
     texts = [line + "\nfirst own line that nobody else has written", "x\n" + line.upper() + "!\nsecond own line which is also unique here", line, "short\nshort", "short\nshort"]
     got = {r.row.doc_id: (list(r.gone), r.text) for r in lines.dedup_lines(make(texts)).collect()}
-    assert got[0][0] == [] and got[1][0] == [1] and got[2] == ([0], "") and got[3][0] == [] and got[4][0] == []
-    assert sorted(r.doc_id for r in lines.without_repeated_lines(make(texts)).collect()) == [0, 1, 3, 4]
+    assert got[0][0] == [] and got[1][0] == [1] and got[2] == ([0], "") and got[3][0] == [1] and got[4][0] == [0, 1]
+    assert sorted(r.doc_id for r in lines.without_repeated_lines(make(texts)).collect()) == [0, 1, 3]
+
+
+def _alike(distinct):
+    """All pairs of lines within the edit limit, the candidates thinned by length and letter counts only."""
+    lines_ = [x.decode() for x in distinct]
+    size = np.array([len(x) for x in lines_])
+    letters = np.zeros((len(lines_), 64), np.int16)
+    for i, x in enumerate(lines_):
+        np.add.at(letters[i], np.frombuffer(x.encode("utf-32-le"), np.uint32) % 64, 1)
+    order = np.argsort(size, kind="stable")
+    for k, i in enumerate(order):
+        js = order[k + 1 : np.searchsorted(size[order], int(size[i] / 0.9) + 1, side="right")]
+        limit = (0.1 * size[js] + 1e-9).astype(int)
+        for j, most in zip(js, limit):
+            if most and np.abs(letters[j] - letters[i]).sum() <= 2 * most and common.edit_distance(lines_[i], lines_[j], int(most)) <= most:
+                yield int(i), int(j)
 
 
 def test_lines_equal_brute_force_over_shared_blocks(spark, sf_dir):
     """Every pair of lines that share a block, are near in bits and alike in letters ends in one group."""
-    docs = read(spark, sf_dir, "documents").filter("doc_id < 120")
-    places = [(r.doc_id, no, x) for r in docs.collect() for no, x in enumerate(common.normalise(r.text or "")) if len(x) >= lines.MIN_CHARS]
+    docs = read(spark, sf_dir, "documents")
+    places = [(r.doc_id, no, x) for r in docs.collect() for no, x in enumerate(common.normalise(r.text or "")) if x]
     distinct = sorted({x for _, _, x in places})
-    sims = lines.simhashes(distinct)
-    root = {x: x for x in distinct}
-    blocks = sims.reshape(len(distinct), 4, 4)
-    for i, a in enumerate(distinct):
-        for j in np.flatnonzero((blocks[i + 1 :] == blocks[i]).all(axis=2).any(axis=1)) + i + 1:
-            b = distinct[j]
-            x, y = a.decode(), b.decode()
-            limit = int(0.1 * max(len(x), len(y)) + 1e-9)
-            if np.bitwise_count(sims[i] ^ sims[j]).sum() <= lines.BITS and common.edit_distance(x, y, limit) <= limit:
-                low, high = sorted((root[a], root[b]))
-                root = {k: low if v == high else v for k, v in root.items()}
+    sims, root = lines.simhashes(distinct), {x: x for x in distinct}
+    key, owner = lines.blocks(distinct)
+    own = collections.defaultdict(set)
+    for k, o in zip(key.tolist(), owner.tolist()):
+        own[o].add(k)
+    pairs = list(_alike(distinct))
+    met = [(i, j) for i, j in pairs if own[i] & own[j]]
+    assert len(pairs) > 20 and len(met) >= 0.9 * len(pairs)
+    for i, j in met:
+        if np.bitwise_count(sims[i] ^ sims[j]).sum() <= lines.BITS:
+            low, high = sorted((root[distinct[i]], root[distinct[j]]))
+            root = {k: low if v == high else v for k, v in root.items()}
     seen, want = set(), collections.defaultdict(list)
     for d, no, x in sorted(places):
         if root[x] in seen:
@@ -261,21 +308,42 @@ def test_lines_equal_brute_force_over_shared_blocks(spark, sf_dir):
     assert got == dict(want)
 
 
-def test_every_alike_pair_of_lines_has_a_key_in_common():
-    """Up to the edit limit, whatever the length and wherever the edits are."""
+def test_blocks_meet_for_nearly_all_alike_lines(spark):
+    """Recall of the blocks against all pairs."""
+    docs = read(spark, "/root/testdata/sf0.01", "documents").collect()
+    distinct = sorted({x for r in docs for x in common.normalise(r.text or "") if x})
+    key, owner = lines.blocks(distinct)
+    own = collections.defaultdict(set)
+    for k, o in zip(key.tolist(), owner.tolist()):
+        own[o].add(k)
+    pairs = list(_alike(distinct))
+    assert len(pairs) > 200 and sum(bool(own[i] & own[j]) for i, j in pairs) >= 0.95 * len(pairs)
+
+
+def test_a_changed_word_leaves_blocks(monkeypatch):
+    """Also in lines written without blanks, and counted in pieces."""
     rng = np.random.default_rng(4)
-    pieces, letters = lines.Pieces(0.9), list("abcdefghij ж")
-    for n in (10, 11, 18, 19, 20, 29, 31, 40, 59, 100, 333):
-        for _ in range(40):
-            a = rng.choice(letters, n).tolist()
-            b = list(a)
-            for _ in range(rng.integers(1, n // 10 + 1)):
-                at = rng.integers(len(b))
-                b[at : at + rng.integers(0, 2)] = rng.choice(letters, rng.integers(0, 2)).tolist()
-            a, b = "".join(a), "".join(b)
-            limit = int(0.1 * max(len(a), len(b)) + 1e-9)
-            if common.edit_distance(a, b, limit) <= limit:
-                assert a == b or np.intersect1d(pieces.keys(a), pieces.keys(b)).size
+    for n in (2, 5, 9, 14, 31, 32, 40, 100, 700):
+        for letters in ("abcdefgh", "天地玄黄宇宙洪荒"):
+            line = ["".join(rng.choice(list(letters), 5)) for _ in range(n)]
+            for edit in ("change", "add", "drop"):
+                other, at = list(line), int(rng.integers(n))
+                other[at : at + (edit != "add")] = [] if edit == "drop" else ["".join(rng.choice(list(letters), 5))]
+                texts = [(" " if letters[0] == "a" else "").join(x).encode() for x in (line, other)]
+                key, owner = lines.blocks(texts)
+                shared = np.intersect1d(key[owner == 0], key[owner == 1]).size
+                assert shared or n == 2 and edit != "change"
+                monkeypatch.setattr(lines, "LONG", 7)
+                assert (lines.blocks(texts)[0] == key).all()
+                monkeypatch.undo()
+
+
+def test_buckets_of_one_go_whatever_the_batches():
+    key = np.sort(np.random.default_rng(9).integers(0, 40, 60))
+    for size in (1, 2, 7, 60):
+        parts = [common.arrow_rows(["bucket", "c"], [lines.pa.int64(), lines.pa.binary()], [key[k : k + size], [bytes([i]) for i in range(k, min(60, k + size))]]) for k in range(0, 60, size)]
+        got = [x for b in lines._not_alone(iter(parts)) for x in b.column("c").to_pylist()]
+        assert got == [bytes([i]) for i in range(60) if (key == key[i]).sum() > 1]
 
 
 def test_lines_equal_brute_force_over_all_pairs(spark, make):
@@ -301,14 +369,14 @@ def test_lines_equal_brute_force_over_all_pairs(spark, make):
                 root = [low if r == high else r for r in root]
     assert far  # pairs that share no 32-bit block
     got = {r["_d"]: list(r.gone) for r in lines.duplicate_lines(make(texts)).collect()}
-    assert got == {i: [0] for i, r in enumerate(root) if r != i and len(texts[i]) >= lines.MIN_CHARS}
+    assert got == {i: [0] for i, r in enumerate(root) if r != i}
 
 
 def test_short_repeated_lines_go(spark, make):
-    """Exact repeats in any script, down to six bytes."""
-    texts = ["All rights reserved\nобщее\nand ornd", "all rights reserved.\n天地玄黄\nother words", "天地玄黄\nОбщее!\nand  ornd\nand arnd"]
+    """Exact repeats in any script, of any length; lines without a letter or digit stay."""
+    texts = ["All rights reserved\nобщее\nand ornd\n--", "all rights reserved.\n天地玄黄\nother words\n--", "天地玄黄\nОбщее!\nand  ornd\nand arnd\n--", "ж\na\n", "ж\n\n"]
     got = {r["_d"]: list(r.gone) for r in lines.duplicate_lines(make(texts)).collect()}
-    assert got == {1: [0], 2: [0, 1, 2]}
+    assert got == {1: [0], 2: [0, 1, 2], 4: [0]}
 
 
 def test_posterior_bounds():
