@@ -5,10 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType
 
 from roamlens.functions import vocab
-from roamlens.functions.tasks import best_two, indel, token_set
+from roamlens.functions.tasks import indel, token_set
 
 
 @F.pandas_udf(DoubleType())
@@ -24,12 +24,6 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
                       for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("similarity", DoubleType()), StructField("name", StringType())])))
-def best_in_block(name: pd.Series, block: pd.Series) -> pd.Series:
-    """The two names of each block most like a name, at 0.6 or more."""
-    return pd.Series([best_two(n, b, vocab.NAME_SUGGEST) for n, b in zip(name, block)])
-
-
 @F.pandas_udf(DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """Two-sided normal tail probability; one value per finished test."""

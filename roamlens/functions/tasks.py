@@ -41,19 +41,14 @@ def token_set(a: str, b: str) -> float:
     return best
 
 
-def best_two(name: str, names: list[str], suggest: float) -> list[dict]:
-    """The two most alike names of a block; a contained name counts as at least 0.85."""
-    best: list[tuple[float, str]] = []
-    for other in names:
-        inside = name in other or other in name
-        # An upper bound from the lengths alone spares most comparisons.
-        bound = 2.0 * min(len(name), len(other)) / (len(name) + len(other))
-        floor = best[-1][0] if len(best) == 2 else suggest
-        if not inside and bound < floor:
-            continue
-        score = indel(name, other) / 100
-        best = sorted(best + [(max(score, 0.85) if inside else score, other)], key=lambda t: (-t[0], t[1]))[:2]
-    return [{"similarity": s, "name": o} for s, o in best if s >= suggest]
+def walk_claims(group: pd.DataFrame) -> pd.DataFrame:
+    """Root after root takes its lowest id that none before has taken."""
+    taken: dict[str, str] = {}
+    got: dict[str, str] = {}
+    for root, entity_id in group.sort_values(["root", "no", "entity_id"])[["root", "entity_id"]].itertuples(index=False):
+        if root not in got and entity_id not in taken:
+            got[root], taken[entity_id] = entity_id, root
+    return pd.DataFrame({"root": list(got), "entity_id": list(got.values())})
 
 
 def fill_days(group: pd.DataFrame) -> pd.DataFrame:

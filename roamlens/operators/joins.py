@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from roamlens.functions import similarity as S
 from roamlens.functions import text as T
 from roamlens.functions import vocab
-from roamlens.functions.similarity import best_in_block
 from roamlens.functions.language import script_shares
 from roamlens.session import broadcast_if_small, first_per_key, global_row_number, top_per_key
 
@@ -336,24 +335,6 @@ def spelling_proposals(names: DataFrame, listed: DataFrame, decided: DataFrame)
     )
 
 
-def name_suggestions(unmatched: DataFrame, listed: DataFrame, block: int = 500) -> DataFrame:
-    """Up to two listed names alike an unmatched name (similarity 0.6 or more).
-
-    The list is cut into blocks; each distinct name meets each block once and only the two
-    best of a block leave the task, so no pair list is built.
-    """
-    blocks = listed.select(T.norm_name(F.col("name")).alias("n")).filter("n <> ''").distinct()
-    count = blocks.agg(F.greatest(F.ceil(F.count(ONE) / block), F.lit(1)).cast("int").alias("b")).scalar()
-    filed = blocks.withColumn("b", F.pmod(F.xxhash64("n"), count).cast("int")).groupBy("b").agg(
-        F.sort_array(F.collect_list("n")).alias("names"))
-    base = unmatched.select("place_name", T.norm_name(F.col("place_name")).alias("key")).filter("key <> ''")
-    asked = base.select("key").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), count - 1)))
-    found = asked.join(filed, "b").select("key", F.explode(best_in_block("key", "names")).alias("c"))
-    top = top_per_key(found.select("key", "c.similarity", "c.name"), ["key"], [F.desc("similarity"), F.asc("name")], 2)
-    return base.join(top, "key").select("place_name", "rank", F.bround("similarity", 2).alias("similarity"),
-                                        F.col("name").alias("suggestion"))
-
-
 def nearby_places(places: DataFrame, metres: float = vocab.NEAR_PAIR_METRES) -> DataFrame:
     """Pairs of listed places at most ``metres`` apart, by grid cell.
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roamlens.functions import similarity as S
 from roamlens.functions import text as T
 from roamlens.functions import vocab
 from roamlens.functions.language import normalize_bangla, phonetic_key, script_counts
+from roamlens.functions.tasks import walk_claims
+from roamlens.operators.alike import alike_groups
 from roamlens.operators.joins import official_form
+from roamlens.operators.links import components
 from roamlens.session import broadcast_if_small, cut_lineage, first_per_key, global_row_number
 
 ONE = "*"  # counted rows
@@ -82,8 +84,8 @@ def merge_links(groups: DataFrame, pairs_key: str = "surface") -> DataFrame:
     * across scripts: p = 1 and g >= 0, or p = .75 and g = 1.
 
     Where a rule joins everything on one side with everything on the other, both sides are
-    tied to one hub node: as many edges as members, never a pair list. Only the string rule
-    compares pairs, over distinct names with one sound key inside one district or division.
+    tied to one hub node: as many edges as members, never a pair list. The string rule
+    compares distinct names with one sound key inside one district or division (``alike_groups``).
     """
     g = groups.select("surface", "entity_type", "normalized", "key_tokens", "name_tokens", "bengali", "districts", "divisions", "target")
     key = F.array_join("key_tokens", " ")
@@ -152,20 +154,12 @@ def merge_links(groups: DataFrame, pairs_key: str = "surface") -> DataFrame:
         star = e if star is None else star.unionByName(e)
     star = _drop_one_sided(star.distinct(), w)
 
-    # Same sound, same area, alike spelling: distinct names only, each pair scored once.
-    names = here.select("entity_type", "bengali", "k", "area", "normalized").distinct()
-    left = names.select("entity_type", "bengali", "k", "area", F.col("normalized").alias("na"))
-    right = names.select("entity_type", "bengali", "k", "area", F.col("normalized").alias("nb"))
-    met = left.join(right, ["entity_type", "bengali", "k", "area"]).filter("na < nb")
-    need = met.groupBy("na", "nb").agg(F.min(F.when(F.col("area").startswith("d:"), 70.0).otherwise(92.0)).alias("need"))
-    alike = need.withColumn("ratio", S.fuzzy_ratio("na", "nb")).filter(F.col("ratio") >= 70.0).select("na", "nb", "ratio")
-    good = met.join(alike, ["na", "nb"]).filter(
-        F.col("ratio") >= F.when(F.col("area").startswith("d:"), 70.0).otherwise(92.0))
-    hub = _hub(F.lit("alike"), "entity_type", F.col("bengali").cast("string"), "k", "area", "na", "nb")
-    rows = good.select("entity_type", "bengali", "k", "area", "na", "nb", hub.alias("hub"))
-    for end in ("na", "nb"):
-        star = star.unionByName(here.withColumnRenamed("normalized", end).join(
-            rows, ["entity_type", "bengali", "k", "area", end]).select("surface", "hub"))
+    # Same sound, same area, alike spelling: distinct names only, tied to hubs without pairing a group.
+    by = ["entity_type", "bengali", "k", "area"]
+    names = here.select(*by, F.col("normalized").alias("name")).distinct().withColumn("need", F.when(F.col("area").startswith("d:"), 70.0).otherwise(92.0))
+    hub = _hub(F.lit("alike"), "entity_type", F.col("bengali").cast("string"), "k", "area", "hub")
+    rows = alike_groups(names, by).select(*by, F.col("name").alias("normalized"), hub.alias("hub"))
+    star = star.unionByName(here.join(rows, [*by, "normalized"]).select("surface", "hub"))
 
     # Reviewed spellings of one target, and the target itself when it is a surface.
     t = groups.filter("target IS NOT NULL").select("surface", _hub(F.lit("reviewed"), "entity_type", F.lower("target")).alias("hub"))
@@ -196,30 +190,7 @@ def _subset_keys(keys: DataFrame, by: list[str], tokens: str, name: str, conditi
         F.col(f"r.{name}").alias("rk"), F.col("r.bengali").alias("rside"))
 
 
-# ---- components -------------------------------------------------------------------------------
-def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(surface, root): the smallest surface each one is connected to.
-
-    Each round a hub takes the smallest label of its members and members take the smallest of
-    their hubs, then every label is replaced by its own label, which doubles the reach. Both
-    steps are minimums combined before the shuffle. Every round is written to the checkpoint
-    folder; the loop ends when no label changes.
-    """
-    links = cut_lineage(links.select("surface", "hub"))
-    labels = cut_lineage(nodes.select("surface", F.col("surface").alias("root")).distinct())
-    for _ in range(max_rounds):
-        hubs = links.join(labels, "surface").groupBy("hub").agg(F.min("root").alias("h"))
-        heard = links.join(hubs, "hub").groupBy("surface").agg(F.min("h").alias("h"))
-        moved = labels.join(heard, "surface", "left").select("surface", F.col("root").alias("old"), F.least("root", "h").alias("root"))
-        jump = moved.select(F.col("surface").alias("root"), F.col("root").alias("far"))
-        nxt = cut_lineage(moved.join(jump, "root", "left").select("surface", "old", F.least("root", "far").alias("root")))
-        changed = nxt.filter("old <> root").limit(1).count()
-        labels = nxt.select("surface", "root")
-        if changed == 0:
-            return labels
-    raise RuntimeError("labels still change; raise max_rounds")
-
-
+# ---- clusters ---------------------------------------------------------------------------------
 def resolve(groups: DataFrame) -> DataFrame:
     """Cluster of every surface. The groups feed many rules, so they are written once."""
     groups = cut_lineage(groups)
@@ -227,30 +198,51 @@ def resolve(groups: DataFrame) -> DataFrame:
 
 
 # ---- stable ids ----------------------------------------------------------------------------------
+def _claimed(claims: DataFrame, rounds: int | None) -> tuple[DataFrame, DataFrame]:
+    """(root, entity_id) decided in rounds and the claims still open: a root may take its lowest open id if no earlier root asks for it."""
+    won_all, open_claims, done = None, claims, 0
+    while rounds is None or done < rounds:
+        bid = open_claims.groupBy("root").agg(F.min_by("entity_id", F.struct("no", "entity_id")).alias("entity_id"))
+        first = open_claims.groupBy("entity_id").agg(F.min("root").alias("root"))
+        won = cut_lineage(bid.join(first, ["entity_id", "root"]).select("root", "entity_id"))
+        if not won.limit(1).count():
+            break
+        won_all = won if won_all is None else won_all.unionByName(won)
+        open_claims = cut_lineage(open_claims.join(won.select("root"), "root", "left_anti").join(won.select("entity_id"), "entity_id", "left_anti"))
+        done += 1
+    return (claims.select("root", "entity_id").limit(0) if won_all is None else won_all), open_claims
+
+
+def solve_claims(claims: DataFrame, rounds: int = 3, largest: int = 1_000_000) -> DataFrame:
+    """(root, entity_id): root after root in order takes its lowest id that no earlier root took; claims hold (root, entity_id, no).
+
+    A few rounds over all claims settle nearly all. What is left are chains, where each root waits for the one before; their links are followed by doubling
+    (``components``), and each chain of at most ``largest`` claims is then walked in order inside one task. Longer ones go on in rounds.
+    """
+    won, left = _claimed(claims, rounds)
+    if not left.limit(1).count():
+        return won
+    nodes = left.select(F.col("root").alias("surface")).distinct()
+    chain = cut_lineage(left.join(components(nodes, left.select(F.col("root").alias("surface"), F.col("entity_id").alias("hub"))).select(
+        F.col("surface").alias("root"), F.col("root").alias("chain")), "root"))
+    size = chain.groupBy("chain").agg(F.count(ONE).alias("n"))
+    kind = "root string, entity_id string"
+    short = chain.join(size.filter(F.col("n") <= largest).select("chain"), "chain", "left_semi")
+    walked = short.groupBy("chain").applyInPandas(walk_claims, kind)
+    long = chain.join(size.filter(F.col("n") > largest).select("chain"), "chain", "left_semi").drop("chain")
+    return won.unionByName(walked).unionByName(_claimed(cut_lineage(long), None)[0])
+
+
 def assign_ids(clusters: DataFrame, registry: DataFrame, next_number: Column | None = None) -> DataFrame:
     """(root, entity_id, status): a cluster keeps the lowest id its members hold.
 
-    A known id claimed by two clusters goes to the first root in order. Clusters still
-    without an id then claim their next one, in rounds, until nothing changes; the rest get
-    new numbers. ``registry`` holds (surface, entity_id).
+    A known id claimed by two clusters goes to the first root in order, the other takes its next one (``solve_claims``); clusters left without an
+    id get new numbers. ``registry`` holds (surface, entity_id).
     """
     num = F.regexp_replace("entity_id", "^E", "").cast("long")
     claims = cut_lineage(clusters.join(registry, "surface").select("root", "entity_id", num.alias("no")).distinct())
-    taken = None
-    while True:
-        if taken is None:
-            open_claims = claims
-        else:
-            open_claims = claims.join(taken.select("root"), "root", "left_anti").join(taken.select("entity_id"), "entity_id", "left_anti")
-        bid = open_claims.groupBy("root").agg(F.min_by("entity_id", "no").alias("entity_id"))
-        # A root may take an id only if no earlier root can still ask for it.
-        first = open_claims.groupBy("entity_id").agg(F.min("root").alias("root"))
-        won = cut_lineage(bid.join(first, ["entity_id", "root"]).select("entity_id", "root"))
-        if won.limit(1).count() == 0:
-            break
-        taken = won if taken is None else cut_lineage(taken.unionByName(won))
     roots = clusters.select("root").distinct()
-    kept = roots.join(taken, "root") if taken is not None else roots.limit(0).withColumn("entity_id", F.lit(None).cast("string"))
+    kept = cut_lineage(solve_claims(claims))
     fresh = roots.join(kept.select("root"), "root", "left_anti")
     top = registry.agg(F.coalesce(F.max(num), F.lit(0)).alias("m")).scalar() if next_number is None else next_number - 1
     numbered = global_row_number(fresh, [F.asc("root")], "n").select(

@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +14,7 @@ from roamlens.functions import similarity as S
 from roamlens.functions import text as T
 from roamlens.functions import vocab
 from roamlens.functions.language import script_shares
+from roamlens.operators import vectors as V
 from roamlens.session import broadcast_if_small, top_per_key
 
 ONE = "*"  # counted rows
@@ -160,27 +159,13 @@ def aligned_pairs(reviews: DataFrame) -> DataFrame:
         "review_id", "place_name", F.col("review_text_original").alias("bn"), F.col("review_text_clean").alias("en"))
 
 
-def retrieval_accuracy(aligned: DataFrame, ks: tuple[int, ...] = (1, 5), blocks: int | None = None) -> DataFrame:
+def retrieval_accuracy(aligned: DataFrame, ks: tuple[int, ...] = (1, 5), block: int = V.BLOCK) -> DataFrame:
     """accuracy@k over aligned vectors (id, query, passage): is the own passage among the best k?
 
-    Queries and passages are cut into blocks; each block pair is one matrix product in one
-    task, which returns only a count per query. No (query, passage) row is ever produced.
+    Queries meet passages block by block and only a count per query leaves a task, so each vector is sent once per ``block`` rows
+    of the other side and no (query, passage) row is made.
     """
-    unit = aligned.select("id", S.unit(F.col("query")).alias("q"), S.unit(F.col("passage")).alias("p")).withColumn(
-        "own", S.dot(F.col("q"), F.col("p")))
-    if blocks is None:
-        blocks = max(1, -(-aligned.count() // 2000))
-    cut = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    span = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = unit.select("id", "q", "own", cut.alias("qb")).withColumn("pb", span)
-    right = unit.select("p", cut.alias("pb")).withColumn("qb", span)
-
-    def count_higher(queries: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or passages.empty:
-            return pd.DataFrame({"id": [], "higher": []}).astype({"id": "int64", "higher": "int64"})
-        scores = np.stack(queries.q.to_numpy()) @ np.stack(passages.p.to_numpy()).T
-        return pd.DataFrame({"id": queries.id, "higher": (scores > queries.own.to_numpy()[:, None] + 1e-9).sum(axis=1)})
-
-    counts = left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInPandas(count_higher, "id long, higher long")
-    rank = counts.groupBy("id").agg((F.sum("higher") + 1).alias("rank"))
+    unit = aligned.select("id", S.unit(F.col("query")).alias("q"), S.unit(F.col("passage")).alias("p"))
+    left = unit.select("id", F.col("q").alias("u"), S.dot(F.col("q"), F.col("p")).alias("own"))
+    rank = V.counts_above(left, unit.select("id", F.col("p").alias("u")), block=block).select((F.col("higher") + 1).alias("rank"))
     return rank.agg(F.count(ONE).alias("n"), *[F.round(F.avg((F.col("rank") <= k).cast("int")), 6).alias(f"acc_at_{k}") for k in ks])

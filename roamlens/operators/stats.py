@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from zlib import crc32
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,29 +63,28 @@ def retention(compared: DataFrame) -> DataFrame:
 def bootstrap_interval(compared: DataFrame, samples: int = 2000, seed: int = 13) -> DataFrame:
     """95 % interval of retention, resampling whole reviews.
 
-    Reviews with equal (kept, named) counts are interchangeable, so they collapse to one row
-    with a multiplicity; in a resample such a group of k out of n reviews is drawn a
-    binomial-like number of times. Draws are simulated per (sample, group, slot chunk) from
-    hashes, so the work is spread over all draws and no sample is one task's loop.
+    Reviews with equal (named, kept) counts are interchangeable and make one cell. A resample of n reviews draws each cell a multinomial
+    number of times, so a sample costs its cells, whatever the number of reviews. Samples are dealt over tasks in chunks, each with a
+    generator seeded by type and chunk; a type's cells, bounded by the counts that a review can have, travel as one array.
     """
     found = compared.filter("in_original").groupBy("entity_type", "review_id").agg(
         F.count(ONE).alias("named"), F.count_if("in_translation").alias("kept"))
     kinds = found.groupBy("entity_type", "named", "kept").agg(F.count(ONE).alias("k"))
-    w = Window.partitionBy("entity_type").orderBy("named", "kept").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy("entity_type")
-    ladder = kinds.withColumn("hi", F.sum("k").over(w)).withColumn("lo", F.col("hi") - F.col("k")).withColumn("n", F.sum("k").over(everything))
-    shelf = ladder.groupBy("entity_type", "n").agg(F.array_sort(F.collect_list(F.struct("hi", "named", "kept"))).alias("shelf"))
-    chunk = 1000
-    slots = shelf.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / chunk).cast("int") - 1)))
-    size = F.least(F.lit(chunk), F.col("n") - F.col("part") * chunk).cast("int")
-    draws = F.transform(F.sequence(F.lit(1), size), lambda i: F.pmod(F.xxhash64(
-        F.lit(seed), F.col("entity_type"), F.col("sample"), F.col("part"), i), F.col("n")))
-    pick = F.transform(draws, lambda d: F.get(F.filter("shelf", lambda s: s["hi"] > d), F.lit(0)))
-    got = slots.select("entity_type", "sample", pick.alias("p")).select(
-        "entity_type", "sample", F.aggregate("p", F.lit(0).cast("long"), lambda a, s: a + s["named"]).alias("named"),
-        F.aggregate("p", F.lit(0).cast("long"), lambda a, s: a + s["kept"]).alias("kept"))
-    rate = got.groupBy("entity_type", "sample").agg((F.sum("kept") / F.sum("named")).alias("rate"))
+    cells = kinds.groupBy("entity_type").agg(F.array_sort(F.collect_list(F.struct("named", "kept", "k"))).alias("cells"))
+    chunk = 100
+    parts = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(-(-samples // chunk) - 1)))).repartition("entity_type", "part")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, part, cell in zip(*(batch.column(c) for c in ("entity_type", "part", "cells"))):
+                kind, part = kind.as_py(), part.as_py()
+                named, kept, k = np.array([list(c.values()) for c in cell.as_py()]).T
+                size = min(chunk, samples - part * chunk)
+                many = np.random.default_rng([seed, part, crc32(str(kind).encode())]).multinomial(k.sum(), k / k.sum(), size)
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * size, pa.string()), pa.array(np.arange(size, dtype=np.int32) + part * chunk), pa.array((many @ kept) / (many @ named))],
+                                                 names=["entity_type", "sample", "rate"])
+
+    rate = parts.mapInArrow(draw, "entity_type string, sample int, rate double")
     at = F.row_number().over(Window.partitionBy("entity_type").orderBy("rate", "sample"))  # one value per sample
     ranked = rate.withColumn("at", at)
     pos = lambda k: F.max(F.when(F.col("at") == k, F.col("rate")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roamlens.functions import similarity as S
 from roamlens.functions import text as T
 from roamlens.functions import vocab
+from roamlens.operators import vectors as V
 from roamlens.session import broadcast_if_small, cut_lineage, first_per_key, top_per_key
 
 ONE = "*"  # counted rows
@@ -245,40 +246,36 @@ def centroids(vectors: DataFrame, key: str = "topic_id", dims: int | None = None
     return packed.select(key, S.unit(F.transform("v", lambda s: s["x"])).alias("centroid"))
 
 
+def _unit(df: DataFrame, key: str, vector: str) -> DataFrame:
+    return df.select(F.col(key).alias("id"), S.unit(F.col(vector)).alias("u"))
+
+
 def reassign_outliers(vectors: DataFrame, outlier: int = -1) -> DataFrame:
-    """Outliers join the topic with the nearest centroid; others keep theirs.
+    """Outliers join the topic with the nearest centroid, equal ones by topic id; others keep theirs.
 
-    The centroid list has one row per topic, which the taxonomy bounds; it travels to every
-    row as one array built from those rows.
+    Outliers meet the centroids block by block; the others meet their own centroid by a join on the topic.
     """
-    cents = centroids(vectors.filter(F.col("topic_id") != outlier))
-    shelf = cents.agg(F.array_sort(F.collect_list(F.struct(
-        F.col("topic_id").alias("t"), F.col("centroid").alias("c")))).alias("s")).scalar()
-    u = vectors.withColumn("u", S.unit(F.col("embedding"))).withColumn("shelf", shelf)
-    scored = F.transform("shelf", lambda e: F.struct(S.dot(F.col("u"), e["c"]).alias("s"), (-e["t"]).alias("nt")))
-    own = F.filter("shelf", lambda e: e["t"] == F.col("topic_id"))
-    is_out = F.col("topic_id") == outlier
-    best = F.array_max(scored)
-    return u.withColumn("best", F.when(is_out, best)).select(
-        "vec_id", F.col("topic_id").alias("topic_id_raw"),
-        F.when(is_out, -F.col("best.nt")).otherwise(F.col("topic_id")).alias("topic_id"),
-        F.when(is_out, "reassigned").otherwise("cluster").alias("topic_assignment"),
-        F.round(F.when(is_out, F.col("best.s")).otherwise(S.dot(F.col("u"), F.get(own, F.lit(0))["c"])), 6)
-        .alias("topic_similarity"))
+    cents = cut_lineage(centroids(vectors.filter(F.col("topic_id") != outlier)))
+    lone = vectors.filter(F.col("topic_id") == outlier)
+    best = V.nearest(_unit(lone, "vec_id", "embedding"), cents.select(F.col("topic_id").alias("id"), F.col("centroid").alias("u")), 1)
+    moved = best.select(F.col("lid").alias("vec_id"), F.lit(outlier).cast(dict(vectors.dtypes)["topic_id"]).alias("topic_id_raw"), F.col("rid").alias("topic_id"),
+                        F.lit("reassigned").alias("topic_assignment"), F.col("score").alias("topic_similarity"))
+    kept = vectors.filter(F.col("topic_id") != outlier).join(broadcast_if_small(cents), "topic_id").select(
+        "vec_id", F.col("topic_id").alias("topic_id_raw"), "topic_id", F.lit("cluster").alias("topic_assignment"),
+        S.dot(S.unit(F.col("embedding")), F.col("centroid")).alias("topic_similarity"))
+    return moved.unionByName(kept).withColumn("topic_similarity", F.round("topic_similarity", 6))
 
 
 def cosine_scores(topics: DataFrame, preferences: DataFrame) -> DataFrame:
-    """Cosine of every topic to every preference: (topic_id, preference_id, similarity).
+    """Cosine of every topic to every preference: (topic_id, preference_id, similarity)."""
+    pairs = V.all_scores(_unit(topics, "topic_id", "vector"), _unit(preferences, "preference_id", "vector"))
+    return pairs.select(F.col("lid").alias("topic_id"), F.col("rid").alias("preference_id"), F.col("score").alias("similarity"))
 
-    Both sides are taxonomy tables; the preference vectors travel as one array and every
-    topic row is expanded in place, so no pair of rows meets in a shuffle.
-    """
-    shelf = preferences.agg(F.collect_list(F.struct(
-        F.col("preference_id").alias("p"), S.unit(F.col("vector")).alias("v"))).alias("s")).scalar()
-    u = topics.select("topic_id", S.unit(F.col("vector")).alias("u"), shelf.alias("shelf"))
-    return u.select("topic_id", "u", F.explode("shelf").alias("e")).select(
-        "topic_id", F.col("e.p").alias("preference_id"),
-        S.dot(F.col("u"), F.col("e.v")).alias("similarity"))
+
+def nearest_preferences(topics: DataFrame, preferences: DataFrame, k: int = 2) -> DataFrame:
+    """The ``k`` preferences most like each topic, with rank; the input of ``best_two`` without a row for every pair."""
+    best = V.nearest(_unit(topics, "topic_id", "vector"), _unit(preferences, "preference_id", "vector"), k)
+    return best.select(F.col("lid").alias("topic_id"), F.col("rid").alias("preference_id"), F.col("score").alias("similarity"), "rank")
 
 
 def scarcity_cut(n_topics: Column) -> Column:
@@ -296,15 +293,14 @@ def long_tail_flags(topics: DataFrame, cut: float | None = None) -> DataFrame:
     stats = topics.agg(F.sum("review_count").alias("n"), F.count(ONE).alias("t"))
     total = stats.select("n").scalar()
     limit = F.lit(cut) if cut is not None else stats.select(scarcity_cut(F.col("t")).alias("c")).scalar()
-    base = topics.select("topic_id", "review_count", S.unit(F.col("vector")).alias("u"),
-                         (F.col("review_count") / total).alias("share"), limit.alias("cut"))
-    shelf = base.filter(F.col("share") >= F.col("cut")).agg(
-        F.collect_list(F.struct(F.col("topic_id").alias("t"), F.col("u").alias("v"))).alias("s")).scalar()
-    others = F.filter("shelf", lambda e: e["t"] != F.col("topic_id"))
-    best = F.array_max(F.transform(others, lambda e: S.dot(F.col("u"), e["v"])))
+    base = cut_lineage(topics.select("topic_id", "review_count", S.unit(F.col("vector")).alias("u"),
+                                     (F.col("review_count") / total).alias("share"), limit.alias("cut")))
+    sides = base.select(F.col("topic_id").alias("id"), "u", "share", "cut")
+    best = V.nearest(sides.select("id", "u"), sides.filter("share >= cut").select("id", "u"), 1, other_only=True).select(
+        F.col("lid").alias("topic_id"), F.col("score").alias("m"))
     scarce = F.col("share") < F.col("cut")
     return (
-        base.withColumn("shelf", shelf).withColumn("m", F.coalesce(best, F.lit(0.0)))
+        base.join(best, "topic_id", "left").withColumn("m", F.coalesce("m", F.lit(0.0)))
         .select(
             "topic_id", "review_count", F.bround("share", 4).alias("corpus_share"), scarce.alias("scarce"),
             F.bround("m", 4).alias("max_sim_to_abundant"), F.bround(1 - F.col("m"), 4).alias("sdd"),

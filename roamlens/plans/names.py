@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from roamlens.functions import language as L
 from roamlens.functions import text as T
 from roamlens.functions.similarity import fuzzy_ratio
-from roamlens.operators import joins, mentions, mining, resolution
+from roamlens.operators import alike, joins, mentions, mining, resolution
 from roamlens.plans.corpus import BANGLA_TEXTS, bangla_texts, squeeze_sql
 from roamlens.plans.registry import query
 from roamlens.session import cut_lineage
@@ -225,7 +225,7 @@ SELECT place_name, coalesce(a.pid, 'id' || s_suppkey) AS place_id, CASE WHEN a.p
 FROM e LEFT JOIN a ON a.k = lower(place_name) LEFT JOIN supplier ON lower(s_name) = lower(place_name)
 """)(lambda t: joins.match_existing(existing(t), listed(t), t.raw("customer").filter("c_custkey % 12 = 0").selectExpr("c_name AS alias", "concat('old', c_custkey % 5) AS place_id").unionByName(
     t.raw("supplier").filter("s_suppkey = 2").selectExpr("s_name AS alias", "'id1' AS place_id"))))
-query("join_14_name_suggestions")(lambda t: joins.name_suggestions(existing(t).filter("place_name LIKE 'Cust%'"), t.raw("supplier").selectExpr("s_name AS name")))
+query("join_14_name_suggestions")(lambda t: alike.name_suggestions(existing(t), t.raw("supplier").selectExpr("s_name AS name")))
 query("join_15_gazetteer_match", """
 WITH e AS (SELECT s_suppkey, concat('E', s_suppkey) AS entity_id FROM supplier)
 SELECT entity_id, s_name AS maps_place, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey * 10 END AS maps_review_count FROM e JOIN supplier USING (s_suppkey) WHERE s_suppkey % 4 <> 3

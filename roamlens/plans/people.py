@@ -40,7 +40,7 @@ WITH m AS (SELECT review_id, entity_type, lower(surface) AS concept, bool_or(sur
 SELECT entity_type, count(*) FILTER (o) AS in_original, count(*) FILTER (t) AS in_translation, count(*) FILTER (o AND t) AS kept, count(*) FILTER (o AND NOT t) AS lost, count(*) FILTER (t AND NOT o) AS only_in_translation,
   round(avg(CASE WHEN o THEN t::INT::DOUBLE END), 4) AS retention FROM m GROUP BY 1
 """)(lambda t: stats.retention(compared(t)))
-query("stat_3_bootstrap_interval")(lambda t: stats.bootstrap_interval(compared(t), samples=200))
+query("stat_3_bootstrap_interval")(lambda t: stats.bootstrap_interval(compared(t)))
 
 
 def sides(t: Tables):
