@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +15,7 @@ from roamlens.functions.text import WS, squeeze
 
 BENGALI = r"[\x{0980}-\x{09ff}]"
 LATIN = "[A-Za-z]"
+NOT_WS = WS.replace("[", "[^", 1)
 _FOREIGN_MARK = r"[\p{M}&&[^\x{0980}-\x{09ff}]]"
 
 
@@ -28,15 +30,30 @@ def compose(text: Column) -> Column:
     return F.coalesce(_nfc(F.when(text.rlike(_FOREIGN_MARK), text)), text)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often the result names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize_bangla(text: Column) -> Column:
-    """One spelling per rendered Bangla text, safe as a matching key."""
-    out = F.translate(compose(F.coalesce(text, F.lit(""))), vocab.INVISIBLE_CHARS, "")
-    for sequence, single in vocab.BENGALI_COMPOSE:
-        out = F.replace(out, F.lit(sequence), F.lit(single))
-    return squeeze(out)
+    """One spelling per rendered Bangla text, safe as a matching key. Letters are composed only where there are Bangla ones."""
+    invisible = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in vocab.INVISIBLE_CHARS) + "]+"
+    out = F.regexp_replace(compose(F.coalesce(text, F.lit(""))), invisible, "")
+
+    def composed(t: Column) -> Column:
+        joined = t
+        for sequence, single in vocab.BENGALI_COMPOSE:
+            joined = F.replace(joined, F.lit(sequence), F.lit(single))
+        return F.when(t.rlike(BENGALI), joined).otherwise(t)
+
+    return squeeze(bound(out, composed))
 
 
 def _to_latin(text: Column) -> Column:
+    return bound(text, lambda t: F.when(t.rlike(BENGALI), _sounds(t)).otherwise(t))
+
+
+def _sounds(text: Column) -> Column:
     for letter, sound in vocab.BENGALI_SOUNDS.items():
         if len(sound) > 1:
             text = F.replace(text, F.lit(letter), F.lit(sound))
@@ -48,10 +65,10 @@ def _to_latin(text: Column) -> Column:
 def phonetic_key(text: Column) -> Column:
     """Consonant skeleton shared by a Bangla name and its romanisations."""
     key = _to_latin(F.lower(normalize_bangla(text)))
-    key = F.regexp_replace(key, r"[^a-z\p{Nd} ]", "")
+    key = F.regexp_replace(key, r"[^a-z\p{Nd} ]+", "")
     for source, target in vocab.LATIN_FOLDS:
         key = F.replace(key, F.lit(source), F.lit(target))
-    key = F.regexp_replace(key, r"(?<=\S)[aeiouy]", "")
+    key = F.regexp_replace(key, r"(?<=\S)[aeiouy]+", "")
     key = F.regexp_replace(key, r"(\S)\1+", "$1")
     return squeeze(key)
 
@@ -66,9 +83,14 @@ def letters(key: Column) -> Column:
     return F.length(F.replace(key, F.lit(" "), F.lit("")))
 
 
+def _run_letters(text: Column, letter: str) -> Column:
+    """How many characters of a kind there are, counted by runs."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{letter}+", ""))
+
+
 def script_counts(text: Column) -> tuple[Column, Column]:
     body = F.coalesce(text, F.lit(""))
-    return F.regexp_count(body, F.lit(BENGALI)), F.regexp_count(body, F.lit(LATIN))
+    return F.when(body.rlike(BENGALI), _run_letters(body, BENGALI)).otherwise(0), _run_letters(body, LATIN)
 
 
 def script_shares(text: Column) -> tuple[Column, Column]:
@@ -83,12 +105,22 @@ def script_shares(text: Column) -> tuple[Column, Column]:
 
 def script_words(text: Column) -> tuple[Column, Column]:
     """Words mostly Bengali, and mostly Latin. Ties count as Bengali."""
-    words = F.split(F.coalesce(text, F.lit("")), WS + "+")
-    bn = lambda w: F.regexp_count(w, F.lit(BENGALI))
-    la = lambda w: F.regexp_count(w, F.lit(LATIN))
-    bengali = F.size(F.filter(words, lambda w: (bn(w) > 0) & (bn(w) >= la(w))))
-    latin = F.size(F.filter(words, lambda w: la(w) > bn(w)))
-    return bengali, latin
+    both = word_scripts(F.coalesce(text, F.lit("")))
+    return both["bn"], both["la"]
+
+
+def word_scripts(body: Column) -> Column:
+    """Struct(bn, la) of the words mostly of each script; only texts with both scripts are looked at word by word."""
+    holding = lambda letter, t: F.regexp_count(t, F.lit(f"{letter}{NOT_WS}*+"))  # noqa: E731  # from its first letter to its end
+    pair = lambda bn, la: F.struct(bn.cast("int").alias("bn"), la.cast("int").alias("la"))
+
+    def each(t: Column) -> Column:
+        words = F.filter(F.split(t, WS + "+"), lambda w: w.rlike(BENGALI) | w.rlike(LATIN))
+        more = F.transform(words, lambda w: _run_letters(w, BENGALI) - _run_letters(w, LATIN))
+        return bound(more, lambda d: pair(F.size(F.filter(d, lambda x: x >= 0)), F.size(F.filter(d, lambda x: x < 0))))
+
+    zero = F.lit(0)
+    return bound(body, lambda t: F.when(~t.rlike(BENGALI), pair(zero, holding(LATIN, t))).when(~t.rlike(LATIN), pair(holding(BENGALI, t), zero)).otherwise(each(t)))
 
 
 def coarse_language(text: Column, detected: Column | None = None) -> Column:
@@ -110,21 +142,7 @@ def language_label(text: Column, detected_iso: Column | None = None,
     ``detected_iso`` is asked only for longer Latin text that is not romanised Bangla.
     Confidence stays NULL where a rule decided.
     """
-    body = normalize_bangla(text)
-    bn_share, la_share = script_shares(body)
-    bn_words, la_words = script_words(body)
-    total, minority = bn_words + la_words, F.least(bn_words, la_words)
-    minority_share = F.coalesce(F.try_divide(minority, total), F.lit(0.0))
-
-    lowered = F.lower(body)
-    words = F.regexp_extract_all(lowered, F.lit("[a-z]+"), F.lit(0))
-    hits = F.size(F.filter(words, lambda w: w.isin(*vocab.BANGLISH_MARKERS)))
-    by_rule = (hits >= 2) | ((hits == 1) & (F.size(words) <= 6))
-    rule_share = F.least(F.lit(1.0), F.coalesce(F.try_divide(hits, F.size(words)), F.lit(0.0)) * 3)
-    is_romanised = by_rule if romanised is None else romanised
-    confidence = rule_share if romanised is None else romanised_confidence
-    method = F.lit("heuristic" if romanised is None else "classifier")
-    clause = F.regexp_count(lowered, F.lit(vocab.ENGLISH_CLAUSE)) >= 2
+    none, empty = F.lit(None).cast("double"), F.lit("")
 
     def out(label, conf, how, iso):
         return F.struct(
@@ -132,20 +150,52 @@ def language_label(text: Column, detected_iso: Column | None = None,
             how.alias("method"), iso.alias("iso"),
         )
 
-    none = F.lit(None).cast("double")
+    def romanised_or(lowered: Column, otherwise: Column) -> Column:
+        """Marker words decide, or the given model; the words are taken apart once."""
+        clause = F.regexp_count(lowered, F.lit(vocab.ENGLISH_CLAUSE)) >= 2
+        label = F.when(clause, "mixed").otherwise("bn-latn")
+        if romanised is not None:
+            return F.when(romanised, out(label, romanised_confidence, F.lit("classifier"), F.lit("bn-latn"))).otherwise(otherwise)
+        words = F.regexp_extract_all(lowered, F.lit("[a-z]+"), F.lit(0))
+        markers = F.regexp_count(lowered, F.lit("(?<![a-z])(?:" + "|".join(sorted(vocab.BANGLISH_MARKERS, key=lambda m: (-len(m), m))) + ")(?![a-z])"))
+
+        def ruled(hits: Column) -> Column:
+            share = lambda n: F.least(F.lit(1.0), hits / n * 3)
+            by_rule = bound(F.when(hits > 0, F.size(words)), lambda n: F.when(
+                (hits >= 2) | ((hits == 1) & (n <= 6)), out(label, share(n), F.lit("heuristic"), F.lit("bn-latn"))).otherwise(otherwise))
+            return F.when(hits == 0, otherwise).otherwise(by_rule)
+
+        return bound(markers, ruled)
+
     iso = F.lit(None).cast("string") if detected_iso is None else detected_iso
-    return (
-        F.when(body == "", out(F.lit(""), F.lit(0.0), F.lit("empty"), F.lit("")))
-        .when((bn_share == 0) & (la_share == 0), out(F.lit(""), none, F.lit("no-letters"), F.lit("")))
-        .when((minority >= vocab.MIXED_MIN_WORDS) & (minority_share >= vocab.MIXED_MIN_SHARE),
-              out(F.lit("mixed"), minority_share * 2, F.lit("script-mix"), F.lit("")))
-        .when(bn_share > la_share, out(F.lit("bn"), none, F.lit("script"), F.lit("bn")))
-        .when(is_romanised, out(F.when(clause, "mixed").otherwise("bn-latn"), confidence, method, F.lit("bn-latn")))
-        .when(F.length(body) < vocab.SHORT_TEXT_MAX, out(F.lit("en"), none, F.lit("short-text"), F.lit("en")))
-        .when(iso.isNotNull() & (iso != "en"), out(F.lit("other"), none, F.lit("lid"), iso))
-        .when(iso.isNotNull(), out(F.lit("en"), none, F.lit("lid"), iso))
-        .otherwise(out(F.lit("en"), none, F.lit("script"), F.lit("en")))
-    )
+
+    def latin(body: Column) -> Column:
+        rest = (
+            F.when(F.length(body) < vocab.SHORT_TEXT_MAX, out(F.lit("en"), none, F.lit("short-text"), F.lit("en")))
+            .when(iso.isNotNull() & (iso != "en"), out(F.lit("other"), none, F.lit("lid"), iso))
+            .when(iso.isNotNull(), out(F.lit("en"), none, F.lit("lid"), iso))
+            .otherwise(out(F.lit("en"), none, F.lit("script"), F.lit("en")))
+        )
+        return bound(F.lower(body), lambda low: romanised_or(low, rest))
+
+    def two_scripts(body: Column) -> Column:
+        def judged(w: Column) -> Column:
+            total, minority = w["bn"] + w["la"], F.least(w["bn"], w["la"])
+            share = F.coalesce(F.try_divide(minority, total), F.lit(0.0))
+            bn, la = script_counts(body)
+            return (
+                F.when((minority >= vocab.MIXED_MIN_WORDS) & (share >= vocab.MIXED_MIN_SHARE), out(F.lit("mixed"), share * 2, F.lit("script-mix"), empty))
+                .when(bn > la, out(F.lit("bn"), none, F.lit("script"), F.lit("bn"))).otherwise(latin(body))
+            )
+
+        return bound(word_scripts(body), judged)
+
+    # One script alone needs no count: there is no minority and no contest.
+    return bound(normalize_bangla(text), lambda body: (
+        F.when(body == "", out(empty, F.lit(0.0), F.lit("empty"), empty))
+        .when(body.rlike(BENGALI), F.when(body.rlike(LATIN), two_scripts(body)).otherwise(out(F.lit("bn"), none, F.lit("script"), F.lit("bn"))))
+        .when(body.rlike(LATIN), latin(body))
+        .otherwise(out(empty, none, F.lit("no-letters"), empty))))
 
 
 def strip_ending(word: Column) -> Column:

@@ -88,12 +88,18 @@ def _share(df: DataFrame, value: str, name: str) -> DataFrame:
     return df.withColumn(name, F.bround(F.try_divide(F.col(value), total), 4))
 
 
+def _mean4(column: str) -> Column:
+    """The mean to four places, halves up, from exact sums of hundred-millionths: the order of rows does not show."""
+    units = f"CAST(round({column} * 1e8D) AS bigint)"
+    return F.expr(f"(2 * sum({units}) + 10000 * count({column})) div (20000 * count({column})) / 1e4D")
+
+
 def preference_frequency(preferences: DataFrame, topic_map: DataFrame, topics: DataFrame) -> DataFrame:
     """Topics and reviews per preference; a topic with two preferences counts under both."""
     m = topic_map.join(broadcast_if_small(topics.select("topic_id", "review_count")), "topic_id", "left")
     g = m.groupBy("preference_id").agg(
         F.count_distinct("topic_id").alias("topic_count"), F.sum("review_count").alias("review_count"),
-        F.round(F.avg("similarity"), 4).alias("avg_similarity"), F.min("confidence").alias("min_confidence"))
+        _mean4("similarity").alias("avg_similarity"), F.min("confidence").alias("min_confidence"))
     out = preferences.select("preference_id", "preference_label", "category", "subcategory", "preference_type").join(
         g, "preference_id", "left").fillna(0, ["topic_count", "review_count"])
     return _share(out, "review_count", "review_share")

@@ -100,7 +100,7 @@ query("pre_16_text_fingerprint", f"SELECT doc_id AS review_id, sha256(lower({squ
 query("pre_16_repeated_texts", f"""
 SELECT conv_id * 1000 + turn AS submission_id FROM conversations c WHERE role = 'user' AND sha256(lower({squeeze_sql('text')})) IN (
   SELECT sha256(lower({squeeze_sql('text')})) FROM conversations WHERE role = 'assistant')
-UNION ALL SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND sha256(lower({squeeze_sql('text')})) IN (SELECT sha256(lower({squeeze_sql('text')})) FROM documents WHERE doc_id % 2 = 1)
+UNION ALL SELECT doc_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(lower({squeeze_sql('text')}))) AS first_id FROM documents WHERE text IS NOT NULL) WHERE doc_id > first_id
 """)(lambda t: prep.repeated_texts(
     t.raw("conversations").filter("role = 'user'").selectExpr("conv_id * 1000 + turn AS submission_id", "text AS review_text"),
     t.raw("conversations").filter("role = 'assistant'").selectExpr("text AS review_text")).select("submission_id").unionByName(

@@ -155,7 +155,7 @@ FRAMES["frequency"] = """
 SELECT preference_id, preference_label, category, subcategory, preference_type, topic_count, review_count, avg_similarity, min_confidence,
   round_even(review_count::DOUBLE / nullif(sum(review_count) OVER (), 0), 4) AS review_share
 FROM (SELECT q.preference_id, q.preference_label, q.category, q.subcategory, q.preference_type, count(DISTINCT m.topic_id) AS topic_count,
-        CAST(coalesce(sum(t.review_count), 0) AS BIGINT) AS review_count, round(avg(m.similarity), 4) AS avg_similarity,
+        CAST(coalesce(sum(t.review_count), 0) AS BIGINT) AS review_count, (2 * sum(CAST(round(m.similarity * 1e8) AS BIGINT)) + 10000 * count(m.similarity)) // (20000 * count(m.similarity)) / 1e4::DOUBLE AS avg_similarity,
         min(m.confidence) AS min_confidence
       FROM preferences q LEFT JOIN topic_map m ON m.preference_id = q.preference_id LEFT JOIN topics t ON t.topic_id = m.topic_id
       GROUP BY 1, 2, 3, 4, 5)"""
