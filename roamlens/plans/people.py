@@ -210,6 +210,19 @@ def _drained(t: Tables, stream: DataFrame, mode: str = "append") -> DataFrame:
     return t.spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def _finished(t: Tables, build, key: str, value: str | None = None, mode: str = "append") -> DataFrame:
+    """All rows of a stream over the finished events table: it is drained, closed by an end marker and drained to the end."""
+    base = _scratch(t)
+    marks = f"{base}/end"
+    arrivals.end_of_input(t.spark, marks, None)
+    stream = build(lambda events: arrivals.with_end(events, marks, key, value))
+    arrivals.drain(stream, f"{base}/out", f"{base}/ck", mode)
+    last = t.raw("events").agg(F.max(F.col("ts").cast("timestamp")).alias("t")).first().t
+    arrivals.end_of_input(t.spark, marks, last)
+    arrivals.drain(stream, f"{base}/out", f"{base}/ck", mode)
+    return t.spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
 def _daily(df: DataFrame) -> DataFrame:
     return arrivals.volume(df, late="6 hours", width="1 day", by="event_type")
 
@@ -223,10 +236,36 @@ SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FRO
 query("stream_2_first_arrivals", """
 SELECT DISTINCT sha256(lower(concat(event_type, ' ', user_id))) AS fingerprint FROM events
 """)(lambda t: _drained(t, arrivals.first_arrivals(event_stream(t).withColumn("review_text", F.expr("concat(event_type, '  ', user_id)")), late="40 days").select("fingerprint")))
-query("stream_5_sliding_counts", """
+SLIDING = """
 SELECT user_id, strftime(w, '%Y-%m-%d %H:%M') AS window_start, count(*) AS n FROM (SELECT user_id, time_bucket(INTERVAL 10 MINUTE, ts) - to_minutes(CAST(10 * k AS INTEGER)) AS w FROM events, (SELECT unnest(range(0, 6)) AS k)) GROUP BY 1, 2
-""")(lambda t: arrivals.volume(t.raw("events").withColumn("ts", F.col("ts").cast("timestamp")), width="1 hour", slide="10 minutes", by="user_id").select(
-    "user_id", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "n"))
+"""
+
+
+def _sliding(df: DataFrame) -> DataFrame:
+    return arrivals.volume(df, late="20 minutes", width="1 hour", slide="10 minutes", by="user_id")
+
+
+def _counts(df: DataFrame) -> DataFrame:
+    return df.filter("user_id IS NOT NULL").select("user_id", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "n")
+
+
+query("stream_5_sliding_counts", SLIDING)(lambda t: _counts(_sliding(t.raw("events").withColumn("ts", F.col("ts").cast("timestamp")))))
+query("stream_5_sliding_counts_streamed", SLIDING)(lambda t: _counts(_finished(
+    t, lambda close: _sliding(close(event_stream(t).select("user_id", "ts"))), "user_id")))
+
+
+def _new_texts(t: Tables) -> DataFrame:
+    """Texts of the events never seen before, over all history, batch by batch."""
+    base = _scratch(t)
+    stream = event_stream(t).selectExpr("event_id", "concat(event_type, '  ', user_id) AS review_text")
+    known = stream.withColumn("fingerprint", F.lit("")).schema
+    arrivals.run_once(stream, arrivals.reject_repeats(f"{base}/known", known), f"{base}/ck")
+    return arrivals.read_batches(t.spark, f"{base}/known", known)
+
+
+query("stream_2_new_over_history", """
+SELECT DISTINCT sha256(lower(concat(event_type, ' ', user_id))) AS fingerprint FROM events
+""")(lambda t: _new_texts(t).select("fingerprint"))
 
 
 def decisions(df: DataFrame) -> DataFrame:
@@ -236,11 +275,9 @@ def decisions(df: DataFrame) -> DataFrame:
         "CASE WHEN event_id % 5 = 0 THEN '' ELSE 'officer' END AS decided_by", "props AS reason")
 
 
-# The stream decides what its watermark has passed: all but the events of the last millisecond.
-PASSED = "epoch_ms(ts) < (SELECT max(epoch_ms(ts)) FROM events)"
 query("stream_3_decision_states", f"""
 WITH RECURSIVE d AS (SELECT CAST(user_id AS VARCHAR) AS submission_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'approved' WHEN 'error' THEN 'rejected' WHEN 'purchase' THEN 'ingested' ELSE 'approved' END AS state,
-    event_id % 5 <> 0 AND trim(coalesce(props, '')) <> '' AS explained, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE {PASSED}),
+    event_id % 5 <> 0 AND trim(coalesce(props, '')) <> '' AS explained, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 w AS (SELECT submission_id, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS from_state, CAST(NULL AS VARCHAR) AS to_state, CAST(NULL AS VARCHAR) AS outcome, 'pending' AS now, CAST(0 AS BIGINT) AS rn FROM d WHERE rn = 1
   UNION ALL SELECT submission_id, seq, was, state, o, CASE WHEN o = 'accepted' THEN state ELSE was END, rn FROM (
     SELECT d.submission_id, d.seq, w.now AS was, d.state, d.rn, CASE WHEN d.state <> 'ingested' AND NOT explained THEN 'needs author and reason'
@@ -248,7 +285,7 @@ w AS (SELECT submission_id, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) A
       ELSE concat('refused: ', w.now, ' cannot become ', d.state) END AS o
     FROM w JOIN d ON d.submission_id = w.submission_id AND d.rn = w.rn + 1))
 SELECT submission_id, seq, from_state, to_state, outcome FROM w WHERE rn > 0
-""")(lambda t: _drained(t, state.decide(decisions(event_stream(t)))))
+""")(lambda t: _finished(t, lambda close: state.decide(close(decisions(event_stream(t)))), "submission_id", state.END))
 
 
 def clients(df: DataFrame) -> DataFrame:
@@ -265,7 +302,7 @@ w AS (SELECT client, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS DOUBLE) AS m
 SELECT client, event_id, moment AS "at", outcome FROM w WHERE rn > 0"""
 
 
-query("stream_4_rate_flag", flags_sql(PASSED))(lambda t: _drained(t, state.rate_flag(clients(event_stream(t)), limit=2, window=86400.0)))
+query("stream_4_rate_flag", flags_sql("true"))(lambda t: _finished(t, lambda close: state.rate_flag(close(clients(event_stream(t))), limit=2, window=86400.0), "client", state.END))
 query("stream_4_rate_flag_batch", flags_sql("true"))(lambda t: state.rate_flag_batch(clients(t.raw("events")), limit=2, window=86400.0))
 
 

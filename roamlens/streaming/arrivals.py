@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from roamlens.functions import text as T
 from roamlens.functions.language import language_label
@@ -62,7 +63,7 @@ def reject_repeats(known_path: str, schema: StructType) -> Callable[[DataFrame,
 
     def write(batch: DataFrame, batch_id: int) -> None:
         keyed = batch.withColumn("fingerprint", T.fingerprint(F.col("review_text"))).dropDuplicates(["fingerprint"])
-        seen = read_batches(batch.sparkSession, known_path, schema.add("batch_id", "int")).filter(F.col("batch_id") < batch_id)
+        seen = read_batches(batch.sparkSession, known_path, StructType([*schema.fields, StructField("batch_id", IntegerType())])).filter(F.col("batch_id") < batch_id)
         _append_once(keyed.join(seen.select("fingerprint"), "fingerprint", "left_anti"), known_path, batch_id)
 
     return write
@@ -85,6 +86,17 @@ def ingest(target: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def with_end(stream: DataFrame, path: str, key: str, value: str | None = None) -> DataFrame:
+    """The stream (``key``, ts and other columns) together with the end markers that arrive in a folder."""
+    marks = stream.sparkSession.readStream.schema("ts timestamp").parquet(path).withColumn(key, F.lit(value).cast(dict(stream.dtypes)[key]))
+    return stream.unionByName(marks, allowMissingColumns=True)
+
+
+def end_of_input(spark: SparkSession, path: str, after: datetime | None, margin: timedelta = timedelta(days=2)) -> None:
+    """Close a finished input: a marker later than its last event by more than any lateness, window or slot. None: there was no event."""
+    spark.createDataFrame([] if after is None else [(after + margin,)], "ts timestamp").coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def run_once(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Work through what has arrived, batch by batch, and stop."""
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

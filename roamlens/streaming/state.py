@@ -1,11 +1,14 @@
 """Keyed state in time order: submission decisions and the rate flag.
 
-Rows are held in the state store until the watermark has passed them and are then decided in time order by a timer,
-whatever order and micro-batch they came in. A row older than the watermark on arrival is late and is left out.
+Rows wait in the state store, filed by time slot, until the watermark has passed the end of their slot. Then a timer reads the slot,
+its rows are decided in time order and the slot is deleted: each row is written once and read once, however busy its key. A row older than the
+watermark on arrival is late and is left out. A finished input is closed by an end marker (``arrivals.end_of_input``), whose time moves the
+watermark past the last slot.
 """
 
 from __future__ import annotations
 
+import json
 from collections import deque
 from collections.abc import Iterator
 
@@ -14,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
+END = "\u0000end"  # the key of end markers: they move the watermark and nothing else
+
 # Which state may follow which.
 NEXT = {"pending": ["approved", "rejected"], "approved": ["approved", "rejected", "ingested"],
         "rejected": ["approved", "rejected"], "ingested": []}
@@ -25,43 +30,48 @@ FLAGGED = StructType([StructField("client", StringType()), StructField("event_id
 
 
 class InTimeOrder(StatefulProcessor):
-    """Holds the rows of a key until the watermark passes them; subclasses decide them one after another.
+    """Holds the rows of a key by time slot until the watermark passes them; subclasses decide them one after another.
 
-    ``held`` starts with the time in seconds and a tie-breaking number.
+    ``held`` starts with the time in seconds and a tie-breaking number. A slot's rows lie in parts, one per chunk that
+    arrived, so a part is never rewritten.
     """
 
     held: StructType
     out: StructType
+    slot = 60  # seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", self.held)
+        self.parts = handle.getMapState("parts", "slot bigint", "many bigint")
+        self.rows = handle.getMapState("rows", "slot bigint, part bigint", "rows string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
         for chunk in rows:
+            if key[0] == END:
+                continue
             part = chunk[[f.name for f in self.held]].astype(object).where(chunk.notna(), None)
-            self.rows.appendList([tuple(r) for r in part.itertuples(index=False)])
-            low = float(chunk["at"].min())
-            first = low if first is None else min(first, low)
-        if first is not None:
-            self.handle.registerTimer(int(first * 1000))
+            for slot, some in part.groupby((chunk["at"] // self.slot).astype("int64")):
+                slot = int(slot)
+                known = self.parts.getValue((slot,))
+                many = known[0] if known else 0
+                self.rows.updateValue((slot, many), (json.dumps(some.values.tolist()),))
+                self.parts.updateValue((slot,), (many + 1,))
+                if not known:
+                    self.handle.registerTimer((slot + 1) * self.slot * 1000)
         yield pd.DataFrame(columns=[f.name for f in self.out]).astype({f.name: "int64" for f in self.out if isinstance(f.dataType, LongType)})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        rows = sorted((tuple(r) for r in self.rows.get()), key=lambda r: r[:2])
-        ready = [r for r in rows if r[0] * 1000 < passed]
-        left = rows[len(ready):]
-        if left:
-            self.rows.put(left)
-            self.handle.registerTimer(int(left[0][0] * 1000))
-        else:
-            self.rows.clear()
-        if ready:
+        slot = expiredTimerInfo.getExpiryTimeInMs() // (self.slot * 1000) - 1
+        known, ready = self.parts.getValue((slot,)), []
+        for part in range(known[0] if known else 0):
+            ready += json.loads(self.rows.getValue((slot, part))[0])
+            self.rows.removeKey((slot, part))
+        if known:
+            self.parts.removeKey((slot,))
+            ready.sort(key=lambda r: r[:2])
             yield pd.DataFrame(self.decide(key[0], ready), columns=[f.name for f in self.out])
 
-    def decide(self, key: str, rows: list[tuple]) -> list[tuple]:
+    def decide(self, key: str, rows: list[list]) -> list[tuple]:
         raise NotImplementedError
 
     def close(self) -> None:
@@ -97,7 +107,7 @@ class Decisions(InTimeOrder):
         return out
 
 
-def decide(decisions: DataFrame, late: str = "0 seconds") -> DataFrame:
+def decide(decisions: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Outcome of every decision (submission_id, seq, state, decided_by, reason, ts) of a stream, in time order."""
     use_rocksdb(decisions)
     rows = decisions.withWatermark("ts", late).selectExpr(
@@ -142,7 +152,7 @@ class RateFlag(InTimeOrder):
         return out
 
 
-def rate_flag(events: DataFrame, limit: int = 5, window: float = 3600.0, late: str = "0 seconds") -> DataFrame:
+def rate_flag(events: DataFrame, limit: int = 5, window: float = 3600.0, late: str = "10 minutes") -> DataFrame:
     """Accepted or refused for every event (client, event_id, ts) of a stream, in time order."""
     use_rocksdb(events)
     rows = events.withWatermark("ts", late).selectExpr("client", "ts", "CAST(unix_micros(ts) AS double) / 1000000 AS at", "CAST(event_id AS bigint) AS event_id")
