@@ -13,7 +13,8 @@ hashes of the ids, so reruns agree. Leaves come from a hash of the document, so
 leaves as its rows need.
 
 Null texts have no words and are taken 0 times. A null source is a source; null ids, repeated rows and ties are
-separate documents. Extra columns are ignored. An empty table gives no rows.
+separate documents. A very long text is counted whole. Extra columns are ignored. An empty table gives no rows. The sources are ordered in one task with one row each, which
+holds for some millions of sources, not for one source per document.
 """
 
 from __future__ import annotations
@@ -84,7 +85,7 @@ def targets(sources: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken for every document."""
+    """doc_id, source, size, source_size, target, taken and copies for every document."""
     sized = stored(keyed(docs, "source").select(
         "doc_id", "_d", "_t", F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
@@ -110,8 +111,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     last = F.when(F.expr(uniform("item._d", "item._t", "rank")) * F.col("item.size") < F.col("item.m"), 1).otherwise(0)
     done = done.unionByName(left.select("rank", "item.doc_id", "item.size", (F.col("item.base") + last).alias("copies")))
     return done.join(small_broadcast(sources.drop("n", "weight"), known), "rank").select(
-        "doc_id", "source", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"),
-        (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+        "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"),
+        F.col("copies").cast("int").alias("copies"))
 
 
 def query(spark, folder: str) -> DataFrame:
