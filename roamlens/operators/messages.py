@@ -24,22 +24,58 @@ def _tokens(col):
     return F.array_except(_words(col, 2), stop)
 
 
-def place_matches(messages: DataFrame, stats: DataFrame) -> DataFrame:
-    """Places a message names: score 100 for the full name or its part before a bracket,
-    else the number of shared words longer than three letters."""
+def full_names(messages: DataFrame, stats: DataFrame) -> DataFrame:
+    """Places whose name, or its part before a bracket, stands in the message: score 100."""
     m = messages.select(F.col("message_id").alias("id"), F.lower("message").alias("text"))
     names = stats.select("place_id", F.lower("place_name").alias("n"))
     forms = names.select("place_id", F.explode(F.array_distinct(F.array(
         F.col("n"), F.trim(F.element_at(F.split("n", r" \("), 1))))).alias("term")).filter("term <> ''")
     terms = forms.groupBy("term").agg(F.min("term").alias("term_id")).select("term_id", "term")
-    strong = containment_pairs(m, terms).join(forms.withColumnRenamed("term", "term_id"), "term_id").select(
+    return containment_pairs(m, terms).join(forms.withColumnRenamed("term", "term_id"), "term_id").select(
         F.col("id").alias("message_id"), "place_id").distinct().withColumn("score", F.lit(100).cast("long"))
+
+
+def place_matches(messages: DataFrame, stats: DataFrame) -> DataFrame:
+    """Places a message names: score 100 for the full name or its part before a bracket,
+    else the number of shared words longer than three letters."""
+    strong = full_names(messages, stats)
+    names = stats.select("place_id", F.lower("place_name").alias("n"))
     name_words = names.select("place_id", F.explode(_words("n", 3)).alias("w"))
     msg_words = messages.select("message_id", F.explode(_tokens("message")).alias("w"))
     weak = msg_words.join(name_words, "w").groupBy("message_id", "place_id").agg(F.count(ONE).alias("score"))
     return strong.unionByName(weak.join(strong, ["message_id", "place_id"], "left_anti"))
 
 
+def best_places(messages: DataFrame, stats: DataFrame) -> DataFrame:
+    """(message_id, place_id, n_strong): the place that a message most likely means and how many it names in full.
+
+    Order is score, reviews, id. Without a full name, places sharing two words or more are looked up under pairs of
+    words, which few places have; a place of one shared word can lead only if it leads all places of that word, so one place per word is kept. A common word
+    never meets messages with all its places.
+    """
+    order = F.struct((-F.col("score")).alias("s"), (-F.col("review_count")).alias("n"), F.col("place_id"))
+    strong = full_names(messages, stats).join(stats.select("place_id", "review_count"), "place_id").groupBy("message_id").agg(
+        F.min_by("place_id", order).alias("place_id"), F.count(ONE).alias("n_strong"))
+    names = stats.select("place_id", "review_count", F.sort_array(_words("place_name", 3)).alias("w"))
+    asked = messages.join(strong.select("message_id"), "message_id", "left_anti").select("message_id", F.sort_array(_tokens("message")).alias("w"))
+    held = names.select(F.explode("w").alias("x")).distinct()
+    known = asked.select("message_id", F.explode("w").alias("x")).join(held, "x").groupBy("message_id").agg(F.sort_array(F.collect_set("x")).alias("w"))
+
+    def pairs(w):
+        return F.explode(F.flatten(F.transform(w, lambda a, i: F.transform(F.slice(w, i + 2, F.size(w)), lambda b: F.concat_ws(" ", a, b)))))
+
+    two = known.select("message_id", pairs(F.col("w")).alias("k")).join(names.select("place_id", "review_count", pairs(F.col("w")).alias("k")), "k")
+    # n words in common are n (n - 1) / 2 pairs.
+    several = two.groupBy("message_id", "place_id", "review_count").agg(F.count(ONE).alias("p")).withColumn(
+        "score", ((1 + F.sqrt(1 + 8 * F.col("p"))) / 2).cast("long"))
+    top = names.select("place_id", "review_count", F.explode("w").alias("x")).groupBy("x").agg(
+        F.min_by(F.struct("place_id", "review_count"), F.struct((-F.col("review_count")).alias("n"), F.col("place_id"))).alias("t"))
+    single = known.select("message_id", F.explode("w").alias("x")).join(top, "x").select("message_id", "t.place_id", "t.review_count", F.lit(1).cast("long").alias("score"))
+    weak = several.select("message_id", "place_id", "review_count", "score").unionByName(single).groupBy("message_id").agg(
+        F.min_by("place_id", order).alias("place_id"), F.lit(0).cast("long").alias("n_strong"))
+    return strong.unionByName(weak)
+
+
 def city_matches(messages: DataFrame, cities: DataFrame) -> DataFrame:
     m = messages.select(F.col("message_id").alias("id"), F.lower("message").alias("text"))
     terms = cities.select(F.lower("city").alias("term")).distinct().select(F.col("term").alias("term_id"), "term")
@@ -66,12 +102,9 @@ def preference_matches(messages: DataFrame, preferences: DataFrame, places: Data
 
 def tag(messages: DataFrame, stats: DataFrame, cities: DataFrame, preferences: DataFrame) -> DataFrame:
     """One row per message: intent, best place, city, leading preferences, days, pace and kind."""
-    pm = place_matches(messages, stats)
     cm = city_matches(messages, cities)
-    fm = preference_matches(messages, preferences, pm, cm, stats)
-    best = F.struct((-F.col("score")).alias("s"), (-F.col("review_count")).alias("n"), F.col("place_id"))
-    p = pm.join(stats.select("place_id", "review_count"), "place_id").groupBy("message_id").agg(
-        F.min_by("place_id", best).alias("place_id"), F.count_if(F.col("score") >= 100).alias("n_strong"))
+    fm = preference_matches(messages, preferences, full_names(messages, stats), cm, stats)
+    p = best_places(messages, stats)
     c = cm.groupBy("message_id").agg(F.min("city").alias("city"))
     # A taxonomy-sized list per message, cut to its three leading ids.
     lead = F.array_sort(F.collect_list(F.struct((-F.col("overlap")).alias("o"), F.col("preference_id").alias("p"))))

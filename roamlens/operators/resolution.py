@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roamlens.functions import similarity as S
 from roamlens.functions import text as T
 from roamlens.functions import vocab
 from roamlens.functions.language import normalize_bangla, phonetic_key, script_counts
 from roamlens.functions.tasks import walk_claims
 from roamlens.operators.alike import alike_groups
-from roamlens.operators.joins import official_form
+from roamlens.operators.joins import official_form, pair_signals, token_subset_pairs
 from roamlens.operators.links import components
 from roamlens.session import broadcast_if_small, cut_lineage, first_per_key, global_row_number
 
@@ -161,11 +162,15 @@ def merge_links(groups: DataFrame, pairs_key: str = "surface") -> DataFrame:
     rows = alike_groups(names, by).select(*by, F.col("name").alias("normalized"), hub.alias("hub"))
     star = star.unionByName(here.join(rows, [*by, "normalized"]).select("surface", "hub"))
 
-    # Reviewed spellings of one target, and the target itself when it is a surface.
+    return star.unionByName(_reviewed_links(groups)).distinct()
+
+
+def _reviewed_links(groups: DataFrame) -> DataFrame:
+    """Reviewed spellings of one target, and the target itself when it is a surface."""
     t = groups.filter("target IS NOT NULL").select("surface", _hub(F.lit("reviewed"), "entity_type", F.lower("target")).alias("hub"))
     own = groups.select("surface", _hub(F.lit("reviewed"), "entity_type", F.lower("surface")).alias("hub")).join(
         t.select("hub").distinct(), "hub", "left_semi").select("surface", "hub")
-    return star.unionByName(t).unionByName(own).distinct()
+    return t.unionByName(own)
 
 
 def _drop_one_sided(star: DataFrame, w: DataFrame) -> DataFrame:
@@ -197,6 +202,28 @@ def resolve(groups: DataFrame) -> DataFrame:
     return components(groups, merge_links(groups))
 
 
+def resolve_with_vectors(groups: DataFrame, vectors: DataFrame, threshold: float = vocab.MERGE_THRESHOLD) -> DataFrame:
+    """Clusters when a pair's score is averaged with the cosine of its vectors (surface, embedding); pairs without both keep theirs.
+
+    A cosine is one at most, so a merging pair needs a score of 2 * threshold - 1 by itself. Geography and spelling reach 0.40 of that, so its sound
+    keys or its words lie inside each other: those pairs meet under the rarest token, get all signals, and no other pair is scored. Equal to scoring all.
+    """
+    g = cut_lineage(groups)
+    unit = vectors.groupBy("surface").agg(F.first("embedding").alias("v")).select("surface", S.unit(F.col("v")).alias("u"))
+    met = None
+    for tokens in ("key_tokens", "name_tokens"):
+        side = g.filter(F.size(tokens) > 0).select(F.col("surface").alias("id"), F.transform(tokens, lambda x: F.concat("entity_type", F.lit("\u0002"), x)).alias("tokens"))
+        pairs = token_subset_pairs(side, side).filter("id <> rid").select(F.least("id", "rid").alias("a_id"), F.greatest("id", "rid").alias("b_id"))
+        met = pairs if met is None else met.unionByName(pairs)
+    cols = ["normalized", "key_tokens", "name_tokens", "bengali", "districts", "divisions"]
+    full = cut_lineage(g.join(unit, "surface", "left").select("surface", F.struct(*cols).alias("x"), "u"))
+    ends = [full.select(F.col("surface").alias(f"{c}_id"), F.col("x").alias(c), F.col("u").alias(f"{c}_u")) for c in "ab"]
+    pairs = met.distinct().join(ends[0], "a_id").join(ends[1], "b_id").withColumn("cosine", S.dot(F.col("a_u"), F.col("b_u")))
+    good = pair_signals(pairs, "cosine").filter(F.col("score") >= threshold - 1e-12)
+    links = good.select(F.explode(F.array("a_id", "b_id")).alias("surface"), _hub(F.lit("pair"), "a_id", "b_id").alias("hub"))
+    return components(g, links.unionByName(_reviewed_links(g)))
+
+
 # ---- stable ids ----------------------------------------------------------------------------------
 def _claimed(claims: DataFrame, rounds: int | None) -> tuple[DataFrame, DataFrame]:
     """(root, entity_id) decided in rounds and the claims still open: a root may take its lowest open id if no earlier root asks for it."""

@@ -30,6 +30,29 @@ def page(df: DataFrame, where: Column, order: list[Column], limit: int, offset:
     return hit.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)
 
 
+def entity_page(entities: DataFrame, evidence: DataFrame, entity_type: str | None = None, min_reviews: int = 1, division: str | None = None,
+                limit: int = 100, offset: int = 0) -> DataFrame:
+    """Entities by how many distinct reviews back them; counts combine per (entity, review) before entities are joined."""
+    per = evidence.groupBy("entity_id", "review_id").agg(F.count(ONE).alias("m"), F.bool_or(equals_ci("found_in_division", division)).alias("here"))
+    counts = per.groupBy("entity_id").agg(F.sum("m").alias("n_mentions"), F.count(ONE).alias("n_reviews"), F.bool_or("here").alias("here"))
+    rows = entities.drop("n_mentions", "n_reviews").join(counts, "entity_id", "left").fillna(0, ["n_mentions", "n_reviews"])
+    where = (F.col("n_reviews") >= min_reviews) & equals_ci("entity_type", entity_type)
+    if division is not None:
+        where = where & F.coalesce("here", F.lit(False))
+    return page(rows, where, [F.desc("n_reviews"), F.desc("n_mentions"), F.asc("canonical_name")], limit, offset).drop("here")
+
+
+def mention_page(evidence: DataFrame, entity_id: str | None = None, entity_type: str | None = None, review_id: str | None = None, language: str | None = None,
+                 found_in_place: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+    """Grounded mentions with the review each comes from, by id."""
+    where = equals_ci("entity_id", entity_id) & equals_ci("entity_type", entity_type) & equals_ci("review_id", review_id)
+    if language is not None:
+        where = where & equals_ci("language", language)
+    if found_in_place is not None:
+        where = where & F.contains(F.lower("found_in_place"), F.lit(found_in_place.lower()))
+    return page(evidence, where, [F.asc("mention_id")], limit, offset)
+
+
 # ---- containment of many terms in many texts -----------------------------------------------
 def containment_pairs(texts: DataFrame, terms: DataFrame, long_piece: int = 12) -> DataFrame:
     """(id, term_id) where the text contains the term, without comparing every pair.

@@ -214,9 +214,10 @@ def keywords(docs: DataFrame, stop_words: list[str], top_n: int = 10) -> DataFra
     all topics and A the mean number of terms per topic. Terms are counted per topic before
     anything is ranked, so a hot topic shrinks to its vocabulary on the map side.
     """
-    words = F.filter(
-        F.regexp_extract_all(F.lower("text"), F.lit(f"[{T.WORD_CHARS}]{{2,}}"), F.lit(0)),
-        lambda w: ~w.isin(*stop_words))
+    # Stop words are passed over while words are taken out of the text.
+    stop = "|".join(rf"\Q{w}\E" for w in sorted(stop_words, key=lambda w: (-len(w), w)))
+    here = f"(?<![{T.WORD_CHARS}])" + (f"(?!(?:{stop})(?![{T.WORD_CHARS}]))" if stop else "")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(f"{here}[{T.WORD_CHARS}]{{2,}}"), F.lit(0))
     two = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))),
         lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))

@@ -99,6 +99,17 @@ SELECT entity_id, rank, mention_id, surface, review_id, found_in_place, review_d
 query("ret_3_entity_found_in", """
 SELECT entity_id, found_in_place AS place_name, count(DISTINCT review_id) AS n_reviews FROM evidence WHERE found_in_place IS NOT NULL GROUP BY 1, 2
 """)(lambda t: retrieval.found_in(evidence(t)))
+EVIDENCE_COUNTS = """counted AS (SELECT e.entity_id, e.canonical_name, e.entity_type, count(v.mention_id) AS n_mentions, count(DISTINCT v.review_id) AS n_reviews,
+  coalesce(bool_or(v.found_in_division = 'ASIA'), false) AS here FROM entities e LEFT JOIN evidence v ON v.entity_id = e.entity_id GROUP BY 1, 2, 3)"""
+query("ret_1_entities_page", f"""WITH {EVIDENCE_COUNTS}, hit AS (SELECT * FROM counted WHERE n_reviews >= 2 AND upper(entity_type) = 'FOOD' AND here)
+SELECT entity_id, canonical_name, entity_type, n_reviews, n_mentions, (SELECT count(*) FROM hit) AS total FROM hit ORDER BY n_reviews DESC, n_mentions DESC, canonical_name LIMIT 30 OFFSET 5
+""")(lambda t: retrieval.entity_page(t.entities, evidence(t), entity_type="food", min_reviews=2, division="ASIA", limit=30, offset=5).select(
+    "entity_id", "canonical_name", "entity_type", "n_reviews", "n_mentions", "total"))
+query("ret_1_mentions_page", """
+WITH hit AS (SELECT * FROM evidence WHERE lower(entity_type) = 'place' AND lower(found_in_place) LIKE '%0001%')
+SELECT mention_id, entity_id, entity_type, surface, review_id, found_in_place, review_date, (SELECT count(*) FROM hit) AS total FROM hit ORDER BY mention_id LIMIT 40 OFFSET 10
+""")(lambda t: retrieval.mention_page(evidence(t), entity_type="Place", found_in_place="0001", limit=40, offset=10).select(
+    "mention_id", "entity_id", "entity_type", "surface", "review_id", "found_in_place", "review_date", "total"))
 query("res_7_merge_kinds", """
 SELECT entity_id, count(*) AS n_variants, count(DISTINCT lower(surface)) AS n_spellings, CASE WHEN count(DISTINCT lower(surface)) > 1 THEN 'substantive' ELSE 'case only' END AS kind FROM variants GROUP BY 1 HAVING count(*) > 1
 """)(lambda t: resolution.merge_kinds(t.variants))

@@ -138,6 +138,15 @@ def resolved(t: Tables):
 
 
 query("res_3_clusters")(lambda t: resolution.resolve(groups(t)))
+def surface_vectors(t: Tables):
+    """A vector for two of three surfaces, the same one for spellings that differ in case."""
+    v = t.raw("embeddings").select("vec_id", "embedding")
+    n = v.agg(F.max("vec_id") + 1).scalar()
+    at = groups(t).select("surface", F.pmod(F.crc32(F.lower("surface").cast("binary")), n).alias("vec_id")).filter("vec_id % 3 > 0")
+    return at.join(v, "vec_id").select("surface", "embedding")
+
+
+query("res_3_clusters_with_vectors")(lambda t: resolution.resolve_with_vectors(groups(t), surface_vectors(t)))
 query("res_3_case_variants_share_a_cluster", """
 WITH s AS (SELECT surface, min(entity_type) AS kind FROM mentions GROUP BY 1), d AS (SELECT DISTINCT m.surface, h.division FROM mentions m JOIN host_reviews h ON h.review_id = m.review_id)
 SELECT DISTINCT lower(surface) AS spelling, 1 AS n_clusters FROM s JOIN d USING (surface) WHERE kind = 'PLACE' GROUP BY lower(surface), division HAVING count(DISTINCT surface) > 1

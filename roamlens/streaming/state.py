@@ -38,7 +38,7 @@ class InTimeOrder(StatefulProcessor):
 
     held: StructType
     out: StructType
-    slot = 60  # seconds
+    slot = 600  # seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -46,9 +46,9 @@ class InTimeOrder(StatefulProcessor):
         self.rows = handle.getMapState("rows", "slot bigint, part bigint", "rows string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        closed = timerValues.getCurrentWatermarkInMs() // (self.slot * 1000)  # slots before this one have been decided
         for chunk in rows:
-            if key[0] == END:
-                continue
+            chunk = chunk[(chunk["at"] // self.slot >= closed) & (key[0] != END)]
             part = chunk[[f.name for f in self.held]].astype(object).where(chunk.notna(), None)
             for slot, some in part.groupby((chunk["at"] // self.slot).astype("int64")):
                 slot = int(slot)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +108,36 @@ def test_resolution_equals_all_pairs(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_resolution_with_vectors_equals_all_pairs(spark):
+    g = _groups(spark)
+    rows, rng = g.collect(), random.Random(8)
+    base = {w: [rng.gauss(0, 1) for _ in range(6)] for w in {r.surface.split()[0].lower() for r in rows}}
+    vectors = {r.surface: [x + rng.gauss(0, 0.4) for x in base[r.surface.split()[0].lower()]] for r in rows if rng.random() < 0.8}
+    parent = {r.surface: r.surface for r in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(rows, 2):
+        if a.entity_type == b.entity_type:
+            score = _score(a, b)
+            if a.surface in vectors and b.surface in vectors:
+                u, v = vectors[a.surface], vectors[b.surface]
+                score = (score + sum(x * y for x, y in zip(u, v)) / math.dist(u, [0] * 6) / math.dist(v, [0] * 6)) / 2
+            if score >= vocab.MERGE_THRESHOLD - 1e-12:
+                parent[find(b.surface)] = find(a.surface)
+    want, got = {}, {}
+    for s in parent:
+        want.setdefault(find(s), set()).add(s)
+    frame = spark.createDataFrame(list(vectors.items()), "surface string, embedding array<double>")
+    for r in resolution.resolve_with_vectors(g, frame).collect():
+        got.setdefault(r.root, set()).add(r.surface)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert 1 < len(want) < len(rows)
+
+
 def test_bcubed(spark):
     gold = spark.createDataFrame([(i, 0) for i in "abcd"], ["item", "label"])
     for clusters, recall in (([0, 0, 1, 1], 0.5), ([0, 1, 2, 3], 0.25)):

@@ -95,20 +95,20 @@ def test_rate_flag_over_micro_batches_and_batch(spark, tmp_path):
 
 
 def test_sliding_counts_as_a_stream(spark, tmp_path):
-    """The windows of a running stream with a late row that is dropped; the end marker closes the last ones."""
+    """The windows of a running stream with a late row that is dropped (two batches after the watermark passed it); the end marker closes the last ones."""
     at = lambda m: pd.Timestamp("2024-01-01", tz="UTC") + pd.Timedelta(minutes=m)
-    for k, minutes in enumerate([[0, 5, 12, 70, 71], [200, 201], [3]]):
+    for k, minutes in enumerate([[0, 5, 12, 70, 71], [200, 201], [205], [3]]):
         spark.createDataFrame(pd.DataFrame({"user_id": 1, "ts": [at(m) for m in minutes]})).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
     stream = spark.readStream.schema("user_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     marks = str(tmp_path / "end")
     arrivals.end_of_input(spark, marks, None)
     counts = arrivals.volume(arrivals.with_end(stream, marks, "user_id"), late="20 minutes", width="1 hour", slide="10 minutes", by="user_id")
-    for end in (None, at(201).to_pydatetime()):
+    for end in (None, at(205).to_pydatetime()):
         if end:
             arrivals.end_of_input(spark, marks, end)
         arrivals.drain(counts, str(tmp_path / "out"), str(tmp_path / "ck"))
     got = {(r.window_start, r.n) for r in spark.read.parquet(str(tmp_path / "out")).filter("user_id is not null").collect()}
-    kept = spark.createDataFrame(pd.DataFrame({"user_id": 1, "ts": [at(m) for m in (0, 5, 12, 70, 71, 200, 201)]}))
+    kept = spark.createDataFrame(pd.DataFrame({"user_id": 1, "ts": [at(m) for m in (0, 5, 12, 70, 71, 200, 201, 205)]}))
     assert got == {(r.window_start, r.n) for r in arrivals.volume(kept, width="1 hour", slide="10 minutes", by="user_id").collect()}
 
 
