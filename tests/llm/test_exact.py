@@ -346,14 +346,16 @@ def test_buckets_of_one_go_whatever_the_batches():
         assert got == [bytes([i]) for i in range(60) if (key == key[i]).sum() > 1]
 
 
-def test_lines_equal_brute_force_over_all_pairs(spark, make):
-    """One or two changed words anywhere, in lines of many lengths: no pair is missed."""
+@pytest.mark.parametrize("most", [8, 0.01])
+def test_lines_equal_brute_force_over_all_pairs(spark, make, monkeypatch, most):
+    """One or two changed words anywhere, in lines of many lengths: no pair is missed, also where a bucket gives a tree of pairs first."""
+    monkeypatch.setattr(lines, "PAIRS", most)
     rng = np.random.default_rng(6)
     words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(400)]
     texts = []
-    for n in np.repeat([5, 10, 20, 30, 60], 12):
+    for n in [5] * 12 + [10] * 12 + [20] * 12 + [30] * 12 + [60] * 12 + [40]:
         line = rng.choice(words, n).tolist()
-        for changed in (0, 1, 2):
+        for changed in (0, 1, 2) if n != 40 else [1] * 25:  # and one dense group
             copy = list(line)
             for at in rng.choice(n, changed, replace=False):
                 copy[at] = str(rng.choice(words))
