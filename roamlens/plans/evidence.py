@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roamlens.operators import gems, joins, resolution, retrieval, rollups
-from roamlens.plans.frames_sql import WEIGHTS, score_sql
+from roamlens.plans.frames_sql import FRAMES, WEIGHTS, score_sql
 from roamlens.plans.registry import query
 from roamlens.sources.adapters import Tables
 
@@ -205,6 +205,8 @@ WHERE visibility IN ('V0', 'V1') AND divisions ILIKE '%asia%' AND gem_score >= 0
 # ---- attributes, specialities, links ----------------------------------------------------------------
 query("agg_14_place_attributes", "SELECT * FROM attributes")(attributes)
 query("agg_15_local_specialities", "SELECT * FROM specialities")(lambda t: rollups.local_specialities(attributes(t)))
+query("agg_15_specialities_by_a_tenth", FRAMES["specialities"].replace(">= 0.6", ">= 0.1"))(
+    lambda t: rollups.local_specialities(attributes(t), min_share=0.1))
 query("agg_15_speciality_places", """
 SELECT a.entity_id, a.district, a.place_name, a.n_reviews, s.name FROM attributes a JOIN specialities s ON s.entity_id = a.entity_id AND s.district = a.district
 """)(lambda t: rollups.speciality_places(rollups.local_specialities(attributes(t)), attributes(t)))
