@@ -106,9 +106,9 @@ SELECT entity_id, canonical_name, entity_type, n_reviews, n_mentions, (SELECT co
 """)(lambda t: retrieval.entity_page(t.entities, evidence(t), entity_type="food", min_reviews=2, division="ASIA", limit=30, offset=5).select(
     "entity_id", "canonical_name", "entity_type", "n_reviews", "n_mentions", "total"))
 query("ret_1_mentions_page", """
-WITH hit AS (SELECT * FROM evidence WHERE lower(entity_type) = 'place' AND lower(found_in_place) LIKE '%0001%')
+WITH hit AS (SELECT * FROM evidence WHERE lower(entity_type) = 'place' AND lower(found_in_place) LIKE '%1 mach%')
 SELECT mention_id, entity_id, entity_type, surface, review_id, found_in_place, review_date, (SELECT count(*) FROM hit) AS total FROM hit ORDER BY mention_id LIMIT 40 OFFSET 10
-""")(lambda t: retrieval.mention_page(evidence(t), entity_type="Place", found_in_place="0001", limit=40, offset=10).select(
+""")(lambda t: retrieval.mention_page(evidence(t), entity_type="Place", found_in_place="1 MACH", limit=40, offset=10).select(
     "mention_id", "entity_id", "entity_type", "surface", "review_id", "found_in_place", "review_date", "total"))
 query("res_7_merge_kinds", """
 SELECT entity_id, count(*) AS n_variants, count(DISTINCT lower(surface)) AS n_spellings, CASE WHEN count(DISTINCT lower(surface)) > 1 THEN 'substantive' ELSE 'case only' END AS kind FROM variants GROUP BY 1 HAVING count(*) > 1

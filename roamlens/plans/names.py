@@ -207,11 +207,11 @@ query("join_12_spelling_proposals")(lambda t: joins.spelling_proposals(
 
 def listed_points(t: Tables):
     return t.raw("customer").selectExpr(
-        "c_custkey AS place_id", "CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS name", "22 + CAST(c_custkey * 37 % 3100 AS double) / 10000 AS lat",
-        "90 + CAST(c_custkey * 91 % 2350 AS double) / 10000 AS lng", "c_custkey * 13 % 500 AS review_count")
+        "c_custkey AS place_id", "CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS name", "22 + CAST(c_custkey * c_custkey * 37 % 3100 AS double) / 10000 AS lat",
+        "90 + CAST(c_custkey * c_custkey * c_custkey % 2350 AS double) / 10000 AS lng", "c_custkey * 13 % 500 AS review_count")
 
 
-NEAR_SQL = """pts AS MATERIALIZED (SELECT c_custkey AS place_id, radians(22 + (c_custkey * 37 % 3100)::DOUBLE / 10000) AS lat, radians(90 + (c_custkey * 91 % 2350)::DOUBLE / 10000) AS lng FROM customer),
+NEAR_SQL = """pts AS MATERIALIZED (SELECT c_custkey AS place_id, radians(22 + (c_custkey * c_custkey * 37 % 3100)::DOUBLE / 10000) AS lat, radians(90 + (c_custkey * c_custkey * c_custkey % 2350)::DOUBLE / 10000) AS lng FROM customer),
 near AS (SELECT a.place_id AS a_place_id, b.place_id AS b_place_id, 2 * 6371000.0 * asin(sqrt(pow(sin((b.lat - a.lat) / 2), 2) + cos(a.lat) * cos(b.lat) * pow(sin((b.lng - a.lng) / 2), 2))) AS metres
   FROM pts a JOIN pts b ON a.place_id < b.place_id AND abs(a.lat - b.lat) < 0.0001)"""
 query("join_13_nearby_places", f"WITH {NEAR_SQL} SELECT a_place_id, b_place_id, round(metres, 3) AS metres FROM near WHERE metres <= 400")(
