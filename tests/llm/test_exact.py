@@ -346,10 +346,11 @@ def test_buckets_of_one_go_whatever_the_batches():
         assert got == [bytes([i]) for i in range(60) if (key == key[i]).sum() > 1]
 
 
-@pytest.mark.parametrize("most", [8, 0.01])
-def test_lines_equal_brute_force_over_all_pairs(spark, make, monkeypatch, most):
+@pytest.mark.parametrize("most, held", [(8, lines.HELD), (0.01, lines.HELD), (8, 10)])
+def test_lines_equal_brute_force_over_all_pairs(spark, make, monkeypatch, most, held):
     """One or two changed words anywhere, in lines of many lengths: no pair is missed, also where a bucket gives a tree of pairs first."""
     monkeypatch.setattr(lines, "PAIRS", most)
+    monkeypatch.setattr(lines, "HELD", held)
     rng = np.random.default_rng(6)
     words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(400)]
     texts = []
