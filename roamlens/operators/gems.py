@@ -12,7 +12,7 @@ from roamlens.functions import vocab
 from roamlens.functions.language import script_shares
 from roamlens.functions.similarity import half_even
 from roamlens.operators.joins import recent_bound
-from roamlens.session import broadcast_if_small, first_per_key
+from roamlens.session import broadcast_if_measured, broadcast_if_small, first_per_key
 
 ONE = "*"  # counted rows
 TERMS = list(vocab.GEM_WEIGHTS)
@@ -86,14 +86,17 @@ def term_sentiment(mentions: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Mean sentence tone over Latin-script sentences, scaled to 0..1.
 
     A sentence's tone is x / sqrt(x * x + 15) for the summed weights x of its words. Equal
-    sentences of one entity are scored once and weighted by how often they occur.
+    sentences of one entity are scored once and weighted by how often they occur; a sentence
+    is sent to one task, looked at once, and meets the weights there.
     """
-    said = mentions.filter("entity_id IS NOT NULL").withColumn("s", T.strip(F.coalesce("sentence", F.lit("")))).filter("s <> ''")
-    said = said.filter(script_shares(F.col("s"))[1] >= vocab.LATIN_SENTENCE_SHARE)
-    uses = said.groupBy("entity_id", "s").agg(F.count(ONE).alias("times"))
-    words = uses.select("s").distinct().select("s", F.explode(F.regexp_extract_all(F.lower("s"), F.lit(r"[\p{L}']+"), F.lit(0))).alias("w"))
-    x = words.join(broadcast_if_small(lexicon.select(F.col("word").alias("w"), "weight")), "w").groupBy("s").agg(F.sum("weight").alias("x"))
-    tone = uses.join(x, "s", "left").fillna(0.0, ["x"]).withColumn("c", F.col("x") / F.sqrt(F.col("x") * F.col("x") + 15))
+    said = mentions.filter("entity_id IS NOT NULL").groupBy("entity_id", "sentence").agg(F.count(ONE).alias("times"))
+    part = F.transform(F.array(T.strip(F.coalesce("sentence", F.lit("")))), lambda s: F.when(
+        (s != "") & (script_shares(s)[1] >= vocab.LATIN_SENTENCE_SHARE), F.regexp_extract_all(F.lower(s), F.lit(r"[\p{L}']+"), F.lit(0))))[0]
+    words = said.select("entity_id", "sentence", "times", F.explode(F.array(part)).alias("ws")).filter("ws IS NOT NULL").select(
+        "entity_id", "sentence", "times", F.explode_outer("ws").alias("w"))
+    known = broadcast_if_measured(lexicon.select(F.col("word").alias("w"), "weight"))
+    x = words.join(known, "w", "left").groupBy("entity_id", "sentence", "times").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("x"))
+    tone = x.withColumn("c", F.col("x") / F.sqrt(F.col("x") * F.col("x") + 15))
     return tone.groupBy("entity_id").agg(
         ((F.sum(F.col("c") * F.col("times")) / F.sum("times") + 1) / 2).alias("term_sentiment"), F.sum("times").alias("n_sentiment_sentences"))
 
