@@ -101,44 +101,83 @@ def term_sentiment(mentions: DataFrame, lexicon: DataFrame) -> DataFrame:
         ((F.sum(F.col("c") * F.col("times")) / F.sum("times") + 1) / 2).alias("term_sentiment"), F.sum("times").alias("n_sentiment_sentences"))
 
 
-def term_weights(docs: DataFrame, stop_words: list[str]) -> DataFrame:
-    """Unit-length TF-IDF rows (doc, term, w) of (doc, text).
-
-    tf = 1 + ln(count), idf = ln((1 + n) / (1 + df)) + 1, words of two or more characters.
-    Equal texts are weighed once by giving each distinct text one id.
-    """
+def _words(text: Column, stop_words: list[str]) -> Column:
     stop = F.array(*[F.lit(s) for s in stop_words])
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(f"[{T.WORD_CHARS}]{{2,}}"), F.lit(0)), lambda w: ~F.array_contains(stop, w))
-    tf = docs.select("doc", F.explode(words).alias("term")).groupBy("doc", "term").agg(F.count(ONE).alias("c"))
-    n = docs.agg(F.count(ONE)).scalar()
-    df = tf.groupBy("term").agg(F.count(ONE).alias("df"))
-    raw = tf.join(df, "term").withColumn("w", (1 + F.ln("c")) * (F.ln((1 + n) / (1 + F.col("df"))) + 1))
-    norm = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("w"))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(f"[{T.WORD_CHARS}]{{2,}}"), F.lit(0)), lambda w: ~F.array_contains(stop, w))
+
+
+def _raw_weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    return counts.join(idf, "term").withColumn("w", (1 + F.ln("c")) * F.col("idf")).drop("c", "idf")
+
+
+def _marked(docs: DataFrame, ids: DataFrame, column: str, mark: str) -> DataFrame:
+    """Rows whose id is in the (hashed) ids are marked; an equal hash only sends a document the longer way."""
+    return docs.join(ids.withColumnRenamed("h", f"_{mark}"), F.xxhash64(F.col(column).cast("string")) == F.col(f"_{mark}"), "left").withColumn(
+        mark, F.col(f"_{mark}").isNotNull()).drop(f"_{mark}")
 
 
 def term_distinct(mentions: DataFrame, reviews: DataFrame, stop_words: list[str]) -> DataFrame:
     """Mean of 1 - cosine between a mention's sentence and the centre of its host place.
 
-    ``reviews``: review_id, place_name, review_text; ``mentions``: mention_id, entity_id,
-    review_id, sentence. A place's centre is summed per (place, term) before any join, so a
-    place with most of the reviews shrinks to its vocabulary.
+    ``reviews``: review_id, place_name, review_text; ``mentions``: mention_id, entity_id, review_id, sentence. Both are weighed
+    as one corpus by unit-length TF-IDF: tf = 1 + ln(count), idf = ln((1 + n) / (1 + df)) + 1, words of two or more characters.
+
+    A mention is sent to its review and then to the rows of its entity, place and sentence; equal ones are weighed once, and its words
+    are counted, weighed and compared where it lies. A place's centre is summed per (place, term). Rows that share an id
+    are one document; only these are gathered by id.
     """
-    docs = reviews.select(F.concat(F.lit("r"), F.col("review_id").cast("string")).alias("doc"), F.col("review_text").alias("text")).unionByName(
-        mentions.select(F.concat(F.lit("m"), "mention_id").alias("doc"), F.col("sentence").alias("text")))
-    w = term_weights(docs, stop_words)
-    host = reviews.select("review_id", "place_name", F.concat(F.lit("r"), F.col("review_id").cast("string")).alias("doc"))
-    size = host.groupBy("place_name").agg(F.count(ONE).alias("n_rows"))
-    centre = w.join(host.select("doc", "place_name"), "doc").groupBy("place_name", "term").agg(F.sum("w").alias("cw"))
-    length = centre.join(size, "place_name").groupBy("place_name").agg(
-        F.sqrt(F.sum(F.pow(F.col("cw") / F.col("n_rows"), 2))).alias("clen"), F.first("n_rows").alias("n_rows"))
-    m = mentions.filter("trim(sentence) <> ''").select(
-        "mention_id", "entity_id", "review_id", F.concat(F.lit("m"), "mention_id").alias("doc")).join(host.select("review_id", "place_name"), "review_id")
-    dots = m.select("doc", "place_name").join(w, "doc").join(centre, ["place_name", "term"]).groupBy("doc").agg(F.sum(F.col("w") * F.col("cw")).alias("d"))
-    cos = F.coalesce(F.col("d") / F.col("n_rows") / F.col("clen"), F.lit(0.0))
-    one = m.join(length, "place_name").join(dots, "doc", "left").withColumn(
-        "v", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - cos)))
-    return one.groupBy("entity_id").agg(F.avg("v").alias("term_distinct"))
+    again = lambda df, c: broadcast_if_measured(df.groupBy(F.xxhash64(F.col(c).cast("string")).alias("h")).agg(F.count(ONE).alias("n")).filter("n > 1").select("h"))
+    r_again, m_again = again(reviews, "review_id"), again(mentions, "mention_id")
+    r = _marked(reviews.select(F.concat(F.lit("r"), F.col("review_id").cast("string")).alias("doc"), "review_id", "place_name",
+                               F.col("review_text").alias("text")), r_again, "review_id", "odd")
+    m = _marked(_marked(mentions.select(F.concat(F.lit("m"), "mention_id").alias("doc"), "entity_id", "review_id", F.col("sentence").alias("text"), "mention_id"),
+                        m_again, "mention_id", "m_odd"), r_again, "review_id", "r_odd").withColumn("odd", F.col("m_odd") | F.col("r_odd")).drop("mention_id", "m_odd", "r_odd")
+    odd = lambda df: df.filter(F.col("odd") | F.col("doc").isNull())
+    plain = lambda df: df.filter(~F.col("odd") & F.col("doc").isNotNull())
+    words = lambda df, *keys: df.select(*keys, F.explode(_words(F.col("text"), stop_words)).alias("term"))
+
+    size_of = lambda df, c: df.agg(F.count(ONE).alias("n"), F.count_if(F.col(c).isNull()).alias("blank")).first()
+    rows = [size_of(reviews, "review_id"), size_of(mentions, "mention_id")]  # two numbers each
+    n, all_plain = sum(x.n for x in rows), not any(x.blank for x in rows) and r_again.isEmpty() and m_again.isEmpty()
+
+    # document frequencies over both kinds; rows of one id count once
+    shared = words(odd(r), "doc").unionByName(words(odd(m), "doc"))
+    alone = lambda df: plain(df).select(F.explode(F.array_distinct(_words(F.col("text"), stop_words))).alias("term"))
+    held = alone(r).unionByName(alone(m))
+    df = (held if all_plain else held.unionByName(shared.distinct().select("term"))).groupBy("term").agg(F.count(ONE).alias("df"))
+    idf = broadcast_if_measured(df.select("term", (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")))
+
+    # documents of shared ids: weights by id
+    raw = _raw_weights(shared.groupBy("doc", "term").agg(F.count(ONE).alias("c")), idf)
+    w = raw.join(raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("w"))
+
+    # centres
+    text = ["place_name", "text"]
+    hosts = plain(r).groupBy(*text).agg(F.count(ONE).alias("k"))
+    said = _raw_weights(words(hosts, *text, "k").groupBy(*text, "k", "term").agg(F.count(ONE).alias("c")), idf)
+    unit = said.groupBy(*text, "k").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("ws"))
+    unit = unit.select("place_name", "k", "norm", F.inline("ws")).select("place_name", "term", (F.col("k") * F.col("w") / F.col("norm")).alias("w"))
+    if not all_plain:
+        unit = unit.unionByName(odd(r).select("doc", "place_name").join(w, "doc").select("place_name", "term", "w"))
+    centre = broadcast_if_measured(unit.filter("place_name IS NOT NULL").groupBy("place_name", "term").agg(F.sum("w").alias("cw")))
+    size = reviews.groupBy("place_name").agg(F.count(ONE).alias("n_rows"))
+    length = broadcast_if_measured(centre.join(size, "place_name").groupBy("place_name").agg(
+        F.sqrt(F.sum(F.pow(F.col("cw") / F.col("n_rows"), 2))).alias("clen"), F.first("n_rows").alias("n_rows")))
+    far = lambda d: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce(d / F.col("n_rows") / F.col("clen"), F.lit(0.0))))
+
+    # mentions with an id and a review of their own
+    keys = ["entity_id", "place_name", "text"]
+    one = plain(m).filter("trim(text) <> ''").join(plain(r).select("review_id", "place_name"), "review_id").groupBy(*keys).agg(F.count(ONE).alias("k"))
+    terms = one.select(*keys, "k", F.explode_outer(_words(F.col("text"), stop_words)).alias("term")).groupBy(*keys, "k", "term").agg(F.count(ONE).alias("c"))
+    x = terms.join(idf, "term", "left").withColumn("w", (1 + F.ln("c")) * F.col("idf")).join(centre, ["place_name", "term"], "left")
+    dots = x.groupBy(*keys, "k").agg((F.sum(F.col("w") * F.col("cw")) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("d"))
+    v = dots.join(length, "place_name").select("entity_id", (far(F.col("d")) * F.col("k")).alias("v"), "k")
+
+    if not all_plain:  # the rest, gathered by id
+        o = odd(m).filter("trim(text) <> ''").select("doc", "entity_id", "review_id").join(r.select("review_id", "place_name"), "review_id")
+        d = o.select("doc", "place_name").join(w, "doc").join(centre, ["place_name", "term"]).groupBy("doc").agg(F.sum(F.col("w") * F.col("cw")).alias("d"))
+        v = v.unionByName(o.join(length, "place_name").join(d, "doc", "left").select("entity_id", far(F.col("d")).alias("v"), F.lit(1).cast("long").alias("k")))
+    return v.groupBy("entity_id").agg((F.sum("v") / F.sum("k")).alias("term_distinct"))
 
 
 # ---- score ---------------------------------------------------------------------------------------

@@ -28,3 +28,45 @@ def test_sentences_are_read_and_scored_once(spark):
             said[e].append(x / math.sqrt(x * x + 15))
     want = {e: (round((sum(c) / len(c) + 1) / 2, 9), len(c)) for e, c in said.items()}
     assert {r.entity_id: (round(r.term_sentiment, 9), r.n_sentiment_sentences) for r in got.collect()} == want
+
+
+def distances(mentions, reviews, stop):
+    """term_distinct by plain Python; rows that share an id are one document."""
+    words = lambda t: [w for w in re.findall(r"\w{2,}", (t or "").lower()) if w not in stop]
+    doc = lambda side, i: (side, i) if i is not None else (None, None)
+    tf = defaultdict(Counter)
+    for side, i, text in [("r", r[0], r[2]) for r in reviews] + [("m", m[0], m[3]) for m in mentions]:
+        tf[doc(side, i)].update(words(text))
+    df, n = Counter(w for c in tf.values() for w in c), len(reviews) + len(mentions)
+    unit = {}
+    for d, c in tf.items():
+        raw = {w: (1 + math.log(k)) * (math.log((1 + n) / (1 + df[w])) + 1) for w, k in c.items()}
+        norm = math.sqrt(sum(x * x for x in raw.values()))
+        unit[d] = {w: x / norm for w, x in raw.items()} if d[1] is not None else {}
+    centre, size = defaultdict(Counter), Counter(p for _, p, _ in reviews)
+    for i, p, _ in reviews:
+        for w, x in unit[doc("r", i)].items():
+            centre[p][w] += x
+    rows = [(i, e, p) for i, e, r, text in mentions if (text or "").strip() for q, p, _ in reviews if r is not None and q == r and p is not None and centre[p]]
+    dots = Counter()
+    for i, _, p in rows:
+        dots[i] += sum(x * centre[p][w] for w, x in unit[doc("m", i)].items())
+    out = defaultdict(list)
+    for i, e, p in rows:
+        length = math.sqrt(sum((x / size[p]) ** 2 for x in centre[p].values()))
+        out[e].append(max(0.0, min(1.0, 1 - (dots[i] if i is not None else 0) / size[p] / length)))
+    return {e: round(sum(v) / len(v), 9) for e, v in out.items()}
+
+
+def test_distances_with_and_without_shared_ids(spark):
+    reviews = [("1", "p", "red tea and tea"), ("2", "p", "green tea"), ("3", "q", "old fort"), ("4", None, "lost place"), ("5", "q", None), ("6", "s", "")]
+    mentions = [("a", "x", "1", "red tea"), ("b", "x", "2", "red tea"), ("c", "x", "3", "the fort the fort"), ("d", "y", "1", "red tea"), ("e", "y", "4", "lost"),
+                ("f", "y", "9", "no review"), ("g", "z", "5", "and the"), ("h", "z", "1", " "), ("i", None, "2", "green"), ("j", "w", None, "green"), ("k", "w", "6", "old")]
+    odd_reviews = [*reviews, ("1", "p", "more tea"), ("2", "q", "green fort"), (None, "p", "tea"), (None, "q", "tea fort")]
+    odd_mentions = [*mentions, ("a", "x", "1", "red tea"), ("b", "y", "3", "old fort"), (None, "x", "1", "tea"), (None, "y", "3", "tea")]
+    for m, r in ((mentions, reviews), (odd_mentions, odd_reviews)):
+        got = gems.term_distinct(spark.createDataFrame(m, "mention_id string, entity_id string, review_id string, sentence string"),
+                                 spark.createDataFrame(r, "review_id string, place_name string, review_text string"), ["the", "and"])
+        if m is mentions and r is reviews:
+            assert not re.findall(r"Join \w+, \(doc#", plan_of(got))  # no row per mention and word is sent when ids are unique
+        assert {x.entity_id: round(x.term_distinct, 9) for x in got.collect()} == distances(m, r, ["the", "and"])
