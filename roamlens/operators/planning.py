@@ -14,6 +14,25 @@ from roamlens.session import broadcast_if_small, cut_lineage, top_per_key
 ONE = "*"  # counted rows
 
 
+def alike(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests that differ only in their id as one row with an id of its own, and which request has which (plan_id).
+
+    There are as many of them as different wishes, however many ask. Rows that share a request_id stay as they are.
+    """
+    fields = [c for c in requests.columns if c != "request_id"]
+    key = F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
+    keyed = cut_lineage(requests.withColumn("n", F.count(ONE).over(Window.partitionBy("request_id"))).withColumn(
+        "plan_id", F.when(F.col("request_id").isNotNull(), F.when(F.col("n") == 1, key).otherwise(F.concat(F.lit("="), F.col("request_id"))))))
+    rows = lambda df: df.select(F.col("plan_id").alias("request_id"), *fields)
+    one = F.col("request_id").isNotNull() & (F.col("n") == 1)
+    return rows(keyed.filter(one)).dropDuplicates(["request_id"]).unionByName(rows(keyed.filter(~one))), keyed.select("request_id", "plan_id").distinct()
+
+
+def for_each(planned: DataFrame, members: DataFrame) -> DataFrame:
+    """What was planned for equal requests, for every request."""
+    return planned.withColumnRenamed("request_id", "_plan").join(members, F.col("_plan").eqNullSafe(F.col("plan_id"))).select(*planned.columns)
+
+
 def _ask(requests: DataFrame) -> DataFrame:
     return requests.select(
         "request_id", "wanted", "city", "division", F.lit("attraction").alias("place_kind"), "exclude_cities",

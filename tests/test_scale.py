@@ -7,7 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 from roamlens.functions import vocab
-from roamlens.operators import gems
+from roamlens.operators import gems, planning
 
 
 def plan_of(df) -> str:
@@ -70,3 +70,18 @@ def test_distances_with_and_without_shared_ids(spark):
         if m is mentions and r is reviews:
             assert not re.findall(r"Join \w+, \(doc#", plan_of(got))  # no row per mention and word is sent when ids are unique
         assert {x.entity_id: round(x.term_distinct, 9) for x in got.collect()} == distances(m, r, ["the", "and"])
+
+
+def test_equal_trips_are_planned_once(spark):
+    wish = "request_id string, days int, pace string, wanted array<string>, city string, division string, exclude_cities array<string>, min_reviews int, max_regions int"
+    a, b = (2, "standard", ["P1"], None, None, [], 1, None), (1, "packed", [], None, "d1", [], 1, None)
+    asked = [("1", *a), ("2", *a), ("3", *b), ("4", *a), ("5", *b), ("5", *b), (None, *a)]
+    requests = spark.createDataFrame(asked, wish)
+    stats = spark.createDataFrame([(i, f"n{i}", f"c{i % 2}", f"s{i % 3}", f"d{i % 2}", "sight", "attraction", i + 1, i % 5 + 0.5) for i in range(9)],
+                                  "place_id long, place_name string, city string, district string, division string, category string, place_kind string, review_count long, avg_review_rating double")
+    venue = spark.createDataFrame([(i, "P1", i // 2 + 1) for i in range(0, 9, 2)], "place_id long, preference_id string, review_count long")
+    wishes, members = planning.alike(requests)
+    assert wishes.count() == 2 + 2 + 1  # two wishes, a repeated id, a null id
+    got = planning.for_each(planning.regions(planning.candidates(wishes, stats, venue)), members)
+    want = planning.regions(planning.candidates(requests, stats, venue))
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
