@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 
 
@@ -25,6 +28,32 @@ def indel(a: str, b: str) -> float:
     return 100.0 if total == 0 else 200.0 * _lcs(a, b) / total
 
 
+def lcs_rows(left: list[str], right: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """(place in ``left``, longest common subsequence lengths with all of ``right``), in the order of the sorted names.
+
+    One 64-bit row per right name and all of them at once; what a name shares with the start of the one before is kept.
+    Names of more than 64 characters are compared one by one.
+    """
+    short = np.array([len(x) <= 64 for x in right], dtype=bool)
+    full = np.array([(1 << len(x)) - 1 if ok else 0 for x, ok in zip(right, short)], dtype=np.uint64)
+    where: dict[str, np.ndarray] = {}
+    for j in np.flatnonzero(short):
+        for i, ch in enumerate(right[j]):
+            where.setdefault(ch, np.zeros(len(right), np.uint64))[j] |= np.uint64(1 << i)
+    none, rows, before = np.zeros(len(right), np.uint64), [full], ""
+    for at in sorted(range(len(left)), key=left.__getitem__):
+        name = left[at]
+        same = next((k for k, (x, y) in enumerate(zip(name, before)) if x != y), min(len(name), len(before)))
+        del rows[same + 1 :]
+        for ch in name[same:]:
+            hit = rows[-1] & where.get(ch, none)
+            rows.append(((rows[-1] + hit) | (rows[-1] - hit)) & full)
+        before, length = name, np.bitwise_count(~rows[-1] & full).astype(np.int64)
+        for j in np.flatnonzero(~short):
+            length[j] = _lcs(name, right[j])
+        yield at, length
+
+
 def token_set(a: str, b: str) -> float:
     """Best indel ratio among the shared words and the shared words plus each rest."""
     left, right = set(a.split()), set(b.split())

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from roamlens.functions import similarity as S
 from roamlens.functions import text as T
 from roamlens.functions import vocab
-from roamlens.operators.joins import bigram_candidates
+from roamlens.operators.joins import closest, sparse_candidates
 from roamlens.operators.links import components
 from roamlens.operators.retrieval import containment_pairs
 from roamlens.session import broadcast_if_small, cut_lineage, top_per_key
@@ -144,11 +144,15 @@ def name_suggestions(unmatched: DataFrame, listed: DataFrame) -> DataFrame:
     """Up to two listed names most alike an unmatched one: indel ratio, 0.85 at least where one contains the other, from 0.6 on.
 
     First contained names and, by letter pairs, all with a ratio of ``SURE`` or more. A name that has two of
-    these is done, as no other can be more alike; the rest is looked up by letters down to 0.6. No name meets the whole list, and equal to comparing all.
+    these is done, as no other can be more alike; the rest is looked up by letters down to 0.6. Names that are alike as a family
+    are compared block by block instead. Equal to comparing all.
     """
     names = cut_lineage(listed.select(T.norm_name(F.col("name")).alias("id")).filter("id <> ''").distinct().withColumn("key", F.col("id")))
     base = cut_lineage(unmatched.select("place_name", T.norm_name(F.col("place_name")).alias("key")).filter("key <> ''"))
-    asked = base.select(F.col("key").alias("id"), "key").distinct()
+    asked = cut_lineage(base.select(F.col("key").alias("id"), "key").distinct())
+    pairs = sparse_candidates(asked, names, SURE)
+    if pairs is None:
+        return _suggested(base, closest(asked, names, 100 * vocab.NAME_SUGGEST, 2, contained=85.0).withColumn("similarity", F.col("similarity") / 100))
     text, term = (lambda df: df.select("id", F.col("key").alias("text"))), (lambda df: df.select(F.col("id").alias("term_id"), F.col("key").alias("term")))
     inside = containment_pairs(text(names), term(asked)).select(F.col("term_id").alias("lid"), F.col("id").alias("rid")).unionByName(
         containment_pairs(text(asked), term(names)).select(F.col("id").alias("lid"), F.col("term_id").alias("rid"))).distinct()
@@ -158,10 +162,14 @@ def name_suggestions(unmatched: DataFrame, listed: DataFrame) -> DataFrame:
         ratio = pairs.withColumn("ratio", S.indel_ratio("lid", "rid") / 100)
         return ratio.select("lid", "rid", F.when(holds, F.greatest("ratio", F.lit(0.85))).otherwise(F.col("ratio")).alias("similarity"))
 
-    near = cut_lineage(scored(bigram_candidates(asked, names, SURE).unionByName(inside).distinct()).filter(F.col("similarity") >= SURE))
+    near = cut_lineage(scored(pairs.unionByName(inside).distinct()).filter(F.col("similarity") >= SURE))
     done = near.groupBy("lid").agg(F.count(ONE).alias("n")).filter("n > 1").select(F.col("lid").alias("id"))
     rest = asked.join(done, "id", "left_anti")
     far = scored(letter_candidates(rest, names, F.lit(vocab.NAME_SUGGEST))).filter((F.col("similarity") >= vocab.NAME_SUGGEST) & (F.col("similarity") < SURE))
     top = top_per_key(near.unionByName(far), ["lid"], [F.desc("similarity"), F.asc("rid")], 2)
+    return _suggested(base, top)
+
+
+def _suggested(base: DataFrame, top: DataFrame) -> DataFrame:
     return base.join(top.withColumnRenamed("lid", "key"), "key").select(
         "place_name", "rank", F.bround("similarity", 2).alias("similarity"), F.col("rid").alias("suggestion"))

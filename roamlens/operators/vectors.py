@@ -31,16 +31,23 @@ def over_blocks(left: DataFrame, right: DataFrame, emit: Callable[[pa.Table, pa.
     Both sides hold ``id`` and ``u``, an array of doubles, and may hold more columns. Scores are dot products, one row per
     left row. A side without rows gives no rows.
     """
-    many = [max(1, -(-side.count() // block)) for side in (left, right)]
-    dealt = [side.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(
-        other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-        for side, own, other, n, m in ((left, "lb", "rb", many[0], many[1]), (right, "rb", "lb", many[1], many[0]))]
-
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return emit(a.slice(0, 0), b.slice(0, 0), np.zeros((0, 0)))
         return emit(a, b, _matrix(a.column("u")) @ _matrix(b.column("u")).T)
 
+    return each_pair_of_blocks(left, right, meet, schema, block)
+
+
+def each_pair_of_blocks(left: DataFrame, right: DataFrame, meet: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int = BLOCK,
+                        tasks: int | None = None) -> DataFrame:
+    """What ``meet`` (left rows, right rows) returns for every pair of blocks; at most ``tasks`` tasks whatever the bytes, where given."""
+    many = [max(1, -(-side.count() // block)) for side in (left, right)]
+    dealt = [side.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(
+        other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+        for side, own, other, n, m in ((left, "lb", "rb", many[0], many[1]), (right, "rb", "lb", many[1], many[0]))]
+    if tasks:
+        dealt = [side.repartition(min(many[0] * many[1], tasks), "lb", "rb") for side in dealt]
     return dealt[0].groupBy("lb", "rb").cogroup(dealt[1].groupBy("lb", "rb")).applyInArrow(meet, schema)
 
 

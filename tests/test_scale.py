@@ -7,7 +7,8 @@ import re
 from collections import Counter, defaultdict
 
 from roamlens.functions import vocab
-from roamlens.operators import gems, planning
+from roamlens.functions.tasks import indel
+from roamlens.operators import alike, gems, joins, planning
 
 
 def plan_of(df) -> str:
@@ -85,3 +86,20 @@ def test_equal_trips_are_planned_once(spark):
     got = planning.for_each(planning.regions(planning.candidates(wishes, stats, venue)), members)
     want = planning.regions(planning.candidates(requests, stats, venue))
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_numbered_names_are_compared_in_blocks(spark):
+    listed = [f"stall number {i:04}" for i in range(70)] + ["stall", "x" * 80, "stall number 0001 " + "y" * 60]
+    asked = [f"stall nmber {i:04}x" for i in range(0, 140, 2)] + ["x" * 79, "stall number 0001 " + "y" * 59, "number 00", "এক"]
+    best = {}
+    for a in asked:
+        scored = [(-max(indel(a, b) / 100, 0.85 if a in b or b in a else 0.0), b) for b in listed]
+        best[a] = sorted(x for x in scored if -x[0] >= vocab.NAME_SUGGEST)[:2]
+    frame = lambda v, c: spark.createDataFrame([(x,) for x in v], f"{c} string")
+    ids = [frame(v, "id").withColumn("key", joins.F.col("id")) for v in (asked, listed)]
+    assert joins.sparse_candidates(*ids, 0.75) is None  # the letter pairs bring most names together
+    got = alike.name_suggestions(frame(asked, "place_name"), frame(listed, "name")).collect()
+    assert {(r.place_name, r["rank"]): r.suggestion for r in got} == {(a, k): b for a, v in best.items() for k, (_, b) in enumerate(v, 1)}
+    near = joins.closest(*ids, 80.0, 1, block=16).collect()
+    assert {r.lid: (round(r.similarity, 9), r.rid) for r in near} == {
+        a: (round(-s, 9), b) for a in asked for s, b in [min((-indel(a, b), b) for b in listed)] if -s >= 80}
