@@ -85,18 +85,20 @@ def fill_days(group: pd.DataFrame) -> pd.DataFrame:
 
     Nearness to the day's first place is a tier (same district, same city, elsewhere); inside a tier the rank decides.
     """
-    free, days = group.sort_values("pos"), []
+    group = group.sort_values("pos")
+    place, per_day = group.place_id.to_list(), group.per_day.to_list()
+    district, city = ([None if pd.isna(v) or v == "" else v for v in group[c].to_list()] for c in ("district", "city"))
+    free, stops = list(range(len(place))), []
     for day in range(1, int(group.region_days.iloc[0]) + 1):
-        if free.empty:
+        if not free:
             break
-        first = free.iloc[0]
-        tier = (free.district.ne(first.district) | free.district.isna() | free.district.eq("")).astype(int)
-        tier += tier * (free.city.ne(first.city) | free.city.isna() | free.city.eq("")).astype(int)
-        tier.iloc[0] = -1
-        today = free.assign(tier=tier).sort_values(["tier", "pos"]).head(int(first.per_day))
-        days.append(pd.DataFrame({"region_day": day, "stop": range(1, len(today) + 1), "place_id": today.place_id.to_numpy()}))
-        free = free.drop(today.index)
-    out = pd.concat(days)
+        first = free[0]
+        kind = lambda i: 0 if district[i] is not None and district[i] == district[first] else 1 if city[i] is not None and city[i] == city[first] else 2  # noqa: E731, B023
+        today = [first, *sorted(free[1:], key=kind)][: int(per_day[first])]
+        stops += [(day, stop, place[i]) for stop, i in enumerate(today, 1)]
+        used = set(today)
+        free = [i for i in free if i not in used]
+    out = pd.DataFrame(stops, columns=["region_day", "stop", "place_id"])
     for at, name in enumerate(("request_id", "region", "region_rank")):
         out.insert(at, name, group[name].iloc[0])
     return out

@@ -6,8 +6,10 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import pandas as pd
+
 from roamlens.functions import vocab
-from roamlens.functions.tasks import indel
+from roamlens.functions.tasks import fill_days, indel
 from roamlens.operators import alike, gems, joins, planning
 
 
@@ -88,6 +90,23 @@ def test_equal_trips_are_planned_once(spark):
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_a_trip_is_filled_without_a_frame_per_day(monkeypatch):
+    rows = [(f"d{i % 3}" if i % 4 else None, f"c{i % 5}" if i % 7 else "") for i in range(40)]
+    group = pd.DataFrame([("r", "g", 1, i, 100 + i, d, c, 9, 4) for i, (d, c) in enumerate(rows)],
+                         columns=["request_id", "region", "region_rank", "pos", "place_id", "district", "city", "region_days", "per_day"])
+    want, free = [], list(range(40))
+    for day in range(1, 10):
+        d, c = rows[free[0]]
+        tier = lambda i: -1 if i == free[0] else 0 if d and rows[i][0] == d else 1 if c and rows[i][1] == c else 2  # noqa: E731, B023
+        today = sorted(free, key=lambda i: (tier(i), i))[:4]
+        want += [[day, k, 100 + i] for k, i in enumerate(today, 1)]
+        free = [i for i in free if i not in today]
+    sorts, plain = [], pd.DataFrame.sort_values
+    monkeypatch.setattr(pd.DataFrame, "sort_values", lambda *a, **k: sorts.append(1) or plain(*a, **k))
+    got = fill_days(group.sample(frac=1, random_state=1))
+    assert got[["region_day", "stop", "place_id"]].values.tolist() == want and len(sorts) == 1
+
+
 def test_numbered_names_are_compared_in_blocks(spark):
     listed = [f"stall number {i:04}" for i in range(70)] + ["stall", "x" * 80, "stall number 0001 " + "y" * 60]
     asked = [f"stall nmber {i:04}x" for i in range(0, 140, 2)] + ["x" * 79, "stall number 0001 " + "y" * 59, "number 00", "এক"]
