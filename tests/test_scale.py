@@ -10,7 +10,7 @@ import pandas as pd
 
 from roamlens.functions import vocab
 from roamlens.functions.tasks import fill_days, indel
-from roamlens.operators import alike, gems, joins, planning
+from roamlens.operators import alike, gems, joins, models, planning
 
 
 def plan_of(df) -> str:
@@ -122,3 +122,26 @@ def test_numbered_names_are_compared_in_blocks(spark):
     near = joins.closest(*ids, 80.0, 1, block=16).collect()
     assert {r.lid: (round(r.similarity, 9), r.rid) for r in near} == {
         a: (round(-s, 9), b) for a in asked for s, b in [min((-indel(a, b), b) for b in listed)] if -s >= 80}
+
+
+def test_character_pieces_are_made_by_one_pattern_per_length(spark):
+    texts = ["The  old\tfort", "a", " \n ", "", None, "😀x 𝒜𝒜𝒜𝒜 é\u2028b", "  ভাল দিন.", "x\u00a0y zz"]
+    want = {}
+    for t in texts:
+        words = [f" {w} " for w in re.split(r"[ \t\n\x0b\f\r]+", t.lower()) if w] if t is not None else None
+        want[t] = None if words is None else [w[i : i + n] for n in range(1, 5) for w in words for i in range(len(w) + 1 - n)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", models.char_grams(joins.F.col("t")).alias("g"))
+    assert {r.t: r.g for r in got.collect()} == want
+    assert "sequence(" not in plan_of(got)
+
+
+def test_texts_are_cut_and_hashed_once_for_fitting(spark, monkeypatch):
+    rows = [(f"the old fort of {i} kings", "en") for i in range(20)] + [(f"la vieille porte {i} du roi", "fr") for i in range(12)]
+    labelled = spark.createDataFrame(rows, "text string, label string")
+    read, plain = [], models.Pipeline._fit
+    monkeypatch.setattr(models.Pipeline, "_fit", lambda self, data: read.append(plan_of(data)) or plain(self, data))
+    model, classes = models.train(labelled, 256)
+    models.cross_validate(labelled, 2, 256)
+    assert classes == ["en", "fr"] and len(read) == 3 and not any("text" in x or "grams" in x for x in read)
+    got = {r.text: r.predicted for r in models.predict(model, classes, labelled).collect()}
+    assert got == dict(rows)
