@@ -75,7 +75,12 @@ def phonetic_key(text: Column) -> Column:
 
 def loose_key(text: Column) -> Column:
     """Phonetic key without the spelling habits Bangla does not share."""
-    key = F.replace(F.replace(phonetic_key(text), F.lit("ng"), F.lit("n")), F.lit("ck"), F.lit("k"))
+    return loosened(phonetic_key(text))
+
+
+def loosened(key: Column) -> Column:
+    """The loose key of a phonetic key."""
+    key = F.replace(F.replace(key, F.lit("ng"), F.lit("n")), F.lit("ck"), F.lit("k"))
     return F.regexp_replace(key, r"(?<=\S{3})[sh](?= |$)", "")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from roamlens.functions import text as T
 from roamlens.functions import vocab
 from roamlens.functions.language import BENGALI, normalize_bangla, phonetic_key
-from roamlens.session import broadcast_if_small
+from roamlens.session import broadcast_if_measured, broadcast_if_small
 
 ONE = "*"  # counted rows
 TOKEN = f"[{T.WORD_CHARS}]+"
@@ -65,9 +65,9 @@ def term_spans(texts: DataFrame, terms: DataFrame, plurals: bool) -> DataFrame:
     """
     clean = F.when(F.col("term").rlike(BENGALI), normalize_bangla(F.col("term"))).otherwise(F.col("term"))
     t = terms.withColumn("term", clean).withColumn("words", F.regexp_extract_all(F.lower("term"), F.lit(TOKEN), F.lit(0)))
-    t = t.filter(F.size("words") > 0).select(
+    t = broadcast_if_measured(t.filter(F.size("words") > 0).select(
         "term_id", "term", F.size("words").alias("size"), F.array_join("words", " ").alias("key"),
-        F.length(F.regexp_extract("term", f"^[^{T.WORD_CHARS}]*", 0)).alias("lead"), F.length("term").alias("len"))
+        F.length(F.regexp_extract("term", f"^[^{T.WORD_CHARS}]*", 0)).alias("lead"), F.length("term").alias("len")))
     longest = t.agg(F.max("size")).first()[0] or 1  # one number
     w = Window.partitionBy("review_id").orderBy("pos")  # one text
     ahead = F.array_compact(F.array(*[F.lead(F.lower("token"), j).over(w) for j in range(longest)]))
@@ -79,7 +79,7 @@ def term_spans(texts: DataFrame, terms: DataFrame, plurals: bool) -> DataFrame:
     head = F.slice("ahead", F.lit(1), F.col("size") - 1)
     key = F.array_join(F.concat(head, F.array("form")), " ")
     grams = grams.withColumn("form", F.explode(forms)).select("review_id", "start", "size", key.alias("key"))
-    hits = grams.join(broadcast_if_small(t), ["size", "key"])
+    hits = grams.join(t, ["size", "key"])
     body = texts.select("review_id", F.col("review_text").alias("body"))
     at = hits.withColumn("s", F.col("start") - F.col("lead")).withColumn("e", F.col("s") + F.col("len"))
     checked = at.join(body, "review_id").filter(

@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roamlens.functions import similarity as S
 from roamlens.functions import vocab
-from roamlens.functions.language import letters, loose_key, normalize_bangla, phonetic_key, strip_ending
-from roamlens.operators.joins import bigram_candidates
+from roamlens.functions.language import letters, loose_key, loosened, normalize_bangla, phonetic_key, strip_ending
+from roamlens.operators.joins import reaching
 from roamlens.operators.mentions import match_positions, term_spans
-from roamlens.session import broadcast_if_small
+from roamlens.session import broadcast_if_measured, cut_lineage
 
 ONE = "*"  # counted rows
 BANGLA_WORD = r"[\x{0981}-\x{09e3}\x{09f0}\x{09f1}]+"
 
 
 def grams(texts: DataFrame) -> DataFrame:
-    """(review_id, phrase, base): one- to three-word phrases, and each without its last ending."""
+    """(review_id, phrase, base): one- to three-word phrases, and each without its last ending; repeats stay."""
     body = texts.select("review_id", normalize_bangla(F.col("review_text")).alias("review_text"))
     tok = match_positions(body, BANGLA_WORD).withColumn("w", F.regexp_replace("token", "ঃ+$", "")).filter("w <> ''")
     w = Window.partitionBy("review_id").orderBy("pos")  # one text
@@ -25,7 +24,7 @@ def grams(texts: DataFrame) -> DataFrame:
     g = runs.select("review_id", F.explode(F.array(
         F.struct(F.lit("").alias("head"), F.col("w").alias("last")), F.struct(F.col("w").alias("head"), F.col("w2").alias("last")),
         F.struct(F.concat_ws(" ", "w", "w2").alias("head"), F.col("w3").alias("last")))).alias("g")).filter("g.last IS NOT NULL").select(
-        "review_id", "g.head", "g.last").distinct()
+        "review_id", "g.head", "g.last")
     join = lambda last: F.when(F.col("head") == "", last).otherwise(F.concat_ws(" ", "head", last))
     return g.select("review_id", join(F.col("last")).alias("phrase"), join(strip_ending(F.col("last"))).alias("base"))
 
@@ -33,25 +32,23 @@ def grams(texts: DataFrame) -> DataFrame:
 def mine_spellings(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(phrase, place, how, reviews): phrases that sound like a known name.
 
-    Phrases are counted per review first; keys are computed once per distinct phrase and
-    joined by equality, the exact key before the loose one. A phrase found with and without an
+    The texts are read twice: for their distinct phrases, whose keys meet the names by equality (the exact key before the
+    loose one), and for the reviews of those few that met one. A phrase found with and without an
     ending for one place counts under the shorter form.
     """
-    n = names.select("name", phonetic_key(F.col("name")).alias("k"), loose_key(F.col("name")).alias("l")).filter(letters(F.col("k")) >= vocab.MIN_KEY_LETTERS)
-    exact = n.groupBy("k").agg(F.min("name").alias("place"))
-    loose = n.groupBy("l").agg(F.min("name").alias("place"))
-    g = grams(texts).distinct()
-    forms = g.select("phrase", "base").distinct()
-    spelled = forms.select("phrase", F.posexplode(F.array_distinct(F.array("phrase", "base"))).alias("o", "form"))
-    distinct = spelled.select("form").distinct().select("form", phonetic_key(F.col("form")).alias("k"), loose_key(F.col("form")).alias("l"))
+    n = cut_lineage(names.select("name", phonetic_key(F.col("name")).alias("k"), loose_key(F.col("name")).alias("l")).filter(letters(F.col("k")) >= vocab.MIN_KEY_LETTERS))
+    exact = broadcast_if_measured(n.groupBy("k").agg(F.min("name").alias("pe")))
+    loose = broadcast_if_measured(n.groupBy("l").agg(F.min("name").alias("pl")))
+    g = grams(texts)
+    spelled = g.select("phrase", "base").distinct().select("phrase", F.posexplode(F.array_distinct(F.array("phrase", "base"))).alias("o", "form"))
     hit = (
-        distinct.join(broadcast_if_small(exact.withColumnRenamed("place", "pe")), "k", "left")
-        .join(broadcast_if_small(loose.withColumnRenamed("place", "pl")), "l", "left")
+        spelled.withColumn("k", phonetic_key(F.col("form"))).withColumn("l", loosened(F.col("k")))
+        .join(exact, "k", "left").join(loose, "l", "left")
         .withColumn("place", F.coalesce("pe", F.when(letters(F.col("l")) >= vocab.MIN_KEY_LETTERS, F.col("pl"))))
         .filter("place IS NOT NULL")
-        .select("form", "place", F.when(F.col("pe").isNotNull(), "sound").otherwise("loose sound").alias("how")))
-    best = spelled.join(hit, "form").groupBy("phrase").agg(F.min_by(F.struct("form", "place", "how"), "o").alias("m")).select("phrase", "m.*")
-    found = g.select("review_id", "phrase").join(best, "phrase").select("review_id", "form", "place", "how").distinct()
+        .select("phrase", "o", "form", "place", F.when(F.col("pe").isNotNull(), "sound").otherwise("loose sound").alias("how")))
+    best = broadcast_if_measured(hit.groupBy("phrase").agg(F.min_by(F.struct("form", "place", "how"), "o").alias("m")).select("phrase", "m.*"))
+    found = cut_lineage(g.select("review_id", "phrase").join(best, "phrase").select("review_id", "form", "place", "how").distinct())
     pairs = found.select("form", "place").distinct()
     # An inflected form folds into the shortest found form it ends in an ending of.
     last = F.element_at(F.split("form", " "), -1)
@@ -59,7 +56,7 @@ def mine_spellings(texts: DataFrame, names: DataFrame) -> DataFrame:
     folded = pairs.select("form", "place", F.explode(ends).alias("s")).withColumn("root", F.left("form", F.length("form") - F.length("s")))
     folded = folded.join(pairs.select(F.col("form").alias("root"), "place"), ["root", "place"]).groupBy("form", "place").agg(
         F.min_by("root", F.length("root")).alias("root"))
-    final = found.join(broadcast_if_small(folded), ["form", "place"], "left").withColumn("phrase", F.coalesce("root", "form"))
+    final = found.join(broadcast_if_measured(folded), ["form", "place"], "left").withColumn("phrase", F.coalesce("root", "form"))
     return final.groupBy("phrase", "place").agg(
         F.min_by("how", F.when(F.col("root").isNull(), F.lit(0)).otherwise(1)).alias("found_by"), F.count_distinct("review_id").alias("reviews"))
 
@@ -68,28 +65,27 @@ def mine_aligned(pairs: DataFrame, names: DataFrame) -> DataFrame:
     """(phrase, place): for each known name in a translation, the original's best-sounding phrase.
 
     Names are found in translations by word runs. Only the phrases of a review whose
-    translation names a place are scored against that place, each distinct (key, key) once.
+    translation names a place are scored against that place, each distinct (key, key) once: the originals are read
+    for their distinct phrases, and again for those that sound like some name.
     """
     spans = term_spans(pairs.select("review_id", F.col("translation").alias("review_text")),
                        names.select(F.col("name").alias("term_id"), F.col("name").alias("term")), plurals=False)
-    named = spans.select("review_id", F.col("term_id").alias("name")).distinct()
-    g = grams(pairs.select("review_id", F.col("original").alias("review_text"))).join(named.select("review_id").distinct(), "review_id", "left_semi")
-    forms = g.select("review_id", F.col("phrase").alias("form"), F.lit(0).alias("is_base")).unionByName(
-        g.filter("base <> phrase").select("review_id", F.col("base").alias("form"), F.lit(1).alias("is_base"))).groupBy("review_id", "form").agg(F.max("is_base").alias("is_base"))
-    # Keys are computed once per distinct form, not per review.
-    sounds = forms.select("form").distinct().withColumn("fk", loose_key(F.col("form"))).filter(letters(F.col("fk")) >= 2)
-    keyed = forms.join(sounds, "form")
-    heard = named.withColumn("nk", loose_key(F.col("name")))
-    # Only key pairs that can reach the ratio are compared, found over distinct keys.
-    pairs_of_keys = bigram_candidates(
-        heard.select(F.col("nk").alias("id"), F.col("nk").alias("key")).distinct(),
-        sounds.select(F.col("fk").alias("id"), F.col("fk").alias("key")).distinct(), vocab.ALIGNED_MIN_SIMILARITY / 100)
-    ratio = pairs_of_keys.select(F.col("lid").alias("nk"), F.col("rid").alias("fk")).withColumn(
-        "ratio", S.indel_ratio("fk", "nk")).filter(F.col("ratio") >= vocab.ALIGNED_MIN_SIMILARITY)
-    scored = heard.join(ratio, "nk").join(keyed, ["review_id", "fk"])
+    named = cut_lineage(spans.select("review_id", F.col("term_id").alias("name")).distinct())
+    told = pairs.select("review_id", F.col("original").alias("review_text")).join(
+        broadcast_if_measured(named.select("review_id").distinct()), "review_id", "left_semi")
+    form = lambda c, is_base: F.struct(F.col(c).alias("form"), F.lit(is_base).alias("is_base"))
+    forms = grams(told).select("review_id", F.explode(F.array_compact(F.array(
+        form("phrase", 0), F.when(F.col("base") != F.col("phrase"), form("base", 1))))).alias("f")).select("review_id", "f.*")
+    # Keys are computed once per distinct form, not per review: a condition on a key that is not written yet would be asked of every phrase.
+    sounds = cut_lineage(forms.select("form").distinct().withColumn("fk", loose_key(F.col("form")))).filter(letters(F.col("fk")) >= 2)
+    heard = cut_lineage(named.join(named.select("name").distinct().withColumn("nk", loose_key(F.col("name"))), "name"))
+    keys = sounds.select(F.col("fk").alias("id")).distinct()
+    ratio = broadcast_if_measured(reaching(heard.select(F.col("nk").alias("id")).distinct(), cut_lineage(keys), vocab.ALIGNED_MIN_SIMILARITY).select(
+        F.col("lid").alias("nk"), F.col("rid").alias("fk"), "ratio"))
+    scored = forms.join(broadcast_if_measured(sounds.join(ratio, "fk")), "form").join(heard, ["review_id", "nk"])
     order = F.struct("ratio", (-F.abs(letters(F.col("fk")) - letters(F.col("nk")))).alias("d"), "is_base", "form")
     best = scored.groupBy("review_id", "name").agg(F.max(order).alias("b"))
-    return best.select(F.col("b.form").alias("phrase"), F.col("name").alias("place")).distinct()
+    return cut_lineage(best.select(F.col("b.form").alias("phrase"), F.col("name").alias("place")).distinct())
 
 
 def count_phrases(phrases: DataFrame, texts: DataFrame) -> DataFrame:
