@@ -113,7 +113,8 @@ def day_stops(ranked: DataFrame, allocation: DataFrame) -> DataFrame:
     """Stops per day. A group is one region of one trip: at most days * per_day places."""
     a = allocation.filter("region_days > 0").select("request_id", "region", "region_rank", "per_day", "region_days")
     base = ranked.select("request_id", "region", "pos", "place_id", "district", "city").join(a, ["request_id", "region"])
-    filled = cut_lineage(base.groupBy("request_id", "region").applyInPandas(fill_days, _DAY))
+    spread = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are few but slow, so they are not gathered into fewer tasks
+    filled = cut_lineage(base.repartition(spread, "request_id", "region").groupBy("request_id", "region").applyInPandas(fill_days, _DAY))
     days = filled.select("request_id", "region", "region_rank", "region_day").distinct().withColumn(
         "day", F.row_number().over(Window.partitionBy("request_id").orderBy("region_rank", "region_day")))
     return cut_lineage(filled.join(days, ["request_id", "region", "region_rank", "region_day"]).join(
