@@ -142,9 +142,11 @@ def term_distinct(mentions: DataFrame, reviews: DataFrame, stop_words: list[str]
 
     # document frequencies over both kinds; rows of one id count once
     shared = words(odd(r), "doc").unionByName(words(odd(m), "doc"))
-    alone = lambda df: plain(df).select(F.explode(F.array_distinct(_words(F.col("text"), stop_words))).alias("term"))
-    held = alone(r).unionByName(alone(m))
-    df = (held if all_plain else held.unionByName(shared.distinct().select("term"))).groupBy("term").agg(F.count(ONE).alias("df"))
+    alone = plain(r).select("text").unionByName(plain(m).select("text")).groupBy("text").agg(F.count(ONE).alias("k"))  # equal texts are cut once
+    held = alone.select("k", F.explode(F.array_distinct(_words(F.col("text"), stop_words))).alias("term"))
+    if not all_plain:
+        held = held.unionByName(shared.distinct().select(F.lit(1).cast("long").alias("k"), "term"))
+    df = held.groupBy("term").agg(F.sum("k").alias("df"))
     idf = broadcast_if_measured(df.select("term", (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")))
 
     # documents of shared ids: weights by id
