@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roamlens.functions import vocab
@@ -12,6 +12,7 @@ from roamlens.operators import retrieval
 from roamlens.session import broadcast_if_small, cut_lineage, top_per_key
 
 ONE = "*"  # counted rows
+LOOK = ["wanted", "city", "division", "exclude_cities", "min_reviews"]  # what decides which places a trip may use
 
 
 def alike(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,28 +40,37 @@ def _ask(requests: DataFrame) -> DataFrame:
         "min_reviews", F.lit(None).cast("int").alias("limit"))
 
 
-def candidates(requests: DataFrame, stats: DataFrame, venue: DataFrame) -> DataFrame:
-    """All matching attractions per trip; a thin city widens to its division when that gives more.
+def _per_day() -> Column:
+    return F.create_map(*[F.lit(x) for kv in vocab.PACE_ACTIVITIES.items() for x in kv])[F.col("pace")]
 
-    ``requests``: request_id, days, pace, wanted, city, division, exclude_cities, min_reviews,
-    max_regions.
-    """
-    pace = F.create_map(*[F.lit(x) for kv in vocab.PACE_ACTIVITIES.items() for x in kv])
-    trips = requests.withColumn("per_day", pace[F.col("pace")])
-    stats, venue = cut_lineage(stats), cut_lineage(venue)
-    first = cut_lineage(retrieval.matches(_ask(trips), stats, venue))
-    count = first.groupBy("request_id").agg(F.count(ONE).alias("found"))
+
+def _widened(trips: DataFrame, wishes: DataFrame, key: str, stats: DataFrame, venue: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The matches of each wish, those in its city's division, and the trips that take these: too few are in the city, and more there."""
+    find = lambda w: cut_lineage(retrieval.matches(_ask(w.withColumn("request_id", F.col(key))), stats, venue).withColumnRenamed("request_id", key))
+    first = find(wishes)
+    count = first.groupBy(key).agg(F.count(ONE).alias("found"))
     home = stats.filter("division IS NOT NULL AND city IS NOT NULL").groupBy(F.lower("city").alias("ck")).agg(
         F.min("division").alias("home"))
     thin = (
-        trips.filter("city IS NOT NULL AND division IS NULL").join(count, "request_id", "left")
+        trips.filter("city IS NOT NULL AND division IS NULL").join(count, key, "left")
         .fillna(0, ["found"]).filter("found < days * per_day")
         .withColumn("ck", F.lower("city")).join(broadcast_if_small(home), "ck")
     )
-    wide = cut_lineage(retrieval.matches(
-        _ask(thin.withColumn("city", F.lit(None).cast("string")).withColumn("division", F.col("home"))), stats, venue))
-    more = wide.groupBy("request_id").agg(F.count(ONE).alias("wide_found")).join(
-        thin.select("request_id", "found"), "request_id").filter("wide_found > found").select("request_id")
+    ask = thin if key == "request_id" else thin.dropDuplicates([key])
+    wide = find(ask.withColumn("city", F.lit(None).cast("string")).withColumn("division", F.col("home")))
+    more = wide.groupBy(key).agg(F.count(ONE).alias("wide_found")).join(
+        thin.select("request_id", *([] if key == "request_id" else [key]), "found"), key).filter("wide_found > found")
+    return first, wide, more.drop("wide_found", "found")
+
+
+def candidates(requests: DataFrame, stats: DataFrame, venue: DataFrame) -> DataFrame:
+    """All matching attractions per trip; a thin city widens to its division when that gives more.
+
+    ``requests``: request_id, days, pace, wanted, city, division, exclude_cities, min_reviews,
+    max_regions.
+    """
+    trips = requests.withColumn("per_day", _per_day())
+    first, wide, more = _widened(trips, trips, "request_id", cut_lineage(stats), cut_lineage(venue))
     kept = first.join(more, "request_id", "left_anti").withColumn("widened", F.lit(False)).unionByName(
         wide.join(more, "request_id", "left_semi").withColumn("widened", F.lit(True)))
     return cut_lineage(kept.join(trips.select("request_id", "days", "per_day", "max_regions", F.col("city").alias("anchor_city")), "request_id"))
@@ -72,18 +82,27 @@ def regions(cands: DataFrame) -> DataFrame:
     The anchor city's region leads; the others follow by the score of the places a full trip could use there. All
     candidates are counted; of each region only the days * per_day best go on, as no trip can use more.
     """
+    c, counts = _in_regions(cands, "request_id", cands)
+    return _ranked(c, counts)
+
+
+def _in_regions(cands: DataFrame, key: str, trips: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The best candidates of each region of a ``key``, as many as the longest of all trips can use, and how many there are."""
     region = F.coalesce("division", "district", "city", F.lit("Unknown region"))
     c = cands.withColumn("region", region).withColumn(
         "at_anchor", F.coalesce(F.lower("city") == F.lower("anchor_city"), F.lit(False)))
-    trip = Window.partitionBy("request_id")
     best = F.struct((-F.col("match_score")).alias("s"), (-F.col("review_count")).alias("n"), F.col("place_id"))
-    anchor = c.filter("at_anchor").groupBy("request_id").agg(F.min_by("region", best).alias("anchor_region"))
-    c = c.join(anchor, "request_id", "left").withColumn("leads", F.coalesce(F.col("region") == F.col("anchor_region"), F.lit(False)))
-    counts = c.groupBy("request_id", "region").agg(F.count(ONE).alias("n_candidates"))
-    most = c.agg(F.coalesce(F.max(F.col("days") * F.col("per_day")), F.lit(0)).alias("m")).first()["m"]  # one number
-    c = top_per_key(c, ["request_id", "region"], [
-        F.desc(F.col("leads") & F.col("at_anchor")), F.desc("match_score"), F.desc("review_count"), F.asc("place_id")], int(most), "pos")
+    anchor = c.filter("at_anchor").groupBy(key).agg(F.min_by("region", best).alias("anchor_region"))
+    c = c.join(anchor, key, "left").withColumn("leads", F.coalesce(F.col("region") == F.col("anchor_region"), F.lit(False)))
+    counts = c.groupBy(key, "region").agg(F.count(ONE).alias("n_candidates"))
+    most = trips.agg(F.coalesce(F.max(F.col("days") * F.col("per_day")), F.lit(0)).alias("m")).first()["m"]  # one number
+    return top_per_key(c, [key, "region"], [
+        F.desc(F.col("leads") & F.col("at_anchor")), F.desc("match_score"), F.desc("review_count"), F.asc("place_id")], int(most), "pos"), counts
+
+
+def _ranked(c: DataFrame, counts: DataFrame) -> DataFrame:
     c = c.filter(F.col("pos") <= F.col("days") * F.col("per_day"))
+    trip = Window.partitionBy("request_id")
     r = c.groupBy("request_id", "region", "leads", "days", "per_day", "max_regions").agg(
         F.round(F.sum("match_score"), 6).alias("region_score")).join(counts, ["request_id", "region"])
     order = Window.partitionBy("request_id").orderBy(F.desc("leads"), F.desc("region_score"), F.asc("region"))
@@ -92,6 +111,29 @@ def regions(cands: DataFrame) -> DataFrame:
                                 "match_score", "review_count", "avg_rating", "matched_preferences").join(r, ["request_id", "region"]))
 
 
+def trip_regions(requests: DataFrame, stats: DataFrame, venue: DataFrame) -> DataFrame:
+    """``regions`` of the ``candidates`` of each request; places are matched and ranked once for requests that look for the same.
+
+    Requests that differ in days, pace or regions use more or less of one list. Rows that share a request_id are planned by themselves.
+    """
+    asked = requests.filter("request_id IS NOT NULL").withColumn("n", F.count(ONE).over(Window.partitionBy("request_id"))).withColumn(
+        "per_day", _per_day()).withColumn("look", F.sha2(F.to_json(F.struct(*LOOK), {"ignoreNullFields": "false"}), 256))
+    asked = cut_lineage(asked)
+    shared = asked.filter("n > 1").select(*requests.columns)
+    asked = asked.filter("n = 1")
+    stats, venue = cut_lineage(stats), cut_lineage(venue)
+    first, wide, more = _widened(asked, asked.select("look", *LOOK).dropDuplicates(["look"]), "look", stats, venue)
+    anchor = asked.select("look", F.col("city").alias("anchor_city")).distinct()
+    cands = first.withColumn("widened", F.lit(False)).unionByName(wide.join(more.select("look").distinct(), "look", "left_semi").withColumn(
+        "widened", F.lit(True))).join(anchor, "look").withColumn("look", F.concat("look", F.col("widened").cast("string")))
+    widened = more.select("request_id", F.lit(True).alias("w"))
+    members = asked.select("request_id", "look", "days", "per_day", "max_regions").join(widened, "request_id", "left").withColumn(
+        "look", F.concat("look", F.col("w").isNotNull().cast("string"))).drop("w")
+    c, counts = _in_regions(cands, "look", asked)
+    planned = _ranked(cut_lineage(c).join(members, "look"), counts.join(members.select("look", "request_id"), "look").drop("look"))
+    return planned if shared.isEmpty() else planned.unionByName(regions(candidates(shared, stats, venue)))
+
+
 def allocate_days(ranked: DataFrame) -> DataFrame:
     """Days per region, best first: each gets what it can fill until the trip is full."""
     cap = F.coalesce("max_regions", F.greatest(F.lit(1), F.least(F.col("n_regions"), F.floor(F.col("days") / 2) + 1)))

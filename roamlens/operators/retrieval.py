@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from roamlens.functions import text as T
 from roamlens.functions import vocab
 from roamlens.functions.similarity import half_even
-from roamlens.session import broadcast_if_small, cut_lineage, top_per_key
+from roamlens.session import broadcast_if_measured, broadcast_if_small, cut_lineage, top_per_key
 
 ONE = "*"  # counted rows
 
@@ -112,10 +112,12 @@ def _matches(requests: DataFrame, stats: DataFrame, venue: DataFrame) -> tuple[D
     fits = same("city") & same("division") & same("place_kind") & outside & (F.col("review_count") >= F.col("q_min_reviews"))
     rating = F.coalesce("avg_rating", F.lit(0.0)) / 5.0
 
-    cards = venue.select("place_id", F.upper("preference_id").alias("pref"), "preference_id",
-                         F.col("review_count").alias("n")).join(broadcast_if_small(p), "place_id")
-    need = ask.filter(F.size("wanted") > 0).withColumn("pref", F.explode("wanted"))
-    hit = cards.join(broadcast_if_small(need), "pref").filter(fits)
+    # Places are few, but each meets every wish it allows: they lie by place in as many tasks as a shuffle has, and what they meet stays there.
+    by_place = lambda df: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "place_id")
+    cards = by_place(venue.select("place_id", F.upper("preference_id").alias("pref"), "preference_id",
+                                  F.col("review_count").alias("n"))).join(broadcast_if_small(p), "place_id")
+    need = broadcast_if_measured(ask.filter(F.size("wanted") > 0).withColumn("pref", F.explode("wanted")))
+    hit = cards.join(need, "pref").filter(fits)
     share = F.col("matched_review_count") / F.col("review_count")
     keep = ["place_name", "city", "district", "division", "category", "place_kind", "review_count", "avg_rating"]
     by_wish = hit.groupBy("sig", "place_id", *keep).agg(
@@ -130,7 +132,7 @@ def _matches(requests: DataFrame, stats: DataFrame, venue: DataFrame) -> tuple[D
     plain = ask.filter(F.size("wanted") == 0).select("*", *[
         F.coalesce(F.lower(f"q_{c}"), F.lit("*")).alias(f"k_{c}") for c in ("city", "division", "place_kind")])
     option = lambda c: F.array_distinct(F.array(F.lit("*"), F.coalesce(F.lower(c), F.lit("*"))))
-    spread = p
+    spread = by_place(p)
     for c in ("city", "division", "place_kind"):
         spread = spread.withColumn(f"k_{c}", F.explode(option(c)))
     volume = F.least(F.col("review_count") / 50.0, F.lit(1.0))

@@ -131,7 +131,7 @@ def trips(t: Tables):
 def planned(t: Tables, build) -> DataFrame:
     """``build`` of (wishes, their ranked regions), made once for equal wishes and given to each customer."""
     wishes, members = planning.alike(trips(t))
-    return planning.for_each(build(wishes, planning.regions(planning.candidates(wishes, place_stats(t), venue(t)))), members)
+    return planning.for_each(build(wishes, planning.trip_regions(wishes, place_stats(t), venue(t))), members)
 
 
 def ranked(t: Tables):
