@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roamlens.functions import text as T
 from roamlens.functions import vocab
 from roamlens.operators.retrieval import containment_pairs
-from roamlens.session import broadcast_if_small
+from roamlens.session import broadcast_if_measured, broadcast_if_small, cut_lineage
 
 ONE = "*"  # counted rows
 P = vocab.INTENT_PATTERNS
@@ -35,15 +35,32 @@ def full_names(messages: DataFrame, stats: DataFrame) -> DataFrame:
         F.col("id").alias("message_id"), "place_id").distinct().withColumn("score", F.lit(100).cast("long"))
 
 
+def _word_sets(words: DataFrame, by: str) -> DataFrame:
+    """(``by``, ws, set): the words of each id in order, repeats of repeated ids too, and what stands for equal lists."""
+    return words.groupBy(by).agg(F.sort_array(F.collect_list("w")).alias("ws")).withColumn("set", F.sha2(F.array_join("ws", " "), 256))
+
+
 def place_matches(messages: DataFrame, stats: DataFrame) -> DataFrame:
     """Places a message names: score 100 for the full name or its part before a bracket,
-    else the number of shared words longer than three letters."""
-    strong = full_names(messages, stats)
-    names = stats.select("place_id", F.lower("place_name").alias("n"))
-    name_words = names.select("place_id", F.explode(_words("n", 3)).alias("w"))
-    msg_words = messages.select("message_id", F.explode(_tokens("message")).alias("w"))
-    weak = msg_words.join(name_words, "w").groupBy("message_id", "place_id").agg(F.count(ONE).alias("score"))
-    return strong.unionByName(weak.join(strong, ["message_id", "place_id"], "left_anti"))
+    else the number of shared words longer than three letters.
+
+    Words are counted between different word sets: places whose names have the same words get the same score from messages that say the same of
+    them. Only the result is a row per message and place; it is made where the places lie, in as many tasks as a shuffle has, whatever a word's share.
+    """
+    strong = cut_lineage(full_names(messages, stats))
+    names = _word_sets(stats.select("place_id", F.explode(_words(F.lower("place_name"), 3)).alias("w")), "place_id")
+    held = names.select("set", "ws").distinct().select("set", F.explode("ws").alias("w"))
+    said = messages.select("message_id", F.explode(_tokens("message")).alias("w")).join(held.select("w").distinct(), "w", "left_semi")
+    asked = cut_lineage(_word_sets(said, "message_id"))
+    shared = asked.select(F.col("set").alias("m_set"), "ws").distinct().select("m_set", F.explode("ws").alias("w")).join(held, "w").groupBy("m_set", "set").agg(
+        F.count(ONE).alias("score"))
+    met = asked.select("message_id", F.col("set").alias("m_set")).join(shared, "m_set")
+    many = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = lambda df: df.repartition(many, "set", "slice")
+    asking = met.select("message_id", "set", "score", F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("slice"))
+    places = names.select("place_id", "set", F.pmod(F.xxhash64("place_id"), F.lit(many)).cast("int").alias("slice"))
+    weak = spread(asking).join(spread(places), ["set", "slice"]).select("message_id", "place_id", "score")
+    return strong.unionByName(weak.join(broadcast_if_measured(strong.select("message_id", "place_id")), ["message_id", "place_id"], "left_anti"))
 
 
 def best_places(messages: DataFrame, stats: DataFrame) -> DataFrame:
