@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from roamlens.functions.similarity import unit
 from roamlens.operators.stats import binary_scores
-from roamlens.session import broadcast_if_small, cut_lineage
+from roamlens.session import broadcast_if_small, cut_lineage, written
 
 ONE = "*"  # counted rows
 MIN_SHARE, MIN_SIZE = 0.004, 6  # fixed values
@@ -112,10 +112,17 @@ def _prepared(labelled: DataFrame, counts: dict[str, int]) -> DataFrame:
 
 
 def train(labelled: DataFrame, dims: int = 1 << 14):
-    """A fitted classifier of (text, label) and its classes in order. Texts are cut and hashed once; fitting reads what was written."""
+    """A fitted classifier of (text, label) and its classes in order.
+
+    Texts are cut and hashed once; fitting reads what was written, as compressed columns: a text has many more pieces than letters. They are removed afterwards.
+    """
     counts = check_labels(labelled)
-    hashed = cut_lineage(_hashing(dims).transform(_prepared(labelled, counts)).select("tf", "weight", "y"))
-    return PipelineModel([_hashing(dims), *_stages().fit(hashed).stages]), sorted(counts)
+    hashed, remove = written(_hashing(dims).transform(_prepared(labelled, counts)).select("tf", "weight", "y"))
+    try:
+        stages = _stages().fit(hashed).stages
+    finally:
+        remove()
+    return PipelineModel([_hashing(dims), *stages]), sorted(counts)
 
 
 def predict(model, classes: list[str], texts: DataFrame) -> DataFrame:
